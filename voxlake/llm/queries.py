@@ -4,34 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard_components
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
-    return ngram_jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
+    out = ngram_jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside 13-word windows of benchmark items."""
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op7_decontaminate": op7_decontaminate,
 }
 
-_JACCARD_SQL = r"""
+#: Words of either kind, after lower-casing A-Z only.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_JACCARD_SQL = rf"""
 WITH RECURSIVE t AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []
     WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i+2], ' '))) END AS g
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS g
   FROM t),
 n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
 e AS (SELECT doc_id, unnest(g) AS g FROM s),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 90 * (p.n + q.n - i)),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id)
-SELECT n.doc_id, n.n AS n_shingles, m.component_id, {extra}
+SELECT n.doc_id, n.n AS n_shingles, m.component_id
 FROM n JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) m USING (doc_id)
 """
 
-SQL: dict[str, str] = {}
+_DECONTAMINATE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+  FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) u(i) WHERE len(w) > 0),
+k AS (SELECT DISTINCT m FROM v),
+p AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM d, k, unnest(range(1, len(w) - m + 2)) u(i)),
+h AS (SELECT p.doc_id, p.i, p.m, v.item_id FROM p JOIN v ON p.m = v.m AND p.g = v.g),
+n AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS x FROM h) GROUP BY 1),
+j AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS s
+  FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN j USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op3_ngram_jaccard": _JACCARD_SQL,
+    "op7_decontaminate": _DECONTAMINATE_SQL,
+}
