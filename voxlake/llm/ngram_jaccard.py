@@ -9,11 +9,14 @@ How the pairs stay few, without losing a link between different sets:
 2. Shingles are ordered rare-first.  The order comes from a fixed-size counting sketch of all
    shingles; any order common to all sets is exact, a rough one only costs time.  Linked sets share
    a shingle among the first ``n - ceil(t n) + 1`` of both (their prefixes).
-3. Each prefix shingle has an index list.  Every set is first compared with one leader, the smallest
-   set of the lists it stands in.  That answer also gives its distance to the leader.
+3. Each prefix shingle has an index list.  Every set is first compared with up to three leaders of
+   the lists it stands in.  A list's leader stands earliest in it, so has the fewest shingles of its
+   own and is nearest to its group's centre.  The answers also give distances to leaders.  A second round takes other leaders and only lists
+   that still hold several components, so that a group joins up in a few linear steps.
 4. Index-list skipping.  A list is cut into blocks, one for each leader.  Blocks of one component
-   need no comparison.  Two blocks are skipped by position and size: too little can follow their
-   earliest positions to reach the overlap.
+   need no comparison.  Two blocks are skipped by position and size, where too little can follow
+   their earliest positions to reach the overlap, and by count, where they meet in too few lists: of
+   two linked sets, prefixes share ``num * (m + n) / (num + den) - num * max(m, n) / den`` or more.
 5. Answers from a similar set's answers.  For the blocks that remain, the leaders' own distance D is
    computed once.  A member at distance d of its leader can reach a member at distance e of the
    other only if ``D - d - e`` is within the bound, so most members follow from their leaders.
@@ -229,10 +232,17 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Sets:
-    """Sets of the wanted documents, fetched by one pass over the texts behind a filter of fixed size."""
+    """Sets of the wanted documents.  Those not met before are fetched by one pass over the texts behind a filter of fixed size."""
 
     def __init__(self, texts: DataFrame, k: int, scratch: Scratch):
         self.texts, self.k, self.scratch, self.n = texts, k, scratch, 0
+        self.known: list[DataFrame] = []
+
+    def _all(self) -> DataFrame:
+        out = self.known[0]
+        for x in self.known[1:]:
+            out = out.unionByName(x)
+        return out
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) -> the same with sizes and overlap, exact."""
@@ -242,15 +252,22 @@ class _Sets:
         if pairs.isEmpty():
             return self.texts.sparkSession.createDataFrame([], "a long, b long, na long, nb long, inter long")
         want = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        bloom = self.texts.sparkSession.sparkContext.broadcast(_filter_of(want, SET_BITS))
-        found = self.texts.mapInArrow(_chosen_sets(self.k, bloom), "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
-        found = sc.write(found.join(want, "sid", "left_semi"), f"sets{tag}", compression="none")
-        left = pairs.join(found.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a")
-        both = left.join(found.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+        if self.known:
+            want = want.join(self._all().select("sid"), "sid", "left_anti")
+        want = sc.write(want, f"want{tag}")
+        if not want.isEmpty():
+            bloom = self.texts.sparkSession.sparkContext.broadcast(_filter_of(want, SET_BITS))
+            found = self.texts.mapInArrow(_chosen_sets(self.k, bloom), "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
+            self.known.append(sc.write(found.join(want, "sid", "left_semi"), f"sets{tag}", compression="none"))
+        left = pairs.join(self._all().select(F.col("sid").alias("a"), F.col("items").alias("x")), "a")
+        both = left.join(self._all().select(F.col("sid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
         out = sc.write(both.mapInArrow(_overlaps, "a long, b long, na long, nb long, inter long"), f"overlap{tag}")
-        sc.drop(f"pairs{tag}", f"sets{tag}")
+        sc.drop(f"pairs{tag}", f"want{tag}")
         return out
 
+    def drop(self) -> None:
+        self.scratch.drop(*(f"{x}{i}" for x in ("sets", "overlap") for i in range(1, self.n + 1)))
+
 
 def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): one row per row of ``docs``.
@@ -269,36 +286,49 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     twice = heads.select(F.explode("head").alias("token")).groupBy("token").count().filter("count > 1").select("token")
     bloom = spark.sparkContext.broadcast(_filter_of(twice, TOKEN_BITS))
     lists = scratch.write(heads.mapInArrow(_shared_lists(bloom), "token long, sid long, n long, pos long"), "lists_all")
-    # of each token the leader, which is the smallest set
-    lead = lists.groupBy("token").agg(F.min(F.struct("n", "sid")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("token", "lead")
-    lists = scratch.write(lists.join(lead, "token").select("token", "sid", "n", "pos", F.col("lead.sid").alias("leader"), F.col("lead.n").alias("ln")), "lists")
+    lists = scratch.write(lists.join(lists.groupBy("token").count().filter("count > 1"), "token").select("token", "sid", "n", "pos"), "lists")
+    # lists that two linked sets share at least, from their sizes
+    need = lambda m, n, low, high: f"({num} * ({m} + {n}) / {num + den}.0D - {num} * greatest({low}, {high}) / {den}.0D)"
     scratch.drop("lists_all", "heads")
     sets = _Sets(texts, k, scratch)
     enough = f"inter * {num + den} >= {num} * (na + nb)"  # den * inter >= num * (na + nb - inter)
 
-    # one leader for each set: the one it shares most lists with
-    star = lists.filter(f"sid <> leader and {num} * n <= {den} * ln").groupBy("sid", "leader").agg(F.count("*").alias("c"))
-    star = star.groupBy("sid").agg(F.max(F.struct("c", "leader")).alias("m")).select(F.col("sid").alias("a"), F.col("m.leader").alias("b"))
-    near = sets.compare(star)
-    links = near.filter(enough)
+    def star(members: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+        """Pairs of a set and up to three leaders of other components, those it shares most lists with."""
+        lead = members.groupBy("token").agg(*(F.min(F.struct("pos", F.xxhash64("sid", F.lit(x)).alias("h"), "sid", "n", "root")).alias(f"l{x}") for x in seeds))
+        lead = lead.select("token", F.array_distinct(F.array(*(F.struct(f"l{x}.sid", f"l{x}.n", f"l{x}.root") for x in seeds))).alias("lead"))
+        met = members.join(lead, "token").select("sid", "n", "root", F.explode("lead").alias("l"))
+        met = met.filter(f"root <> l.root and {num} * n <= {den} * l.n and {num} * l.n <= {den} * n")
+        met = met.groupBy("sid", F.col("l.sid").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("l.n").alias("ln"))
+        # half of the lists is enough, where some may have another leader
+        met = met.filter(f"2 * c >= {need('n', 'ln', 'n', 'ln')}").groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), False), 1, 3).alias("m"))
+        return met.select(F.col("sid").alias("a"), F.explode("m.b").alias("b"))
+
+    links = sets.compare(star(lists.withColumn("root", F.col("sid")), (1, 2, 3))).filter(enough)
+    root = scratch.write(components(links.select("a", "b"), scratch, "cc0"), "root0")
+    rooted = lists.join(root.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+    rooted = scratch.write(rooted.join(mixed, "token", "left_semi"), "rooted")
+    links = links.unionByName(sets.compare(star(rooted, (4, 5, 6))).filter(enough))
     root = scratch.write(components(links.select("a", "b"), scratch, "cc1"), "root1")
 
     # blocks of a list: by the leader that a member is near to, with its distance
-    own = links.groupBy("a").agg(F.min(F.struct(F.expr("na + nb - 2 * inter").alias("far"), "b")).alias("p"))
+    own = links.select("a", "b", "na", "nb", "inter").unionByName(links.select(F.col("b").alias("a"), F.col("b"), "nb", F.col("nb").alias("na"), F.col("nb").alias("inter")))
+    own = own.groupBy("a").agg(F.min(F.struct(F.expr("na + nb - 2 * inter").alias("far"), "b")).alias("p"))
     own = own.select(F.col("a").alias("sid"), F.col("p.b").alias("pivot"), F.col("p.far").alias("far"))
     known = root.select(F.col("v").alias("sid"), "root").join(own, "sid", "left")
-    members = lists.select("token", "sid", "n", "pos").join(known, "sid", "left").select(
+    members = rooted.select("token", "sid", "n", "pos").join(known, "sid", "left").select(
         "token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"), F.coalesce("pivot", "sid").alias("pivot"), F.coalesce("far", F.lit(0)).alias("far"))
     mixed = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     members = scratch.write(members.join(mixed, "token", "left_semi"), "members")
-    scratch.drop("lists")
+    scratch.drop("lists", "rooted", "root0")
     blocks = scratch.write(members.groupBy("token", "pivot").agg(F.min("root").alias("root"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max(F.expr("n - pos")).alias("rest"), F.max("far").alias("far")), "blocks")
     side = lambda s: blocks.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("pivot", "root", "n0", "n1", "p0", "rest", "far")))
     # the least overlap that the smallest sizes ask for, against the most that can follow the earliest positions
-    pairs = side("x").join(side("y"), "token").filter(
-        f"rootx <> rooty and pivotx < pivoty and {num} * n0x <= {den} * n1y and {num} * n0y <= {den} * n1x "
-        f"and least(restx, resty) * {num + den} >= {num} * (n0x + n0y)")
-    pairs = pairs.select("token", "pivotx", "pivoty", "farx", "fary")
+    room = F.expr(f"least(restx, resty) * {num + den} >= {num} * (n0x + n0y)")
+    pairs = side("x").join(side("y"), "token").filter(f"rootx <> rooty and pivotx < pivoty and {num} * n0x <= {den} * n1y and {num} * n0y <= {den} * n1x")
+    pairs = pairs.groupBy("pivotx", "pivoty").agg(F.count("*").alias("c"), F.max(room).alias("room"), *(F.min(f"n0{x}").alias(f"n0{x}") for x in "xy"), *(F.max(f"n1{x}").alias(f"n1{x}") for x in "xy"))
+    pairs = pairs.filter(f"room and c >= {need('n0x', 'n0y', 'n1x', 'n1y')}").select("pivotx", "pivoty")
     pairs = scratch.write(pairs, "blockpairs")
     apart = sets.compare(pairs.select(F.col("pivotx").alias("a"), F.col("pivoty").alias("b")))
     gap = apart.select(F.col("a").alias("pivotx"), F.col("b").alias("pivoty"), F.expr("na + nb - 2 * inter").alias("gap"), F.expr(enough).alias("hit"))
@@ -307,15 +337,17 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     # members of two blocks whose leaders' distance leaves room: |x ^ y| <= (den - num) * (|x| + |y|) / (den + num)
     open_ = pairs.join(gap.filter("not hit"), ["pivotx", "pivoty"])
     mx = lambda s: members.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("pivot", "sid", "n", "pos", "far")))
-    meet = open_.select("token", "pivotx", "pivoty", "gap").join(mx("x"), ["token", "pivotx"]).join(mx("y"), ["token", "pivoty"]).filter(
+    meet = open_.select("pivotx", "pivoty", "gap").join(mx("x"), "pivotx").join(mx("y"), ["token", "pivoty"]).filter(
         f"{num} * nx <= {den} * ny and {num} * ny <= {den} * nx and (sidx <> pivotx or sidy <> pivoty) "
         f"and least(nx - posx, ny - posy) * {num + den} >= {num} * (nx + ny) "
         f"and (gap - farx - fary) * {num + den} <= {den - num} * (nx + ny)")
-    more = sets.compare(meet.select(F.least("sidx", "sidy").alias("a"), F.greatest("sidx", "sidy").alias("b")))
+    meet = meet.groupBy(F.least("sidx", "sidy").alias("a"), F.greatest("sidx", "sidy").alias("b")).count()
+    more = sets.compare(meet)
     all_links = links.select("a", "b").unionByName(direct).unionByName(more.filter(enough).select("a", "b"))
     all_links = scratch.write(all_links.distinct(), "links")
     root = scratch.write(components(all_links, scratch, "cc2"), "root2")
-    scratch.drop("members", "blocks", "blockpairs", "root1", "overlap1", "overlap2", "overlap3")
+    scratch.drop("members", "blocks", "blockpairs", "root1")
+    sets.drop()
 
     sids = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"))
     linked = root.withColumnRenamed("v", "sid").join(sids, "sid")
