@@ -6,6 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard_components
+from .scratch import Scratch
+from .sharding import shard_documents
+from .token_files import read_token_index, write_token_files
+from .topk import exact_topk
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as Re-Pair compressed token ids, written and read back."""
+    import public_tokenizers
+
+    path = Scratch(spark, "tokens").top + "/shards"
+    write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_index(spark, path)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +32,22 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors of each query vector."""
+    return exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards by jump consistent hashing."""
+    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
+
+
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op7_decontaminate": op7_decontaminate,
+    "op8_exact_topk": op8_exact_topk,
+    "op9_sharding": op9_sharding,
 }
 
 #: Words of either kind, after lower-casing A-Z only.
@@ -65,7 +91,19 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN j USING (doc_id)
 """
 
+_TOPK_SQL = """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+  FROM x q JOIN x r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM p QUALIFY rank <= 20
+"""
+
 SQL: dict[str, str] = {
     "op3_ngram_jaccard": _JACCARD_SQL,
     "op7_decontaminate": _DECONTAMINATE_SQL,
+    "op8_exact_topk": _TOPK_SQL,
 }

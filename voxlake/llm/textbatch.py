@@ -97,8 +97,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, codes: np.ndarray = FOLDED) -> Words:
-    """Maximal runs of ``inside`` bytes; no run crosses a document's edge."""
+def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, codes: np.ndarray = FOLDED, cut: np.ndarray | None = None) -> Words:
+    """Maximal runs of ``inside`` bytes; no run crosses a document's edge, nor goes on at a byte marked in ``cut``."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -106,6 +106,8 @@ def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, codes: np.n
     w = inside[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if cut is not None:
+        edge[:-1] |= cut
     starts = np.flatnonzero(w & (np.concatenate(([True], ~w[:-1])) | edge[:-1]))
     ends = np.flatnonzero(w & (np.concatenate((~w[1:], [True])) | edge[1:])) + 1
     up, down = _powers(n + 1)
