@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard_components
 from .scratch import Scratch
@@ -27,6 +29,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those whose id isn't held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.learn(docs.filter(~held))
+    return language_id.predict(docs, model, {"doc_id": (F.col("doc_id").cast("long"), "long"), "held_out": (held, "boolean")})
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 13-word windows of benchmark items."""
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -45,6 +55,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_topk": op8_exact_topk,
     "op9_sharding": op9_sharding,
