@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .scratch import bounded
 
 WINDOW = 13
 GRAM = 5
@@ -230,7 +231,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, block_bytes: int, item_col: str) -> list:
-    sc = docs.sparkSession.sparkContext
+    sc = bounded(docs.sparkSession).sparkContext
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
     return [sc.broadcast(build_index(b)) for b in _blocks(bench, block_bytes)] or [sc.broadcast(Index())]
 

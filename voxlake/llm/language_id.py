@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .scratch import bounded
 
 GRAM_BITS = 15
 PENALTY = 6.0
@@ -157,6 +158,7 @@ def _sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
 
 def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", penalty: float = PENALTY) -> Model:
     """A model of all rows with a language.  The driver gets one table of fixed size for each language."""
+    bounded(rows.sparkSession)
     own = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     got = own.mapInArrow(_count, "lang string, counts binary").groupBy("lang").applyInArrow(_sum, "lang string, counts binary").collect()
     got = sorted((r.lang, np.frombuffer(zlib.decompress(r.counts), "<i8")) for r in got)
@@ -277,7 +279,7 @@ def _predict(shared):
 
 def predict(docs: DataFrame, model: Model, keep: dict, text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` (name -> (column, type)) with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded(docs.sparkSession).sparkContext.broadcast(model)
     own = docs.select(*(c.alias(n) for n, (c, _) in keep.items()), F.col(text_col).cast("string").alias("_text"))
     return own.mapInArrow(_predict(shared), ", ".join(f"`{n}` {t}" for n, (_, t) in keep.items()) + ", lang_pred string, score double")
 

@@ -25,17 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Let ``DataFrame.checkpoint`` use the shared folder."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bound Arrow batches by 8 MB where the session has Spark's default of 64: rows here are whole texts."""
+    if spark.conf.get(_BATCH, "") in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(_BATCH, str(8 << 20))
+    return spark
 
 
 class Scratch:
     """Tables of one operator call.  ``drop`` removes those no later step reads; the rest go when the JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = bounded(spark)
         self.top = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         path = self._path(self.top)
         path.getFileSystem(self._conf()).deleteOnExit(path)

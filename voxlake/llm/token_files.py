@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .scratch import bounded
 
 SHARD_TOKENS = 1 << 20
 CACHE = 1_500_000
@@ -329,6 +330,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     """Encode all texts and write shards to ``path``, in ascending id order within and across parts."""
     with open(tokenizer_file, encoding="utf-8") as f:
         tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, whatever the corpus
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
     rows.mapInArrow(_write(tokenizer, end_id, shard_tokens, whole), _SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -350,7 +352,7 @@ def _read(offsets):
 
 def read_token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, all decoded from the shards."""
-    files = spark.read.schema(_SCHEMA).parquet(path)
+    files = bounded(spark).read.schema(_SCHEMA).parquet(path)
     totals = {r.part: r.n for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # one number for each write task
     offsets, run = {}, 0
     for part in sorted(totals):
