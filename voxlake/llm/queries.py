@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id
+from .chat import format_and_read
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard_components
 from .scratch import Scratch
@@ -52,6 +53,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds control strings, formatted in windows and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return format_and_read(turns.unionByName(more))
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -59,6 +68,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_topk": op8_exact_topk,
     "op9_sharding": op9_sharding,
+    "op10_chat": op10_chat,
 }
 
 #: Words of either kind, after lower-casing A-Z only.

@@ -30,7 +30,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bounded(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches by 8 MB where the session has Spark's default of 64: rows here are whole texts."""
-    if spark.conf.get(_BATCH, "") in ("64MB", "67108864b", "67108864"):
+    if spark.conf.get(_BATCH) in ("64MB", "67108864b", "67108864"):
         spark.conf.set(_BATCH, str(8 << 20))
     return spark
 
