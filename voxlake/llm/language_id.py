@@ -65,14 +65,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 def letter_runs(off: np.ndarray, data: np.ndarray) -> tuple[tb.Words, np.ndarray]:
     """(words of letters and marks with a letter each, their scripts) of a slice of valid UTF-8."""
     kind, starts = _tables()
-    lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
-    b = data[at].astype(np.int64)
-    n = 1 + (b >= 0xC0) + (b >= 0xE0) + (b >= 0xF0)
-    point = np.where(n == 1, b, b & (0xFF >> (n + 1)))
-    for i in (1, 2, 3):
-        more = n > i
-        point[more] = (point[more] << 6) | (data[at[more] + i] & 0x3F)
+    at, point = tb.code_points(data)
     sort = kind[np.minimum(point, 0x10FFFF)]
     per = np.zeros(len(data), np.uint8)
     per[:] = np.repeat(sort, np.diff(np.append(at, len(data)))) if len(at) else 0

@@ -119,6 +119,26 @@ def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, codes: np.n
     return Words(starts, ends, np.searchsorted(starts, offsets), h)
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each character, its code point) of valid UTF-8."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    b = data[at].astype(np.int64)
+    n = 1 + (b >= 0xC0) + (b >= 0xE0) + (b >= 0xF0)
+    point = np.where(n == 1, b, b & (0xFF >> (n + 1)))
+    for i in (1, 2, 3):
+        more = n > i
+        point[more] = (point[more] << 6) | (data[at[more] + i] & 0x3F)
+    return at, point
+
+
+def running(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums, inverse powers): ``(sums[b] - sums[a]) * down[a]`` hashes codes a .. b - 1 wherever they stand."""
+    up, down = _powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    return sums, down
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each position on, ``len(h) - k + 1`` of them."""
     if len(h) < k:
