@@ -33,6 +33,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -213,6 +214,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.vocabulary = max(self.tokenizer.get_vocab().values()) + 1
+        # ids that end a run of letters, where the vocabulary marks them
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(self.vocabulary, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = bool(suffix) and token.endswith(suffix)
         # a piece of one id that no other piece has, to part many pieces in one text
         mark, plain = self._plain("\x01"), self._plain("ab cd!")
         self.mark = mark[0] if len(mark) == 1 and self._plain("ab cd! \x01 \x01 ab cd!") == plain + mark * 2 + plain else None
@@ -229,6 +235,12 @@ class Encoder:
         self.slot: dict[int, int] = {}
         self.flat, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
+    def _letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same of pieces that are letters alone, each one run; None where the ends don't tell them apart."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(self.closes[ids])
+        return (ids, np.diff(np.concatenate(([-1], cut)))) if len(cut) == len(pieces) and cut[-1] == len(ids) - 1 else None
+
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, how many of each)."""
         text = " \x01 ".join(pieces)
@@ -241,8 +253,14 @@ class Encoder:
         return np.concatenate([np.array(x, np.uint32) for x in got]), np.array([len(x) for x in got])
 
     def _add(self, keys: list[int], pieces: list[str]) -> None:
+        plain = [p.isalpha() for p in pieces]
+        for kind in (True, False):
+            self._add_kind([k for k, x in zip(keys, plain) if x is kind], [p for p, x in zip(pieces, plain) if x is kind], kind)
+
+    def _add_kind(self, keys: list[int], pieces: list[str], plain: bool) -> None:
         for i in range(0, len(keys), 5_000):
-            new, n = self._ids(pieces[i : i + 5_000])
+            part = pieces[i : i + 5_000]
+            new, n = plain and self._letters(part) or self._ids(part)
             k, total = len(self.slot), int(n.sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -270,14 +288,14 @@ class Encoder:
             cut = np.concatenate(([False], (kind[1:] ^ kind[:-1]) == 3))
         w = tb.words(off, data, tb.NOT_SPACE, tb.FOLDED if free and self.fold else tb.EXACT, cut)
         keys, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        slots = [self.slot.get(x, -1) for x in keys.tolist()]
-        missing = [i for i, s in enumerate(slots) if s < 0]
-        if missing:
+        find = lambda x: np.fromiter(map(self.slot.get, x.tolist(), repeat(-1)), np.int64, len(x))
+        slots = find(keys)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
             a, b = w.starts[at[missing]].tolist(), w.ends[at[missing]].tolist()
             self._add(keys[missing].tolist(), [raw[x:y].decode() for x, y in zip(a, b)])
-            for i, x in zip(missing, keys[missing].tolist()):
-                slots[i] = self.slot[x]
-        slot = np.array(slots, np.int64)[back] if len(slots) else np.zeros(0, np.int64)
+            slots[missing] = find(keys[missing])
+        slot = slots[back]
         n = self.length[slot]
         ids = self.flat[_spread(self.start[slot], n)]
         before = np.concatenate(([0], np.cumsum(n)))[w.first]
