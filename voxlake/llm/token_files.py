@@ -78,18 +78,19 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS,
     for r in range(rounds):
         if len(seq) < 2 * least or free - first >= room:
             break
-        slot = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B) + np.uint32(0x165667B1))) * np.uint32(0xC2B2AE35)
-        slot >>= np.uint32(32 - _TABLE)
-        slot[last[:-1]] = table
+        ahead = seq[1:]
+        slot = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (ahead * np.uint32(0x85EBCA6B) + np.uint32(0x165667B1))) * np.uint32(0xC2B2AE35)
+        slot = (slot >> np.uint32(32 - _TABLE)).astype(np.intp)
+        slot[np.flatnonzero(last[:-1])] = table
         load = np.bincount(slot, minlength=table + 1)
         load[table] = 0
-        spot = np.flatnonzero((load >= least)[slot])  # where a pair may be frequent
-        cell = slot[spot]
-        holder = np.zeros(table + 1, np.int32)
+        spot = np.flatnonzero((load >= least).take(slot))  # where a pair may be frequent
+        cell = slot.take(spot)
+        holder = np.zeros(table + 1, np.intp)
         holder[cell] = spot  # of pairs that share a cell one is counted now, the others in a later round
-        other = holder[cell]
-        same = (seq[spot] == seq[other]) & (seq[spot + 1] == seq[other + 1])
-        spot, cell = spot[same], cell[same]
+        other = holder.take(cell)
+        same = np.flatnonzero((seq.take(spot) == seq.take(other)) & (ahead.take(spot) == ahead.take(other)))
+        spot, cell = spot.take(same), cell.take(same)
         uses = np.bincount(cell, minlength=table)
         chosen = np.flatnonzero(uses >= least)
         share = max(1, (room - (free - first)) // (2 if r < rounds - 1 else 1))
@@ -99,19 +100,20 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS,
             break
         weight = np.zeros(table, np.int32)
         weight[chosen] = uses[chosen]
-        w = np.zeros(len(seq) + 1, np.int32)
-        w[spot + 1] = weight[cell]
-        mine = w[spot + 1]
-        take = (mine > w[spot]) & (mine >= w[np.minimum(spot + 2, len(seq))] * (spot + 2 <= len(seq)))
-        spot, cell = spot[take], cell[take]
+        mine = weight.take(cell)
+        w = np.zeros(len(seq) + 2, np.int32)  # of the pair at i at i + 1, none at either end
+        w[spot + 1] = mine
+        take = np.flatnonzero((mine > w.take(spot)) & (mine >= w.take(spot + 2)))
+        spot, cell = spot.take(take), cell.take(take)
         used = np.bincount(cell, minlength=table)
         chosen = chosen[used[chosen] >= least]
         if not len(chosen):
             break
         symbol = np.zeros(table, np.uint32)
         symbol[chosen] = np.arange(free, free + len(chosen), dtype=np.uint32)
-        new = symbol[cell]
-        at, new = spot[new > 0], new[new > 0]
+        new = symbol.take(cell)
+        good = np.flatnonzero(new)
+        at, new = spot.take(good), new.take(good)
         left.append(seq[holder[chosen]])
         right.append(seq[holder[chosen] + 1])
         sizes.append(len(chosen))
