@@ -235,6 +235,8 @@ class Encoder:
 
     def _clear(self):
         self.slot: dict[int, int] = {}
+        # before the dictionary a table of the last piece met at each of 2^20 cells
+        self.near_key, self.near_slot = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, np.int64)
         self.flat, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -289,15 +291,21 @@ class Encoder:
             kind = _CLASS[data]
             cut = np.concatenate(([False], (kind[1:] ^ kind[:-1]) == 3))
         w = tb.words(off, data, tb.NOT_SPACE, tb.FOLDED if free and self.fold else tb.EXACT, cut)
-        keys, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        find = lambda x: np.fromiter(map(self.slot.get, x.tolist(), repeat(-1)), np.int64, len(x))
-        slots = find(keys)
-        missing = np.flatnonzero(slots < 0)
-        if len(missing):
-            a, b = w.starts[at[missing]].tolist(), w.ends[at[missing]].tolist()
-            self._add(keys[missing].tolist(), [raw[x:y].decode() for x, y in zip(a, b)])
-            slots[missing] = find(keys[missing])
-        slot = slots[back]
+        cell = (w.hashes & np.uint64(len(self.near_key) - 1)).astype(np.intp)
+        slot = self.near_slot.take(cell)
+        far = np.flatnonzero(self.near_key.take(cell) != w.hashes)
+        if len(far):
+            keys, at, back = np.unique(w.hashes[far], return_index=True, return_inverse=True)
+            find = lambda x: np.fromiter(map(self.slot.get, x.tolist(), repeat(-1)), np.int64, len(x))
+            slots, at = find(keys), far[at]
+            missing = np.flatnonzero(slots < 0)
+            if len(missing):
+                a, b = w.starts[at[missing]].tolist(), w.ends[at[missing]].tolist()
+                self._add(keys[missing].tolist(), [raw[x:y].decode() for x, y in zip(a, b)])
+                slots[missing] = find(keys[missing])
+            slot[far] = slots[back]
+            cell = (keys & np.uint64(len(self.near_key) - 1)).astype(np.intp)
+            self.near_key[cell], self.near_slot[cell] = keys, slots
         n = self.length[slot]
         ids = self.flat[_spread(self.start[slot], n)]
         before = np.concatenate(([0], np.cumsum(n)))[w.first]
