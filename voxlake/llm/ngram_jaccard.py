@@ -361,3 +361,23 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     classes = scratch.write(classes, "classes")
     out = rows.join(classes, (rows.sid == classes.sid) & (rows.n > 0), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with their own columns, one of each component: that of the smallest id.
+
+    Of rows of one id and one text one is kept.  Rows of one id whose texts differ are told apart by
+    their components only: all of the smallest id stay.  Rows of a null id are kept.
+    """
+    scratch = Scratch(docs.sparkSession, "distinct")
+    found = scratch.write(ngram_jaccard_components(docs, k, num, den, id_col, text_col), "found")
+    drop = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    again = found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
+    drop, again = scratch.write(drop, "drop"), scratch.write(again, "again")
+    scratch.drop("found")
+    is_ = docs[id_col].cast("long") == F.col("_id")
+    kept = docs.join(drop, is_, "left_anti")
+    if again.isEmpty():
+        return kept
+    is_ = kept[id_col].cast("long") == F.col("_id")
+    return kept.join(again, is_, "left_anti").unionByName(kept.join(again, is_, "left_semi").dropDuplicates([id_col, text_col]))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, quality
 from .chat import format_and_read
 from .decontaminate import decontaminate
+from .line_dedup import dropped_lines
+from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_components
 from .scratch import Scratch
 from .sharding import shard_documents
@@ -15,6 +17,15 @@ from .token_files import read_token_index, write_token_files
 from .topk import exact_topk
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents graded: 0 toxic, 1 of low quality, 2 good.  Those likely to be good are kept."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    out = quality.grade_documents(docs, quality.learn(docs, labels, grade, 3))
+    tail = lambda k: F.col("tails")[k - 1]
+    return out.select("doc_id", "score", "expected_grade", tail(1).alias("p_not_toxic"), tail(2).alias("p_good"), (tail(1) < 0.5).alias("toxic"), (tail(2) >= 0.3).alias("keep"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as Re-Pair compressed token ids, written and read back."""
     import public_tokenizers
@@ -30,6 +41,16 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flattest mix of sources in which no source is repeated more than twice, with nothing left out."""
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_repeats=2.0)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents to drop, as an earlier line is equal or one character away."""
+    return dropped_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those whose id isn't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -62,8 +83,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_topk": op8_exact_topk,
