@@ -6,8 +6,8 @@ A document's set holds its distinct k-word shingles.  Two sets link when
 How the pairs stay few, without losing a link between different sets:
 
 1. Equal sets collapse: everything after works on one row per distinct set.
-2. Shingles are ordered rare-first.  The order comes from a fixed-size counting sketch of all
-   shingles; any order common to all sets is exact, a rough one only costs time.  Linked sets share
+2. Shingles are ordered rare-first.  The order comes from a counting sketch of all shingles of bounded
+   size; any order common to all sets is exact, a rough one only costs time.  Linked sets share
    a shingle among the first ``n - ceil(t n) + 1`` of both (their prefixes).
 3. Each prefix shingle has an index list.  Every set is first compared with up to three leaders of
    the lists it stands in.  A list's leader stands earliest in it, so has the fewest shingles of its
@@ -42,7 +42,8 @@ from . import textbatch as tb
 from .components import components
 from .scratch import Scratch
 
-SKETCH_BITS = 20
+#: Cells of the counting sketch: about one for 16 shingles, as powers of two within these.
+SKETCH_BITS = (20, 24)
 CHUNKS = 64
 #: Filters of fixed size: 8 MB for shingles that stand in two prefixes, 1 MB for sets to fetch.  A full one only costs time.
 TOKEN_BITS = 26
@@ -77,46 +78,51 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return n, a.view(np.int64), b.view(np.int64)
 
 
-def _summary(k: int):
+def _summary(k: int, bits: int):
     """Per document (id, n, sid, check); at the end of a task its share of the sketch, in packed pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 1 << SKETCH_BITS
-        sketch = np.zeros(width, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             ids = batch.column(0)
             for i, j, off, data in tb.slices(batch.column(1)):
                 sets = shingle_sets(off, data, k)
                 n, sid, check = _fingerprints(sets)
-                if n.sum():
-                    sketch += np.bincount((np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint32)
+                np.add.at(sketch, (np.concatenate(sets) & np.uint64(len(sketch) - 1)).astype(np.intp), np.uint32(1))
                 none = pa.nulls(j - i, pa.int32())
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(sid), pa.array(check), none, pa.nulls(j - i, pa.binary())], names=["id", "n", "sid", "chk", "chunk", "counts"])
         if sketch.any():
-            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, CHUNKS)]
+            parts = [zlib.compress(np.minimum(p, 255).astype(np.uint8).tobytes(), 1) for p in np.split(sketch, CHUNKS)]  # over 255 in a task is common anyhow
             none = pa.nulls(CHUNKS, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=["id", "n", "sid", "chk", "chunk", "counts"])
 
     return run
 
 
-def _add_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((1 << SKETCH_BITS) // CHUNKS, np.uint64)
-    for batch in batches:
-        for x in batch.column(1):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+def _rank_cells(bits: int, mean: float):
+    """Of each sketch cell a rank: 0 for loads that chance explains, then one more for each doubling."""
+    usual = mean + 4 * mean**0.5 + 4
 
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = np.zeros((1 << bits) // CHUNKS, np.uint64)
+        for batch in batches:
+            for x in batch.column(1):
+                load += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        rank = np.clip(np.ceil(np.log2(np.maximum(load / usual, 1))), 0, 60).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(rank.tobytes(), 1)], pa.binary())], names=["chunk", "ranks"])
 
-def _ranks(summary: DataFrame) -> np.ndarray:
-    """Of each sketch cell a rank: 0 for loads that chance explains, then one more for each doubling."""
-    rows = summary.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary").collect()
-    load = np.zeros(1 << SKETCH_BITS, np.uint64)
-    width = len(load) // CHUNKS
+    return run
+
+
+def _ranks(summary: DataFrame, bits: int) -> np.ndarray:
+    """The rank of each cell: a byte each."""
+    mean = (summary.agg(F.sum("n").alias("n")).first().n or 0) / (1 << bits)
+    rows = summary.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_rank_cells(bits, mean), "chunk int, ranks binary").collect()
+    out = np.zeros(1 << bits, np.uint8)
+    width = len(out) // CHUNKS
     for r in rows:
-        load[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.counts, np.uint64)
-    usual = load.mean() + 4 * np.sqrt(load.mean()) + 4
-    return np.clip(np.ceil(np.log2(np.maximum(load / usual, 1))), 0, 60).astype(np.uint8)
+        out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(zlib.decompress(r.ranks), np.uint8)
+    return out
 
 
 def _prefixes(k: int, num: int, den: int, ranks_of):
@@ -279,8 +285,10 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    summary = scratch.write(texts.mapInArrow(_summary(k), "id long, n long, sid long, chk long, chunk int, counts binary"), "summary")
-    ranks = spark.sparkContext.broadcast(_ranks(summary))  # one byte a cell, 2^20 cells whatever the input
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    bits = min(max(int(np.ceil(np.log2(size / 6 / 16 + 1))), SKETCH_BITS[0]), SKETCH_BITS[1])
+    summary = scratch.write(texts.mapInArrow(_summary(k, bits), "id long, n long, sid long, chk long, chunk int, counts binary"), "summary")
+    ranks = spark.sparkContext.broadcast(_ranks(summary, bits))  # a byte a cell, 16 MB at most whatever the input
     rows = summary.filter("chunk is null").select("id", "n", "sid")
     heads = texts.mapInArrow(_prefixes(k, num, den, ranks), "sid long, n long, head array<long>")
     heads = scratch.write(heads.groupBy("sid").agg(F.first("n").alias("n"), F.first("head").alias("head")), "heads")
