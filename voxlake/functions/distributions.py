@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _NORMAL = NormalDist()
 LEAST_P = 1e-300
@@ -92,16 +93,16 @@ def t_to_z_approx(t: Column, df: Column) -> Column:
     return F.when(z.isNull() | F.isnan(z) | (F.abs(z) == float("inf")), F.lit(0.0)).otherwise(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_to_z_column(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_to_z(t.fillna(0), df.fillna(1)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def z_to_p_column(z: pd.Series) -> pd.Series:
     return pd.Series(z_to_p(z))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_to_z_column(p: pd.Series) -> pd.Series:
     return pd.Series(p_to_z(p))

@@ -115,18 +115,18 @@ def shuffle_table(n: int, perms: int, seed: int = SEED, blocks: np.ndarray | Non
     return out
 
 
-def lisa_generic(observed: DataFrame, permutations: DataFrame, shape: SHAPE, alpha: float = 0.05, radius: int = 2, rvar: float = 2.0, svar: float = 2.0, filteriterations: int = 2, cleanup: bool = True) -> DataFrame:
+def inference_generic(observed: DataFrame, permutations: DataFrame, shape: SHAPE, alpha: float = 0.05, radius: int = 2, rvar: float = 2.0, svar: float = 2.0, filteriterations: int = 2, cleanup: bool = True) -> DataFrame:
     """Inference for any statistic: an observed map and maps (perm, b, r, c, value) under the null."""
     maps = observed.select(F.lit(0).alias("perm"), *VOXEL, "value").unionByName(permutations.select((F.col("perm") + 1 - F.lit(int(permutations.agg(F.min("perm")).first()[0] or 0))).alias("perm"), *VOXEL, "value"))
     return _finish(maps, shape, alpha, radius, rvar, svar, filteriterations, cleanup)
 
 
-def lisa_onesample(subjects: DataFrame, n: int, shape: SHAPE, mask: DataFrame | None = None, alpha: float = 0.05, perm: int = 5000, seed: int = SEED, radius: int = 2, rvar: float = 2.0, svar: float = 2.0, filteriterations: int = 2, cleanup: bool = True) -> DataFrame:
+def inference_onesample(subjects: DataFrame, n: int, shape: SHAPE, mask: DataFrame | None = None, alpha: float = 0.05, perm: int = 5000, seed: int = SEED, radius: int = 2, rvar: float = 2.0, svar: float = 2.0, filteriterations: int = 2, cleanup: bool = True) -> DataFrame:
     maps = _permuted(glm.as_series(filters.apply_mask(subjects, mask), n), flip_table(n, perm, seed), one_sample_z)
     return _finish(settle(maps), shape, alpha, radius, rvar, svar, filteriterations, cleanup)
 
 
-def lisa_twosample(subjects: DataFrame, groups: np.ndarray, shape: SHAPE, test: str = "pooled", mask: DataFrame | None = None, alpha: float = 0.05, perm: int = 5000, seed: int = SEED, radius: int = 2, rvar: float = 2.0, svar: float = 2.0, filteriterations: int = 2, cleanup: bool = True) -> DataFrame:
+def inference_twosample(subjects: DataFrame, groups: np.ndarray, shape: SHAPE, test: str = "pooled", mask: DataFrame | None = None, alpha: float = 0.05, perm: int = 5000, seed: int = SEED, radius: int = 2, rvar: float = 2.0, svar: float = 2.0, filteriterations: int = 2, cleanup: bool = True) -> DataFrame:
     """groups: 1 or 2 of each subject.  ``paired``: subject k of group 1 with subject k of group 2."""
     groups = np.asarray(groups)
     n = len(groups)
@@ -139,7 +139,7 @@ def lisa_twosample(subjects: DataFrame, groups: np.ndarray, shape: SHAPE, test:
     return _finish(settle(maps), shape, alpha, radius, rvar, svar, filteriterations, cleanup)
 
 
-def lisa_2ndlevel(subjects: DataFrame, design: np.ndarray, contrast: np.ndarray, shape: SHAPE, groups: np.ndarray | None = None, nuisance: np.ndarray | None = None, demean: bool = True, mask: DataFrame | None = None, alpha: float = 0.05, perm: int = 5000, seed: int = SEED, radius: int = 2, rvar: float = 2.0, svar: float = 2.0, filteriterations: int = 2, cleanup: bool = True) -> DataFrame:
+def inference_2ndlevel(subjects: DataFrame, design: np.ndarray, contrast: np.ndarray, shape: SHAPE, groups: np.ndarray | None = None, nuisance: np.ndarray | None = None, demean: bool = True, mask: DataFrame | None = None, alpha: float = 0.05, perm: int = 5000, seed: int = SEED, radius: int = 2, rvar: float = 2.0, svar: float = 2.0, filteriterations: int = 2, cleanup: bool = True) -> DataFrame:
     """A linear model over subjects.  Design columns are permuted within exchange groups, nuisance columns never; one constant contrast column has its sign switched instead."""
     design, contrast = np.asarray(design, float), np.asarray(contrast, float)
     n = len(design)
@@ -182,11 +182,11 @@ def _first_level(series: DataFrame, trials: pd.DataFrame, contrast: np.ndarray,
     return _finish(settle(maps), shape, options.get("alpha", 0.05), options.get("radius", 2), options.get("rvar", 2.0), options.get("svar", 2.0), options.get("filteriterations", 2), options.get("cleanup", True))
 
 
-def lisa_precoloring(series: DataFrame, trials: pd.DataFrame, contrast: np.ndarray, n_steps: int, tr: float, shape: SHAPE, hemo: str = "gamma_0", nuisance=None, perm: int = 5000, seed: int = SEED, mask: DataFrame | None = None, **options) -> DataFrame:
+def inference_precoloring(series: DataFrame, trials: pd.DataFrame, contrast: np.ndarray, n_steps: int, tr: float, shape: SHAPE, hemo: str = "gamma_0", nuisance=None, perm: int = 5000, seed: int = SEED, mask: DataFrame | None = None, **options) -> DataFrame:
     return _first_level(filters.apply_mask(series, mask), trials, contrast, n_steps, tr, glm.contrast_map, shape, hemo, nuisance, perm, seed, **options)
 
 
-def lisa_prewhitening(series: DataFrame, trials: pd.DataFrame, contrast: np.ndarray, n_steps: int, tr: float, shape: SHAPE, hemo: str = "gamma_0", nuisance=None, order: int = 1, perm: int = 5000, seed: int = SEED, **options) -> DataFrame:
+def inference_prewhitening(series: DataFrame, trials: pd.DataFrame, contrast: np.ndarray, n_steps: int, tr: float, shape: SHAPE, hemo: str = "gamma_0", nuisance=None, order: int = 1, perm: int = 5000, seed: int = SEED, **options) -> DataFrame:
     white = lambda s, x, c: glm.prewhitened(s, x, c, order).withColumnRenamed("z", "value")
     return _first_level(series, trials, contrast, n_steps, tr, white, shape, hemo, nuisance, perm, seed, **options)
 
@@ -405,12 +405,12 @@ def convert_files(spark, path: str, out: str | None = None, shape: SHAPE | None
 
 #: Programs by what they do; the values are functions of this module or of the sources.
 PROGRAMS: dict[str, Callable] = {
-    "lisa_generic": lisa_generic, "lisa_onesample": lisa_onesample, "lisa_twosample": lisa_twosample, "lisa_2ndlevel": lisa_2ndlevel, "lisa_precoloring": lisa_precoloring,
-    "lisa_prewhitening": lisa_prewhitening, "lisa_applythreshold": stats.apply_threshold, "ecm": ecm, "spectralecm": spectral_ecm, "bcm": bipartite, "ccm": ccm, "ted": task_edge_density,
-    "tedfdr": edge_density_fdr, "hubness": edge_hubs, "cuttrials": cut_trials, "sml": semi_blind_prediction, "sml_statistics": semi_blind_statistics, "readconnectome": text.read_connectomes,
-    "cylarim": cortical_layers, "cylarim_probe": layers_probe, "cylarim_roi": layers_roi, "cylarim_seed": layers_seed, "cylarim_equivol": layers_equivolume, "cylarim_getmask": layers_getmask,
+    "inference_generic": inference_generic, "inference_onesample": inference_onesample, "inference_twosample": inference_twosample, "inference_2ndlevel": inference_2ndlevel, "inference_precoloring": inference_precoloring,
+    "inference_prewhitening": inference_prewhitening, "inference_applythreshold": stats.apply_threshold, "ecm": ecm, "spectralecm": spectral_ecm, "bcm": bipartite, "ccm": ccm, "ted": task_edge_density,
+    "tedfdr": edge_density_fdr, "hubness": edge_hubs, "cuttrials": cut_trials, "semi_blind_prediction": semi_blind_prediction, "semi_blind_statistics": semi_blind_statistics, "readconnectome": text.read_connectomes,
+    "layers": cortical_layers, "layers_probe": layers_probe, "layers_roi": layers_roi, "layers_seed": layers_seed, "layers_equivol": layers_equivolume, "layers_getmask": layers_getmask,
     "rim": rim, "metric": metric, "metric_euclid": lambda rims, shape, **k: metric(rims, shape, type="euclidean", **k), "fdr": fdr, "detrend": detrend, "preprocess": preprocess_series,
     "denoise": denoise, "srad": reduce_speckle, "nifti": convert_files, "dicom": files.read_dicom, "applymask": filters.apply_positive_mask, "binarize": filters.binarize,
 }
 
-__all__ = ["PROGRAMS", "dense", "sparse", *[k for k in dir() if k.startswith("lisa_")]]
+__all__ = ["PROGRAMS", "dense", "sparse", *[k for k in dir() if k.startswith("inference_")]]
