@@ -127,10 +127,15 @@ def pair_blocks(left: DataFrame, right: DataFrame, f: Callable, schema: str, tri
     nl, nr = (d.agg(F.max("blk").alias("m")).first().m for d in (left, right))
     if nl is None or nr is None:
         return left.sparkSession.createDataFrame([], schema)
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, where both sides are one table
     l = left.withColumn("bi", F.col("blk")).withColumn("bj", F.explode(F.sequence(F.col("blk") if triangle else F.lit(0), F.lit(nr))))  # noqa: E741
     r = right.withColumn("bj", F.col("blk")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blk") if triangle else F.lit(nl))))
 
+    names = [x.strip().split()[0] for x in schema.split(",")]
+
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
         return f(key, a.sort_values("pos"), b.sort_values("pos"))
 
     return l.groupBy("bi", "bj").cogroup(r.groupBy("bi", "bj")).applyInPandas(run, schema)
@@ -318,7 +323,7 @@ def concordance_map(cohort: DataFrame, kind: str = "kendall", gauss: bool = Fals
     voxels = x.select("vid").distinct().withColumn("g", F.floor((F.row_number().over(Window.orderBy("vid")) - 1) / seeds_per_task).cast("int"))
     groups = (voxels.agg(F.max("g").alias("g")).first().g or 0) + 1
     seeds = voxels.join(x, "vid")
-    every = x.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    every = x.select(*(F.col(c).alias(c) for c in x.columns), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         subj = np.sort(b.subj.unique())

@@ -1,6 +1,785 @@
-"""The registered queries of the library's own operators."""
+"""The registered queries of the library's own operators, over whole tables, and SQL where SQL can say them.
+
+The tables stand in for volumes and series: ``lineitem`` gives subject maps on an 8 x 8 x 8 grid,
+``embeddings`` voxel series of 64 steps, ``events`` trials and irregular series, ``lineitem`` by part
+samples over cortical depth, ``orders`` with ``customer`` a regression.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.distributions import t_to_z_approx, z_to_p_column
+from .functions.volumes import VOXEL, offsets, per_volume
+from .operators import edge_density as ted
+from .operators import filters, glm, imaging, laminar, learning, networks, permutation, preprocess, stats
+from .plans import programs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+SHAPE = (8, 8, 8)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6, **names: str) -> DataFrame:
+    """Doubles rounded, so that results of other summation orders agree."""
+    return df.select(*(F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# -- views -----------------------------------------------------------------------------------------
+
+
+def _voxel(vid) -> list:
+    return [F.floor(vid / 64).cast("int").alias("b"), (F.floor(vid / 8) % 8).cast("int").alias("r"), (vid % 8).cast("int").alias("c")]
+
+
+def _li(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet")
+
+
+def subjects(spark: SparkSession, d: str) -> DataFrame:
+    """(b, r, c, subj, value)."""
+    g = _li(spark, d).groupBy((F.col("l_orderkey") % 512).alias("vid"), (F.col("l_partkey") % 8).cast("int").alias("subj")).agg((F.avg("l_quantity") - 25.5).alias("value"))
+    return g.select(*_voxel(F.col("vid")), "subj", "value")
+
+
+def grouped(spark, d):
+    """(b, r, c, subj, grp, value): groups by line status."""
+    grp = F.when(F.col("l_linestatus") == "O", 1).otherwise(2)
+    g = _li(spark, d).groupBy((F.col("l_orderkey") % 512).alias("vid"), (F.col("l_partkey") % 8).cast("int").alias("subj"), grp.alias("grp")).agg((F.avg("l_quantity") - 25.5).alias("value"))
+    return g.select(*_voxel(F.col("vid")), "subj", "grp", "value")
+
+
+def volume(spark, d, column: str = "l_quantity", less: float = 25.5):
+    g = _li(spark, d).groupBy((F.col("l_orderkey") % 512).alias("vid")).agg((F.avg(column) - less).alias("value"))
+    return g.select(*_voxel(F.col("vid")), "value")
+
+
+def labels(spark, d):
+    """(b, r, c, value): values 0 .. 3 of every voxel present."""
+    g = _li(spark, d).groupBy((F.col("l_orderkey") % 512).alias("vid")).agg((F.sum("l_linenumber") % 4).cast("double").alias("value"))
+    return g.select(*_voxel(F.col("vid")), "value")
+
+
+def series(spark, d):
+    """(vid, b, r, c, ts)."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("vid"), *_voxel(F.col("vec_id")), F.transform("embedding", lambda x: x.cast("double")).alias("ts"))
+
+
+def long_series(spark, d):
+    return series(spark, d).select("vid", F.posexplode("ts").alias("t", "value"))
+
+
+def depth_points(spark, d):
+    """(cid, u, z)."""
+    return _li(spark, d).select(F.col("l_partkey").alias("cid"), ((F.round(100 * F.col("l_discount")) + 0.5) / 11).alias("u"), (F.col("l_quantity") - 25.5).alias("z"))
+
+
+def trials(spark, d):
+    """(run, id, onset, duration, height): runs by user modulo 3."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    code = F.dense_rank().over(Window.orderBy("event_type"))
+    types = e.select("event_type").distinct().withColumn("id", code)  # a row an event type
+    return e.join(types, "event_type").select((F.col("user_id") % 3).cast("int").alias("run"), "id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("onset"), F.lit(1.0).alias("duration"), F.col("value").alias("height"))
+
+
+_V = "(vid // 64)::INTEGER AS b, ((vid // 8) % 8)::INTEGER AS r, (vid % 8)::INTEGER AS c"
+_SUBJ = f"(SELECT {_V}, subj, value FROM (SELECT l_orderkey % 512 AS vid, (l_partkey % 8)::INTEGER AS subj, avg(l_quantity) - 25.5::DOUBLE AS value FROM lineitem GROUP BY ALL))"
+_GRP = f"(SELECT {_V}, subj, grp, value FROM (SELECT l_orderkey % 512 AS vid, (l_partkey % 8)::INTEGER AS subj, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS grp, avg(l_quantity) - 25.5::DOUBLE AS value FROM lineitem GROUP BY ALL))"
+_VOL = f"(SELECT {_V}, value FROM (SELECT l_orderkey % 512 AS vid, avg(l_quantity) - 25.5::DOUBLE AS value FROM lineitem GROUP BY ALL))"
+_VOL2 = f"(SELECT {_V}, value FROM (SELECT l_orderkey % 512 AS vid, avg(l_discount) - 0.05::DOUBLE AS value FROM lineitem GROUP BY ALL))"
+_LAB = f"(SELECT {_V}, value FROM (SELECT l_orderkey % 512 AS vid, (sum(l_linenumber) % 4)::DOUBLE AS value FROM lineitem GROUP BY ALL))"
+_SER = f"(SELECT vec_id AS vid, {_V.replace('vid', 'vec_id')}, list_transform(embedding, lambda x: x::DOUBLE) AS ts FROM embeddings)"
+_LONG = "(SELECT vec_id AS vid, unnest(range(0, len(embedding)))::INTEGER AS t, unnest(embedding)::DOUBLE AS value FROM embeddings)"
+_DEPTH = "(SELECT l_partkey AS cid, (round(100 * l_discount) + 0.5) / 11 AS u, l_quantity - 25.5::DOUBLE AS z FROM lineitem)"
+_TRIALS = "(SELECT (user_id % 3)::INTEGER AS run, id, epoch_us(ts) / 1e6 AS onset, 1.0::DOUBLE AS duration, value AS height FROM events JOIN (SELECT event_type, dense_rank() OVER (ORDER BY event_type)::INTEGER AS id FROM (SELECT DISTINCT event_type FROM events)) USING (event_type))"
+_R = lambda *cols: ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in cols)
+
+# -- statistics ------------------------------------------------------------------------------------
+
+
+@query()
+def onesample_fdr_map(spark, d):
+    """One-sample inference from subject maps to 1 - Fdr, with 100 permutations."""
+    out = programs.inference_onesample(subjects(spark, d), 8, SHAPE, perm=100, alpha=1.0, cleanup=False)
+    return rounded(out.select(*VOXEL, "value"))
+
+
+@query(f"SELECT b, r, c, count(*) AS k, round(avg(value), 6) AS mean, round(sqrt(count(*)::DOUBLE) * avg(value) / stddev_samp(value), 6) AS t, (count(*) - 1)::DOUBLE AS df FROM {_SUBJ} WHERE abs(value) > 1e-8 GROUP BY ALL HAVING count(*) >= 6 AND var_samp(value) >= 1e-8")
+def onesample_t(spark, d):
+    return rounded(stats.one_sample_t(subjects(spark, d), 8).select(*VOXEL, "k", "mean", "t", "df"))
+
+
+@query()
+def onesample_z(spark, d):
+    return rounded(stats.with_z(stats.one_sample_t(subjects(spark, d), 8)).select(*VOXEL, "z"))
+
+
+@query(f"SELECT b, r, c, round(sign(t) * sqrt(df * ln(1 + t * t / df) * (1 - 0.5::DOUBLE / df)), 6) AS z FROM (SELECT b, r, c, sqrt(count(*)::DOUBLE) * avg(value) / stddev_samp(value) AS t, (count(*) - 1)::DOUBLE AS df FROM {_SUBJ} WHERE abs(value) > 1e-8 GROUP BY ALL HAVING count(*) >= 6 AND var_samp(value) >= 1e-8)")
+def onesample_z_approx(spark, d):
+    return rounded(stats.one_sample_t(subjects(spark, d), 8).select(*VOXEL, t_to_z_approx(F.col("t"), F.col("df")).alias("z")))
+
+
+_TWO = f"(SELECT b, r, c, count(*) FILTER (grp = 1) AS n1, count(*) FILTER (grp = 2) AS n2, avg(value) FILTER (grp = 1) AS m1, avg(value) FILTER (grp = 2) AS m2, var_samp(value) FILTER (grp = 1) AS v1, var_samp(value) FILTER (grp = 2) AS v2, sum(value) FILTER (grp = 1) AS s1, sum(value) FILTER (grp = 2) AS s2 FROM {_GRP} WHERE abs(value) > 1e-8 GROUP BY ALL HAVING n1 > 1 AND n2 > 1)"
+
+
+@query(f"SELECT b, r, c, n1, n2, round((m1 - m2) / sd, 6) AS t, df FROM (SELECT *, (n1 + n2 - 2)::DOUBLE AS df, sqrt((1.0::DOUBLE / n1 + 1.0::DOUBLE / n2) * (v1 * (n1 - 1) + v2 * (n2 - 1)) / (n1 + n2 - 2)) AS sd FROM {_TWO} WHERE abs(s1) >= 1e-10 AND abs(s2) >= 1e-10) WHERE sd >= 1e-10")
+def twosample_pooled_t(spark, d):
+    return rounded(stats.two_sample_t(grouped(spark, d)).select(*VOXEL, "n1", "n2", "t", "df"))
+
+
+@query(f"SELECT b, r, c, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 6) AS df FROM {_TWO} WHERE v1 >= 1e-10 AND v2 >= 1e-10 AND sqrt(v1 / n1 + v2 / n2) >= 1e-10")
+def twosample_welch_t(spark, d):
+    return rounded(stats.two_sample_t(grouped(spark, d), "welch").select(*VOXEL, "t", "df"))
+
+
+_PAIR = f"(SELECT b, r, c, subj, max(value) FILTER (grp = 1) AS x, max(value) FILTER (grp = 2) AS y FROM {_GRP} WHERE abs(value) > 1e-8 GROUP BY ALL HAVING x IS NOT NULL AND y IS NOT NULL)"
+
+
+@query(f"SELECT b, r, c, count(*) AS k, round(avg(x - y), 6) AS mean, round(sqrt(count(*)::DOUBLE) * avg(x - y) / stddev_samp(x - y), 6) AS t, (count(*) - 1)::DOUBLE AS df FROM {_PAIR} GROUP BY ALL HAVING count(*) > 1 AND var_samp(x - y) >= 1e-10")
+def paired_t(spark, d):
+    return rounded(stats.paired_t(grouped(spark, d)))
+
+
+@query(f"SELECT b, r, c, count(*) AS k, round((avg(x) - avg(y)) / sqrt((var_samp(x) + var_samp(y) - 2 * covar_samp(x, y)) / count(*)), 6) AS t, (count(*) - 1)::DOUBLE AS df FROM {_PAIR} GROUP BY ALL HAVING count(*) > 1 AND var_samp(x) >= 1e-10 AND var_samp(y) >= 1e-10 AND var_samp(x) + var_samp(y) - 2 * covar_samp(x, y) >= 1e-10")
+def paired_t_covariance(spark, d):
+    return rounded(stats.paired_t_covariance(grouped(spark, d)))
+
+
+@query(f"SELECT subj, count(*) AS n, round(var_samp(value), 6) AS var FROM {_SUBJ} WHERE abs(value) >= 1e-8 GROUP BY ALL HAVING count(*) >= 3")
+def image_variance(spark, d):
+    return rounded(stats.image_variance(subjects(spark, d), ["subj"]))
+
+
+@query(f"SELECT subj, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS var FROM {_SUBJ} GROUP BY ALL")
+def image_stats(spark, d):
+    return rounded(stats.image_stats(subjects(spark, d), ["subj"]))
+
+
+@query(f"SELECT subj, round(3 * quantile_disc(value, 0.5) - 2 * avg(value), 6) AS mode FROM {_SUBJ} WHERE abs(value) > 1e-8 GROUP BY ALL")
+def mode_estimate(spark, d):
+    return rounded(stats.mode_estimate(subjects(spark, d), ["subj"]))
+
+
+@query(f"SELECT subj, round(quantile_disc(value, 0.5), 6) AS value FROM {_SUBJ} GROUP BY ALL")
+def lower_median(spark, d):
+    return rounded(stats.kth_smallest(subjects(spark, d), 0.5, ["subj"]))
+
+
+def _bin(v: str, lo: float, hi: float, n: int, edge: str) -> str:
+    return f"least(floor(((CASE WHEN {v} > {hi} THEN {hi} - {edge} WHEN {v} < {lo} THEN {lo} + {edge} ELSE {v} END) - {lo}::DOUBLE) / ({hi - lo}::DOUBLE / {n})), {n - 1})::INTEGER"
+
+
+@query(f"SELECT {_bin('value', -10.0, 10.0, 200, '1e-6')} AS bin, count(*) AS n FROM {_SUBJ} WHERE abs(value) >= 1e-6 GROUP BY ALL")
+def value_histogram(spark, d):
+    return stats.histogram(subjects(spark, d), -10.0, 10.0, 200)
+
+
+_HISTS = f"h0 AS (SELECT {_bin('value', -10.0, 10.0, 200, '1e-6')} AS bin, count(*) AS n FROM {_SUBJ} WHERE abs(value) >= 1e-6 AND subj < 6 GROUP BY ALL), hz AS (SELECT {_bin('value', -10.0, 10.0, 200, '1e-6')} AS bin, count(*) AS n FROM {_SUBJ} WHERE abs(value) >= 1e-6 AND subj >= 6 GROUP BY ALL), e AS (SELECT range::INTEGER AS bin FROM range(200)), j AS (SELECT e.bin, coalesce(h0.n, 0) AS n0, coalesce(hz.n, 0) AS nz FROM e LEFT JOIN h0 USING (bin) LEFT JOIN hz USING (bin)), f AS (SELECT bin, (sum(n0) OVER w / sum(n0) OVER ())::DOUBLE AS f0, (sum(nz) OVER w / sum(nz) OVER ())::DOUBLE AS fz FROM j WINDOW w AS (ORDER BY bin ROWS UNBOUNDED PRECEDING))"
+_CURVE = "q AS (SELECT bin, f0, fz, CASE WHEN bin = 0 THEN 1.0::DOUBLE WHEN fz < 1 THEN greatest(0.0, least(1.0, (1 - f0) / (1 - fz))) ELSE 1.0 END AS raw FROM f), k AS (SELECT bin, f0, fz, min(raw) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS fdr FROM q)"
+
+
+def _halves(spark, d):
+    s = subjects(spark, d)
+    return (stats.histogram(s.filter(c), -10.0, 10.0, 200) for c in ("subj < 6", "subj >= 6"))
+
+
+@query(f"WITH {_HISTS}, {_CURVE} SELECT bin, {_R('f0', 'fz', 'fdr')} FROM k")
+def fdr_curve(spark, d):
+    return rounded(stats.fdr_curve(*_halves(spark, d), 200))
+
+
+@query(f"WITH {_HISTS}, {_CURVE} SELECT b, r, c, round(1 - fdr, 6) AS value FROM {_VOL} v JOIN k ON k.bin = {_bin('v.value', -10.0, 10.0, 200, '0.002')} WHERE v.value <> 0")
+def fdr_map(spark, d):
+    return rounded(stats.fdr_map(volume(spark, d), stats.fdr_curve(*_halves(spark, d), 200), -10.0, 10.0, 200, 1.0))
+
+
+@query(f"WITH v AS {_VOL} SELECT b, r, c, round(value, 6) AS value FROM v WHERE value >= 0.95")
+def apply_threshold(spark, d):
+    return rounded(stats.apply_threshold(volume(spark, d), 0.05))
+
+
+@query(f"WITH v AS {_VOL}, h AS (SELECT * FROM v WHERE value > 1.5), n AS (SELECT v.b, v.r, v.c, count(h.b) AS n FROM v LEFT JOIN h ON abs(h.b - v.b) <= 1 AND abs(h.r - v.r) <= 1 AND abs(h.c - v.c) <= 1 GROUP BY ALL) SELECT b, r, c, round(value, 6) AS value FROM v JOIN n USING (b, r, c) WHERE n >= 2 OR least(b, r, c, 7 - b, 7 - r, 7 - c) < 1")
+def drop_isolated(spark, d):
+    return rounded(stats.drop_isolated(volume(spark, d), 1.5, SHAPE))
+
+
+@query()
+def benjamini_hochberg(spark, d):
+    return rounded(stats.benjamini_hochberg(volume(spark, d), 0.2))
+
+
+@query(f"WITH x AS {_SUBJ}, o AS (SELECT (b * 64 + r * 8 + c)::VARCHAR AS id, value FROM x WHERE subj = 7) SELECT id, round(value, 6) AS value, round(greatest((SELECT count(*) FROM x WHERE subj < 7 AND x.value >= o.value)::DOUBLE / (SELECT count(*) FROM x WHERE subj < 7), 1.0::DOUBLE / (SELECT count(*) FROM x WHERE subj < 7)), 6) AS p FROM o")
+def empirical_p(spark, d):
+    s = subjects(spark, d)
+    real = s.filter("subj = 7").select((F.col("b") * 64 + F.col("r") * 8 + F.col("c")).alias("id"), "value")
+    return rounded(stats.empirical_p(s.filter("subj < 7").select("value"), real))
+
+
+@query(f"WITH {_HISTS}, g AS (SELECT bin, 1 - f0 AS f0, 1 - fz AS fz FROM f) SELECT bin, {_R('f0', 'fz')}, round(CASE WHEN fz > 1e-8 THEN greatest(0.0, least(1.0, f0 / fz)) ELSE 0.0 END, 6) AS fdr FROM g")
+def tail_fdr(spark, d):
+    return rounded(stats.tail_fdr_table(*_halves(spark, d), 200)[0])
+
+
+@query("WITH x AS (SELECT o_totalprice AS y, o_totalprice - c_acctbal AS pred, c_nationkey AS g FROM orders JOIN customer ON o_custkey = c_custkey), m AS (SELECT *, avg(y) OVER (PARTITION BY g) AS a FROM x) SELECT g, round(1 - sum((y - pred) ** 2) / sum((y - a) ** 2), 6) AS cod, round(sum(abs(y - pred)) / sum(abs(y)), 6) AS wmape, round(sqrt(avg((y - pred) ** 2)), 4) AS rmse, round(avg(abs(y - pred)), 4) AS mae, round(corr(y, pred), 6) AS pearson, round(avg((sign(y) = sign(pred))::INTEGER), 6) AS accuracy FROM m GROUP BY g")
+def model_metrics(spark, d):
+    x = spark.read.parquet(f"{d}/orders.parquet").join(spark.read.parquet(f"{d}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey"))
+    m = stats.model_metrics(x.select(F.col("o_totalprice").alias("y"), (F.col("o_totalprice") - F.col("c_acctbal")).alias("pred"), F.col("c_nationkey").alias("g")), by=["g"])
+    return m.select("g", F.round("cod", 6).alias("cod"), F.round("wmape", 6).alias("wmape"), F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("pearson", 6).alias("pearson"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("WITH x AS (SELECT l_suppkey AS g, l_quantity * 1000 + l_linenumber AS x, l_extendedprice AS y FROM lineitem), k AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY x, y) AS a, row_number() OVER (PARTITION BY g ORDER BY y, x) AS b FROM x) SELECT g, round(1 - 6 * sum((a - b) ** 2) / (count(*) * (count(*) * count(*) - 1)), 6) AS spearman FROM k GROUP BY g")
+def spearman(spark, d):
+    x = _li(spark, d).select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") * 1000 + F.col("l_linenumber")).alias("x"), F.col("l_extendedprice").alias("y"))
+    return rounded(stats.spearman(x, "x", "y", ["g"]))
+
+
+# -- permutations ----------------------------------------------------------------------------------
+
+
+def _draw(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 8))::UBIGINT"
+
+
+@query(f"SELECT p.range::INTEGER AS perm, s.range::INTEGER AS subj, CASE WHEN p.range = 0 THEN 0 ELSE {_draw('''concat_ws(':', '7', p.range, s.range)''')} % 2 END::INTEGER AS flip FROM range(21) p, range(8) s")
+def sign_flips(spark, d):
+    return permutation.sign_flips(spark, 8, 20, 7)
+
+
+@query(f"WITH g AS (SELECT p.range AS perm, s.range AS subj, {_draw('''concat_ws(':', '7', p.range, s.range)''')} AS h FROM range(21) p, range(8) s), k AS (SELECT perm, subj, CASE WHEN perm = 0 THEN subj + 1 ELSE row_number() OVER (PARTITION BY perm ORDER BY h, subj) END AS k FROM g) SELECT perm::INTEGER AS perm, subj::INTEGER AS subj, [1,1,1,1,2,2,2,2][k]::INTEGER AS grp FROM k")
+def group_shuffles(spark, d):
+    return permutation.group_shuffles(spark, [1, 1, 1, 1, 2, 2, 2, 2], 20, 7)
+
+
+@query(f"WITH g AS (SELECT n_regionkey, n_nationkey, p.range::INTEGER AS perm, {_draw('''concat_ws(':', '7', p.range, n_nationkey)''')} AS h FROM nation, range(6) p), k AS (SELECT *, row_number() OVER (PARTITION BY perm, n_regionkey ORDER BY n_nationkey) AS i, row_number() OVER (PARTITION BY perm, n_regionkey ORDER BY h, n_nationkey) AS j FROM g), m AS (SELECT perm, n_regionkey, CASE WHEN perm = 0 THEN i ELSE j END AS i, n_nationkey AS source FROM k) SELECT k.perm, k.n_regionkey, k.n_nationkey, m.source FROM k JOIN m ON k.perm = m.perm AND k.n_regionkey = m.n_regionkey AND k.i = m.i")
+def block_shuffles(spark, d):
+    return permutation.block_shuffles(spark.read.parquet(f"{d}/nation.parquet"), 5, "n_regionkey", "n_nationkey", 7)
+
+
+@query(f"SELECT c_custkey, ({_draw('''concat_ws(':', '7', c_custkey)''')} % 10)::INTEGER AS fold FROM customer")
+def folds(spark, d):
+    return permutation.folds(spark.read.parquet(f"{d}/customer.parquet"), 10, "c_custkey", 7).select("c_custkey", "fold")
+
+
+@query(f"WITH k AS (SELECT s.range::INTEGER AS sample, s_suppkey, row_number() OVER (PARTITION BY s.range ORDER BY {_draw('''concat_ws(':', '7', s.range, s_suppkey)''')}, s_suppkey) AS k FROM supplier, range(5) s) SELECT sample, s_suppkey, CASE WHEN k <= 6 THEN 'train' ELSE 'test' END AS part FROM k WHERE k <= 9")
+def train_test(spark, d):
+    return permutation.train_test(spark.read.parquet(f"{d}/supplier.parquet"), 5, 6, 3, "s_suppkey", 7)
+
+
+# -- masks and arithmetic --------------------------------------------------------------------------
+
+
+@query(f"SELECT b, r, c, round(value, 6) AS value FROM {_VOL} v SEMI JOIN (SELECT * FROM {_LAB} WHERE abs(value) >= 1e-6) m USING (b, r, c)")
+def apply_mask(spark, d):
+    return rounded(filters.apply_mask(volume(spark, d), labels(spark, d)))
+
+
+@query(f"SELECT b, r, c, round(value, 6) AS value FROM {_VOL} v SEMI JOIN (SELECT * FROM {_VOL2} WHERE value >= 1e-6) m USING (b, r, c)")
+def apply_positive_mask(spark, d):
+    return rounded(filters.apply_positive_mask(volume(spark, d), volume(spark, d, "l_discount", 0.05)))
+
+
+@query(f"SELECT b, r, c, 1.0::DOUBLE AS value FROM {_VOL} WHERE value::FLOAT BETWEEN (-0.5)::FLOAT AND 1.5::FLOAT")
+def binarize(spark, d):
+    return filters.binarize(volume(spark, d), -0.5, 1.5)
+
+
+_TWOV = f"(SELECT b, r, c, coalesce(v.value, 0) AS x, coalesce(w.value, 0) AS y FROM {_VOL} v FULL JOIN {_VOL2} w USING (b, r, c))"
+
+
+@query(f"SELECT b, r, c, round(CASE WHEN x * y > 0 THEN CASE WHEN x > 0 THEN least(x, y) ELSE greatest(x, y) END ELSE 0.0 END, 6) AS value FROM {_TWOV}")
+def conjunction(spark, d):
+    return rounded(filters.conjunction(volume(spark, d), volume(spark, d, "l_discount", 0.05)))
+
+
+@query(f"SELECT b, r, c, round(x - y, 6) AS value FROM {_TWOV}")
+def difference(spark, d):
+    return rounded(filters.difference(volume(spark, d), volume(spark, d, "l_discount", 0.05)))
+
+
+@query(f"SELECT b, r, c, (arg_min(subj, (-value, subj)) + 1)::DOUBLE AS max_id, (arg_min(subj, (value, subj)) + 1)::DOUBLE AS min_id, round(arg_max(value, (abs(value), value)), 6) AS maxabs FROM {_SUBJ} GROUP BY ALL")
+def pick_volume(spark, d):
+    s = subjects(spark, d).withColumnRenamed("subj", "t")
+    out = filters.pick_volume(s, "max_id").withColumnRenamed("value", "max_id")
+    for how in ("min_id", "maxabs"):
+        out = out.join(filters.pick_volume(s, how).withColumnRenamed("value", how), list(VOXEL))
+    return rounded(out)
+
+
+@query(f"SELECT b, r, c, round(abs(x), 6) AS abs, round(x * x, 6) AS square, round(x + y, 6) AS add, round(x * y, 6) AS mult, round(abs(x - y), 6) AS dist, round(greatest(x, y), 6) AS max, round(CASE WHEN x <> 0 THEN y / x ELSE 0 END, 4) AS div FROM {_TWOV}")
+def pixel_arithmetic(spark, d):
+    x, y = volume(spark, d), volume(spark, d, "l_discount", 0.05)
+    out = None
+    for op, other in (("abs", None), ("square", None), ("add", y), ("mult", y), ("dist", y), ("max", y), ("div", y)):
+        one = (filters.arithmetic(y, op, x) if op == "div" else filters.arithmetic(x, op, other)).select(*VOXEL, F.round("value", 4 if op == "div" else 6).alias(op))
+        out = one if out is None else out.join(one, list(VOXEL))
+    return out
+
+
+@query(f"SELECT b, r, c, least(greatest(round(20 * value + 100), 0), 255)::DOUBLE AS value FROM {_VOL}")
+def convert_linear(spark, d):
+    return filters.convert(volume(spark, d), "ubyte", "linear", a=20.0, b=100.0)
+
+
+@query(f"SELECT (7 - b)::INTEGER AS b, (c - 2)::INTEGER AS r, (r - 1)::INTEGER AS c, round(value, 6) AS value FROM {_VOL} WHERE r BETWEEN 1 AND 5 AND c BETWEEN 2 AND 6")
+def crop_flip_transpose(spark, d):
+    v = filters.flip(filters.crop(volume(spark, d), (0, 1, 2), (8, 5, 5)), "b", 8)
+    return rounded(filters.transpose(v, "r", "c").select(*VOXEL, "value"))
+
+
+@query("WITH e AS (SELECT l_orderkey AS i, l_partkey AS j, max(l_discount * 10) AS ted FROM lineitem GROUP BY ALL), m AS (SELECT p_partkey AS vid FROM part WHERE p_size <= 10) SELECT i, j, round(ted, 6) AS ted FROM e WHERE ted BETWEEN 0.3::DOUBLE AND 0.7::DOUBLE AND (i IN (SELECT vid FROM m) OR j IN (SELECT vid FROM m))")
+def threshold_edges(spark, d):
+    e = _li(spark, d).groupBy(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.max(F.col("l_discount") * 10).alias("ted"))
+    m = spark.read.parquet(f"{d}/part.parquet").filter("p_size <= 10").select(F.col("p_partkey").alias("vid"))
+    return rounded(filters.threshold_edges(e, 0.3, 0.7, m)).select("i", "j", "ted")
+
+
+_CUBE2 = "(SELECT x.range - 2 AS db, y.range - 2 AS dr, z.range - 2 AS dc FROM range(5) x, range(5) y, range(5) z WHERE least(abs(x.range - 2), abs(y.range - 2), abs(z.range - 2)) < 2)"
+
+
+@query(f"WITH v AS {_VOL}, n AS (SELECT p.b, p.r, p.c, q.value AS u, pow(1 - ((p.value - q.value) ** 2 / 2.0::DOUBLE + (db ** 2 + dr ** 2 + dc ** 2) / 2.0::DOUBLE) / 2048, 2048) AS w FROM v p, {_CUBE2} o JOIN v q ON q.b = p.b + db AND q.r = p.r + dr AND q.c = p.c + dc) SELECT b, r, c, round(sum(u * w) / sum(w), 5) AS value FROM n WHERE least(b, r, c, 7 - b, 7 - r, 7 - c) >= 2 GROUP BY ALL HAVING count(*) / 117.0::DOUBLE > 0.5")
+def bilateral_stencil(spark, d):
+    return rounded(filters.bilateral_stencil(volume(spark, d), SHAPE), 5)
+
+
+@query()
+def bilateral_filter(spark, d):
+    return rounded(filters.bilateral_filter(subjects(spark, d), SHAPE, ["subj"]))
+
+
+@query()
+def gaussian_smooth(spark, d):
+    return rounded(filters.smooth(volume(spark, d), SHAPE, 3.0))
+
+
+@query()
+def median_18(spark, d):
+    return rounded(filters.median_filter(volume(spark, d), SHAPE))
+
+
+# -- series ----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT vid, t, round(value - avg(value) OVER (PARTITION BY vid ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + avg(value) OVER (PARTITION BY vid), 6) AS value FROM {_LONG}")
+def moving_average(spark, d):
+    return rounded(preprocess.subtract_moving_average(long_series(spark, d), ["vid"], window=10, tr=1.0))
+
+
+@query(f"SELECT vid, t, round(CASE WHEN stddev_samp(value) OVER w < 1e-6 THEN 0.0 ELSE (value - avg(value) OVER w) / stddev_samp(value) OVER w END, 6) AS value FROM {_LONG} WINDOW w AS (PARTITION BY vid)")
+def row_zscore(spark, d):
+    return rounded(networks.z_scored(series(spark, d)).select("vid", F.posexplode("ts").alias("t", "value")))
+
+
+@query(f"SELECT vid, t, (row_number() OVER (PARTITION BY vid ORDER BY value, t) - 1)::BIGINT AS rank FROM {_LONG}")
+def row_ranks(spark, d):
+    w = Window.partitionBy("vid").orderBy("value", "t")
+    return long_series(spark, d).select("vid", "t", (F.row_number().over(w) - 1).cast("long").alias("rank"))
+
+
+@query(f"SELECT vid, count(*) AS n, round(1.25 * avg(abs(value - (a + k * t))), 6) AS size FROM (SELECT *, regr_slope(value, t) OVER w AS k, regr_intercept(value, t) OVER w AS a FROM {_LONG} WINDOW w AS (PARTITION BY vid)) GROUP BY vid")
+def linear_residual_size(spark, d):
+    x = long_series(spark, d)
+    fit = x.groupBy("vid").agg(F.regr_slope("value", "t").alias("k"), F.regr_intercept("value", "t").alias("a"))
+    return rounded(x.join(fit, "vid").groupBy("vid").agg(F.count("*").alias("n"), (1.25 * F.avg(F.abs(F.expr("value - (a + k * t)")))).alias("size")))
+
+
+def _flat(df):
+    return rounded(df.select("vid", F.posexplode("ts").alias("t", "value")))
+
+
+@query()
+def detrend_cubic(spark, d):
+    return _flat(preprocess.detrend(series(spark, d).select("vid", "ts"), "cubic"))
+
+
+@query()
+def frequency_filter(spark, d):
+    return _flat(preprocess.frequency_filter(series(spark, d).select("vid", "ts"), 2.0, highpass=60, lowpass=8))
+
+
+@query(f"WITH t AS {_TRIALS}, r AS (SELECT run, max(onset) - min(onset) AS duration FROM t GROUP BY run), a AS (SELECT run, coalesce(sum(duration) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r) SELECT run, id, round(onset - 1.7e9 + start, 3) AS onset, round(height, 6) AS height FROM t JOIN a USING (run)")
+def concatenate_runs(spark, d):
+    t = trials(spark, d)
+    runs = t.groupBy("run").agg((F.max("onset") - F.min("onset")).alias("duration"))
+    out = preprocess.concatenate_runs(t.withColumn("onset", F.col("onset") - 1.7e9), runs)
+    return out.select("run", "id", F.round("onset", 3).alias("onset"), F.round("height", 6).alias("height"))
+
+
+@query(f"SELECT run, id, count(*) AS n, round(min(duration), 6) AS duration FROM {_TRIALS} GROUP BY ALL")
+def trial_counts(spark, d):
+    return rounded(trials(spark, d).groupBy("run", "id").agg(F.count("*").alias("n"), F.min("duration").alias("duration")))
+
+
+_TR = "(SELECT l_partkey % 100 AS vid, l_linenumber AS t, l_quantity AS value FROM lineitem)"
+
+
+@query(f"SELECT vid, t, round(CASE WHEN stddev_samp(value) > 0 THEN avg(value) / stddev_samp(value) ELSE 0.0 END, 6) AS value FROM {_TR} GROUP BY ALL")
+def trial_snr(spark, d):
+    x = _li(spark, d).select((F.col("l_partkey") % 100).alias("vid"), F.col("l_linenumber").alias("t"), F.col("l_quantity").alias("value"))
+    return rounded(preprocess.average_trials(x))
+
+
+@query(f"SELECT vid, t, round(median(value), 6) AS value FROM {_TR} GROUP BY ALL")
+def trial_median(spark, d):
+    x = _li(spark, d).select((F.col("l_partkey") % 100).alias("vid"), F.col("l_linenumber").alias("t"), F.col("l_quantity").alias("value"))
+    return rounded(preprocess.average_trials(x, "median"))
+
+
+@query()
+def cut_trial(spark, d):
+    return _flat(preprocess.cut_trial(series(spark, d).select("vid", "ts"), 10.0, 2.0, 0.0, 20.0, 1.0))
+
+
+# -- linear models ---------------------------------------------------------------------------------
+
+
+def _design() -> pd.DataFrame:
+    return pd.DataFrame({"id": [1, 2] * 8, "onset": np.arange(16) * 8.0 + 1, "duration": 4.0, "height": 1.0})
+
+
+@query()
+def precolored_contrast(spark, d):
+    x = preprocess.design_matrix(_design(), 64, 2.0)
+    return rounded(glm.contrast_map(series(spark, d).select("vid", "ts"), x, [0, 1, -1]))
+
+
+@query()
+def prewhitened_glm(spark, d):
+    x = preprocess.design_matrix(_design(), 64, 2.0)
+    return rounded(glm.prewhitened(series(spark, d).select("vid", "ts"), x, [0, 1, -1]))
+
+
+@query()
+def second_level_glm(spark, d):
+    x = np.column_stack([np.ones(8), np.arange(8) - 3.5])
+    return rounded(glm.second_level(glm.as_series(subjects(spark, d), 8), x, [0, 1]))
+
+
+@query()
+def inference_twosample(spark, d):
+    return rounded(programs.inference_twosample(subjects(spark, d), np.array([1, 1, 1, 1, 2, 2, 2, 2]), SHAPE, perm=50, alpha=1.0).select(*VOXEL, "value"))
+
+
+# -- networks --------------------------------------------------------------------------------------
+
+
+def _ecm_sql(metric: str, rounds: int) -> str:
+    z = f"z AS (SELECT vid, t, CASE WHEN stddev_samp(value) OVER w < 1e-6 THEN 0.0 ELSE (value - avg(value) OVER w) / stddev_samp(value) OVER w END AS x FROM {_LONG} WINDOW w AS (PARTITION BY vid))"
+    wide = "x AS (SELECT vid, t, x FROM z UNION ALL SELECT vid, t + 1000, abs(x) FROM z), m AS (SELECT 128.0::DOUBLE AS nt)" if metric == "rlc" else "x AS (SELECT * FROM z), m AS (SELECT 64.0::DOUBLE AS nt)"
+    parts = [z, wide, "v0 AS (SELECT vid, 1 / sqrt((SELECT count(*) FROM embeddings)::DOUBLE) AS v FROM embeddings_ids)".replace("embeddings_ids", "(SELECT DISTINCT vid FROM z)")]
+    for k in range(1, rounds + 1):
+        add = f" + (SELECT sum(v) FROM v{k - 1})" if metric == "add" else ""
+        parts += [f"s{k} AS (SELECT t, sum(x * v) AS s FROM x JOIN v{k - 1} USING (vid) GROUP BY t)", f"y{k} AS (SELECT vid, sum(x * s) / (SELECT nt FROM m){add} AS y FROM x JOIN s{k} USING (t) GROUP BY vid)", f"v{k} AS (SELECT vid, y / sqrt((SELECT sum(y * y) FROM y{k})) AS v FROM y{k})"]
+    return f"WITH {', '.join(parts)} SELECT vid, round(v * sqrt((SELECT count(*) FROM v{rounds})::DOUBLE), 5) AS value FROM v{rounds}"
+
+
+@query(_ecm_sql("rlc", 4))
+def ecm_rlc(spark, d):
+    return rounded(networks.ecm(series(spark, d), "rlc", 4, converge=False), 5)
+
+
+@query(_ecm_sql("add", 4))
+def ecm_add(spark, d):
+    return rounded(networks.ecm(series(spark, d), "add", 4, converge=False), 5)
+
+
+_EDGES = f"WITH z AS (SELECT vid, t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS x FROM {_LONG} WINDOW w AS (PARTITION BY vid)), a AS (SELECT vid, list(x ORDER BY t) AS x FROM z GROUP BY vid), e AS (SELECT p.vid AS i, q.vid AS j, greatest(list_inner_product(p.x, q.x) / 64, 0) AS w FROM a p JOIN a q ON q.vid < p.vid)"
+
+
+@query(f"{_EDGES} SELECT i, round(sum(w), 5) AS total, count(*) FILTER (w >= 0.25) AS strong FROM e GROUP BY i")
+def similarity_edges(spark, d):
+    """All pairs, summed by the later voxel."""
+    e = networks.edges(series(spark, d), "pos")
+    return e.groupBy("i").agg(F.round(F.sum("w"), 5).alias("total"), F.sum((F.col("w") >= 0.25).cast("long")).alias("strong"))
+
+
+@query(f"{_EDGES}, b AS (SELECT i AS vid, w FROM e UNION ALL SELECT j, w FROM e) SELECT vid, round(100 * sum(w) / (SELECT count(*) FROM a), 5) AS value FROM b GROUP BY vid")
+def degree_centrality(spark, d):
+    s = series(spark, d)
+    return rounded(networks.degree_centrality(networks.edges(s, "pos"), s.count()), 5)
+
+
+@query("SELECT vid, count(*) AS degree FROM (SELECT l_orderkey AS vid FROM lineitem UNION ALL SELECT l_partkey FROM lineitem) GROUP BY vid")
+def hubness(spark, d):
+    return networks.hubness(_li(spark, d).select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j")))
+
+
+@query()
+def ecm_dense(spark, d):
+    return rounded(networks.dense_ecm(series(spark, d), "abs", 3, 512), 5)
+
+
+@query()
+def ecm_projected(spark, d):
+    return rounded(networks.projected_ecm(series(spark, d), "rlc"), 5)
+
+
+@query()
+def spectral_ecm(spark, d):
+    return rounded(networks.spectral_ecm(series(spark, d), 2.0, 20.0, 5, iterations=3), 5)
+
+
+@query(f"WITH s AS (SELECT b * 64 + r * 8 + c AS item, subj, value FROM {_SUBJ}), g AS (SELECT *, row_number() OVER (PARTITION BY subj ORDER BY value, item) - 1 AS k FROM s), q AS (SELECT item, sum(k)::DOUBLE AS s, count(*) AS m FROM g GROUP BY item) SELECT count(*) AS n, max(m) AS m, round(12 * (sum(s * s) - sum(s) * sum(s) / count(*)) / (max(m) * max(m) * count(*) * (count(*) * count(*) - 1.0)), 6) AS w FROM q")
+def kendall_w(spark, d):
+    s = subjects(spark, d).select((F.col("b") * 64 + F.col("r") * 8 + F.col("c")).alias("item"), "subj", "value")
+    return rounded(networks.kendall_w_rows(s, "subj", "item", "value"))
+
+
+@query()
+def concordance_map(spark, d):
+    """Two subjects: even and odd steps of each series."""
+    s = series(spark, d)
+    half = lambda k: F.filter("ts", lambda _, i: i % 2 == k)
+    cohort = s.select(F.lit(0).alias("subj"), "vid", *VOXEL, half(0).alias("ts")).unionByName(s.select(F.lit(1).alias("subj"), "vid", *VOXEL, half(1).alias("ts")))
+    return rounded(networks.concordance_map(cohort), 5)
+
+
+_BIP = f"WITH s AS {_SER}, z AS (SELECT *, list_transform(ts, lambda x: (x - list_avg(ts)) / list_stddev_samp(ts)) AS x FROM s), e AS (SELECT p.vid AS i, q.vid AS j, list_inner_product(p.x, q.x) / 63 AS w FROM z p JOIN z q ON p.vid % 2 = 0 AND q.vid % 2 = 1 AND (p.b - q.b) ** 2 + (p.r - q.r) ** 2 + (p.c - q.c) ** 2 >= 9 WHERE list_inner_product(p.x, q.x) / 63 >= 0.2 + 1e-6)"
+
+
+def _bipartite(spark, d):
+    s = series(spark, d)
+    return networks.bipartite_edges(s.filter("vid % 2 = 0"), s.filter("vid % 2 = 1"), threshold=0.2)
+
+
+@query(f"{_BIP} SELECT i, j, round(w, 5) AS w FROM e")
+def bipartite_edges(spark, d):
+    return rounded(_bipartite(spark, d), 5)
+
+
+@query(f"{_BIP} SELECT 1 AS side, i AS vid, round(sum(w) / 100, 5) AS value FROM e GROUP BY i UNION ALL SELECT 2, j, round(sum(w) / 100, 5) FROM e GROUP BY j")
+def bipartite_degree(spark, d):
+    return rounded(networks.bipartite_degree(_bipartite(spark, d), 100, 100), 5)
+
+
+@query(f"{_BIP}, t AS (SELECT j, sum(w) AS t FROM e GROUP BY j) SELECT i AS vid, round(sum(w * t) / 10000, 6) AS value FROM e JOIN t USING (j) GROUP BY i")
+def network_projection(spark, d):
+    return rounded(networks.network_projection(_bipartite(spark, d), 1, 100))
+
+
+@query(f"SELECT vid, b, r, c FROM {_SER} WHERE (b - 3) ** 2 + (r - 3) ** 2 + (c - 3) ** 2 <= 10")
+def spherical_roi(spark, d):
+    return networks.spherical_roi(series(spark, d).select("vid", *VOXEL), (3, 3, 3), 3)
+
+
+@query()
+def edge_density(spark, d):
+    s = series(spark, d).filter("vid < 512")
+    half = lambda k: F.filter("ts", lambda _, i: i % 2 == k)
+    x = ted.prepare(s.select("vid", *VOXEL, half(0).alias("x"), half(1).alias("y")))
+    return rounded(ted.edge_density(x, SHAPE, ted.quantile_threshold(ted.difference_histogram(x, SHAPE)), 6), 5)
+
+
+# -- layers ----------------------------------------------------------------------------------------
+
+_USE = f"(SELECT cid, u, z FROM (SELECT *, count(*) OVER w AS n, var_pop(z) OVER w AS v FROM {_DEPTH} WHERE u BETWEEN 0.05 AND 0.95 AND abs(z) > 1e-6 WINDOW w AS (PARTITION BY cid)) WHERE n >= 20 AND v * n > 1e-6)"
+
+
+@query(f"SELECT cid, count(*) AS n FROM {_USE} GROUP BY cid")
+def usable_points(spark, d):
+    return laminar.usable(depth_points(spark, d)).groupBy("cid").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT cid, greatest(ceil(u * 5), 1)::INTEGER AS bin, round(avg(z), 6) AS value, count(*) AS n FROM {_USE} GROUP BY ALL")
+def depth_bins(spark, d):
+    return rounded(laminar.mean_bins_rows(laminar.usable(depth_points(spark, d)), 5))
+
+
+@query(f"SELECT cid, round(regr_slope(z, u), 6) AS value FROM {_USE} GROUP BY cid")
+def depth_slope(spark, d):
+    return rounded(laminar.slope_rows(laminar.usable(depth_points(spark, d))))
+
+
+@query(f"SELECT cid, round(arg_max(z, (abs(z), z)), 6) AS value FROM {_USE} GROUP BY cid")
+def depth_maxabs(spark, d):
+    return rounded(laminar.max_abs_rows(laminar.usable(depth_points(spark, d))))
+
+
+@query(f"SELECT cid, quantile_disc(z, 0.5) FILTER (u < 1.0::DOUBLE / 3) AS deep, quantile_disc(z, 0.5) FILTER (u >= 1.0::DOUBLE / 3 AND u <= 2.0::DOUBLE / 3) AS middle, quantile_disc(z, 0.5) FILTER (u > 2.0::DOUBLE / 3) AS superficial FROM {_USE} GROUP BY cid HAVING count(*) FILTER (u < 1.0::DOUBLE / 3) >= 3 AND count(*) FILTER (u >= 1.0::DOUBLE / 3 AND u <= 2.0::DOUBLE / 3) >= 3 AND count(*) FILTER (u > 2.0::DOUBLE / 3) >= 3")
+def depth_thirds(spark, d):
+    return laminar.thirds_rows(laminar.usable(depth_points(spark, d)))
+
+
+@query(f"SELECT bin, round(CASE WHEN n >= 5 THEN m ELSE 0 END, 6) AS mean, round(CASE WHEN n >= 5 THEN s ELSE 0 END, 6) AS sd, n AS count FROM (SELECT greatest(ceil(u * 5), 1)::INTEGER AS bin, avg(z) AS m, stddev_samp(z) AS s, count(*) AS n FROM {_DEPTH} GROUP BY ALL)")
+def roi_profile(spark, d):
+    return rounded(laminar.roi_profile(depth_points(spark, d), 5))
+
+
+def _model(name):
+    def f(spark, d):
+        return rounded(laminar.per_cylinder(laminar.usable(depth_points(spark, d)), name), 5)
+
+    f.__name__ = f"depth_{name.lower()}_model"
+    return query()(f)
+
+
+for _name in ("3bins", "peak", "concave", "R2"):
+    _model(_name)
+
+_SLAB = f"(SELECT {_V}, CASE WHEN c <= 1 THEN 0 WHEN c >= 6 THEN 1 ELSE 2 END::DOUBLE AS value FROM (SELECT range AS vid, range % 8 AS c FROM range(512)))"
+
+
+def _slab(spark, d):
+    """Every voxel: CSF, grey and white matter by column."""
+    v = spark.range(512).withColumnRenamed("id", "vid").select(*_voxel(F.col("vid")))
+    return v.withColumn("value", F.when(F.col("c") <= 1, 0.0).when(F.col("c") >= 6, 1.0).otherwise(2.0))
+
+
+_SIX = "(SELECT * FROM (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(db, dr, dc))"
+
+
+@query(f"WITH v AS (SELECT b, r, c, CASE WHEN c <= 1 THEN 0 WHEN c >= 6 THEN 1 ELSE 2 END AS value FROM (SELECT (range // 64)::INTEGER AS b, ((range // 8) % 8)::INTEGER AS r, (range % 8)::INTEGER AS c FROM range(512))), n AS (SELECT p.b, p.r, p.c, count(*) FILTER (q.value = 0) AS nc, count(*) FILTER (q.value = 1) AS nw FROM v p, {_SIX} o JOIN v q ON q.b = p.b + db AND q.r = p.r + dr AND q.c = p.c + dc WHERE p.value = 2 GROUP BY ALL) SELECT b, r, c, CASE WHEN nw > nc THEN 2 WHEN nc > 0 THEN 1 ELSE 3 END::DOUBLE AS value FROM n WHERE least(b, r, c, 7 - b, 7 - r, 7 - c) >= 1")
+def cortical_rim(spark, d):
+    return laminar.rim(_slab(spark, d), SHAPE)
+
+
+@query()
+def cortical_depth(spark, d):
+    return rounded(laminar.depth_volume(laminar.rim(_slab(spark, d), SHAPE), SHAPE))
+
+
+@query()
+def cortical_cylinders(spark, d):
+    cyl = laminar.cylinders(laminar.rim(_slab(spark, d), SHAPE), SHAPE, radius=1.0, longest=10.0)
+    return cyl.groupBy("cid").agg(F.count("*").alias("n"))
+
+
+@query("WITH x AS (SELECT l_partkey AS cid, l_orderkey % 512 AS vid, avg(l_quantity) AS q FROM lineitem GROUP BY ALL), m AS (SELECT cid, avg(q) AS value FROM x GROUP BY cid HAVING count(*) >= 30) SELECT (vid // 64)::INTEGER AS b, ((vid // 8) % 8)::INTEGER AS r, (vid % 8)::INTEGER AS c, 0 AS t, round(sum(value) / count(*), 6) AS value FROM x LEFT JOIN m USING (cid) GROUP BY vid HAVING count(m.cid) > 0")
+def scatter_average(spark, d):
+    x = _li(spark, d).groupBy(F.col("l_partkey").alias("cid"), (F.col("l_orderkey") % 512).alias("vid")).agg(F.avg("l_quantity").alias("q"))
+    m = x.groupBy("cid").agg(F.avg("q").alias("value"), F.count("*").alias("n")).filter("n >= 30").select("cid", F.lit(0).alias("t"), "value")
+    return rounded(laminar.scatter_average(x.select("cid", *_voxel(F.col("vid"))), m))
+
+
+# -- learning --------------------------------------------------------------------------------------
+
+
+@query("WITH x AS (SELECT vec_id AS subj, unnest(range(0, len(embedding)))::INTEGER AS edge, unnest(embedding)::DOUBLE AS x, label FROM embeddings) SELECT edge, round(corr(x, label), 6) AS r FROM x GROUP BY edge")
+def edge_correlations(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("subj"), F.transform("embedding", lambda x: x.cast("double")).alias("feats"), F.col("label").cast("double").alias("y"))
+    return rounded(learning.edge_correlations(e.select("subj", "feats"), e.select("subj", "y")))
+
+
+@query("WITH x AS (SELECT vec_id AS s, unnest(range(0, len(embedding)))::INTEGER AS edge, unnest(embedding)::DOUBLE AS x, label FROM embeddings), a AS (SELECT edge, corr(x, label) FILTER (s % 2 = 0) * corr(x, label) FILTER (s % 2 = 1) AS w FROM x GROUP BY edge) SELECT edge, round(1 / (1 + exp(-(w - (SELECT avg(w) FROM a)) / (SELECT stddev_samp(w) FROM a))), 6) AS p FROM a")
+def selection_probability(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("subj"), F.transform("embedding", lambda x: x.cast("double")).alias("feats"), F.col("label").cast("double").alias("y"))
+    r = [learning.edge_correlations(e.filter(f"subj % 2 = {k}").select("subj", "feats"), e.select("subj", "y")) for k in (0, 1)]
+    return rounded(learning.selection_probability_rows(*r, 1.0))
+
+
+@query(f"SELECT vid, t, round(value - avg(value) OVER (PARTITION BY vid) - avg(value) OVER (PARTITION BY t) + avg(value) OVER (), 6) AS value FROM {_LONG}")
+def double_centering(spark, d):
+    return rounded(learning.double_center_rows(long_series(spark, d), "vid", "t"))
+
+
+@query(f"SELECT vid, t, round((row_number() OVER (PARTITION BY vid ORDER BY value, t) - 1)::DOUBLE / count(*) OVER (PARTITION BY vid), 6) AS value FROM {_LONG}")
+def rank_normalisation(spark, d):
+    return rounded(long_series(spark, d).select("vid", "t", learning.rank01_column("value", ["vid"], "t").alias("value")))
+
+
+@query()
+def semi_blind_prediction(spark, d):
+    s = series(spark, d).filter("vid < 300").select(F.col("vid").alias("subj"), F.col("ts").alias("feats"))
+    y = s.select("subj", (F.col("feats")[0] + F.col("feats")[1]).alias("y"))
+    side = s.select("subj", (F.col("feats")[0] + 0.5 * F.col("feats")[2]).alias("x"))
+    out = programs.semi_blind_prediction(s.filter("subj < 200"), s.filter("subj >= 200"), y, side, dimX=32, ensembles=12, npls=4)
+    return rounded(spark.createDataFrame(out), 4)
+
+
+# -- images ----------------------------------------------------------------------------------------
+
+_ON = f"(SELECT b, r, c FROM {_LAB} WHERE value > 1)"
+
+
+def _on(spark, d):
+    return labels(spark, d).filter("value > 1")
+
+
+@query(f"WITH v AS {_ON}, o AS (SELECT * FROM {_SIX} UNION ALL SELECT 0, 0, 0) SELECT DISTINCT (v.b - db)::INTEGER AS b, (v.r - dr)::INTEGER AS r, (v.c - dc)::INTEGER AS c, 1.0::DOUBLE AS value FROM v, o WHERE v.b - db BETWEEN 0 AND 7 AND v.r - dr BETWEEN 0 AND 7 AND v.c - dc BETWEEN 0 AND 7")
+def dilate(spark, d):
+    return imaging.dilate_rows(_on(spark, d), offsets(6), SHAPE)
+
+
+@query(f"WITH v AS {_ON}, o AS (SELECT * FROM {_SIX} UNION ALL SELECT 0, 0, 0), n AS (SELECT v.b - db AS b, v.r - dr AS r, v.c - dc AS c, count(*) AS n FROM v, o GROUP BY ALL) SELECT b::INTEGER AS b, r::INTEGER AS r, c::INTEGER AS c, 1.0::DOUBLE AS value FROM n WHERE n = 7")
+def erode(spark, d):
+    return imaging.erode_rows(_on(spark, d), offsets(6))
+
+
+@query(f"WITH v AS {_VOL}, o AS (SELECT * FROM {_SIX} UNION ALL SELECT 0, 0, 0) SELECT p.b, p.r, p.c, round(max(q.value), 6) AS value FROM v p, o JOIN v q ON q.b = p.b + db AND q.r = p.r + dr AND q.c = p.c + dc GROUP BY ALL")
+def grey_dilate(spark, d):
+    return rounded(imaging.grey_rows(volume(spark, d), offsets(6)))
+
+
+@query(f"WITH v AS {_ON}, n AS (SELECT p.b, p.r, p.c, count(q.b) AS n FROM v p, {_SIX} o LEFT JOIN v q ON q.b = p.b + db AND q.r = p.r + dr AND q.c = p.c + dc GROUP BY ALL) SELECT b, r, c FROM n WHERE n < 6")
+def border(spark, d):
+    return imaging.border_rows(_on(spark, d)).select(*VOXEL)
+
+
+@query(f"WITH v AS {_LAB} SELECT b, r, c, value FROM v WHERE value = (SELECT value FROM v WHERE value > 0 GROUP BY value ORDER BY count(*) DESC, value LIMIT 1)")
+def select_big(spark, d):
+    return imaging.select_big_rows(labels(spark, d)).select(*VOXEL, "value")
+
+
+@query(f"WITH v AS {_LAB} SELECT b, r, c, value FROM v WHERE value IN (SELECT value FROM v GROUP BY value HAVING count(*) >= 130)")
+def delete_small(spark, d):
+    return imaging.delete_small_rows(labels(spark, d), 130).select(*VOXEL, "value")
+
+
+@query(f"SELECT b, r, c, round((cume_dist() OVER (ORDER BY value)) * 255, 6) AS value FROM {_LAB}")
+def equalize(spark, d):
+    return rounded(imaging.equalize_rows(labels(spark, d)))
+
+
+@query(f"SELECT value::INTEGER AS label, count(*) AS size, {', '.join(f'round(avg({x}), 6) AS {x}0, round(var_pop({x}), 6) AS {x}{x}' for x in VOXEL)}, {', '.join(f'round(covar_pop({x}, {y}), 6) AS {x}{y}' for x, y in (('b', 'r'), ('b', 'c'), ('r', 'c')))} FROM {_LAB} WHERE value > 0 GROUP BY value")
+def shape_moments(spark, d):
+    return rounded(imaging.centroid_rows(labels(spark, d)))
+
+
+@query(f"WITH v AS (SELECT *, c - row_number() OVER (PARTITION BY b, r, value ORDER BY c) AS g FROM {_LAB} WHERE value > 0) SELECT value::INTEGER AS label, b AS band, r AS row, min(c) AS col, count(*) AS length FROM v GROUP BY b, r, value, g")
+def run_lengths(spark, d):
+    return imaging.tracks(labels(spark, d))
+
+
+@query(f"WITH v AS {_VOL}, a AS (SELECT range::INTEGER AS n, floor(range * (7.0::DOUBLE / 11) + 0.5)::INTEGER AS o FROM range(12)) SELECT x.n AS b, y.n AS r, z.n AS c, round(value, 6) AS value FROM v JOIN a x ON x.o = b JOIN a y ON y.o = r JOIN a z ON z.o = c")
+def nearest_scale(spark, d):
+    return rounded(imaging.nearest_scale_rows(volume(spark, d), SHAPE, (12, 12, 12)))
+
+
+_DENSE: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "label_components": lambda a: imaging.label(a > 1), "euclidean_distance": lambda a: np.minimum(imaging.euclidean(a > 1), 99), "chamfer_distance": lambda a: np.minimum(imaging.chamfer(a > 1), 99), "distance_open": lambda a: imaging.distance_morphology(a > 0, 1.0, "open"),
+    "vote_smooth": imaging.vote, "median_image": imaging.median, "box_filter": imaging.box, "gradient_magnitude": lambda a: imaging.magnitude(imaging.gradient(a)), "recursive_gradient": lambda a: imaging.magnitude(imaging.recursive_gradient(a)), "anisotropic_diffusion": preprocess.diffuse,
+    "contrast_stretch": imaging.contrast, "contrast_tails": imaging.clip_tails, "simple_points": lambda a: imaging.simple_points(a > 1), "topological_class": lambda a: imaging.topological_class(a > 1), "thinning": lambda a: imaging.thin(a > 0), "skeleton": lambda a: imaging.skeleton(a > 0),
+    "trilinear_scale": lambda a: imaging.scale(a, SHAPE), "spline_rotate": lambda a: imaging.resample(a, imaging.rotation(0.1, 0.2, 0.3), (0, 0, 0), how="spline"), "slice_rotate": lambda a: np.stack([imaging.rotate_slice(s, 0.3) for s in a]), "wavelet_denoise": preprocess.denoise, "speckle_reduction": preprocess.speckle_reduction,
+}
+
+
+def _dense(name: str, f: Callable) -> None:
+    def run(spark, d):
+        return rounded(per_volume(labels(spark, d), f, SHAPE), 5)
+
+    run.__name__ = f"image_{name}"
+    query()(run)
+
+
+for _name, _f in _DENSE.items():
+    _dense(_name, _f)
+
+
+@query()
+def z_to_p(spark, d):
+    return rounded(volume(spark, d).select(*VOXEL, z_to_p_column(F.col("value")).alias("p")))
