@@ -103,7 +103,12 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS,
         mine = weight.take(cell)
         w = np.zeros(len(seq) + 2, np.int32)  # of the pair at i at i + 1, none at either end
         w[spot + 1] = mine
-        take = np.flatnonzero((mine > w.take(spot)) & (mine >= w.take(spot + 2)))
+        # of neighbours the more frequent; of a run of equals every other one, from its first unless a better pair stands before
+        before = w.take(spot)
+        new_run = np.concatenate(([True], (spot[1:] != spot[:-1] + 1) | (mine[1:] != mine[:-1]))) if len(spot) else np.zeros(0, bool)
+        head = np.maximum.accumulate(np.where(new_run, np.arange(len(spot)), 0))
+        place = np.arange(len(spot)) - head + (before.take(head) > mine)
+        take = np.flatnonzero((mine > 0) & (place % 2 == 0) & (mine >= w.take(spot + 2)))
         spot, cell = spot.take(take), cell.take(take)
         used = np.bincount(cell, minlength=table)
         chosen = chosen[used[chosen] >= least]
