@@ -1,6 +1,6 @@
 """Task-related edge density: where neighbourhoods of an edge also grow stronger in one of two conditions.
 
-Voxels are rows (vid, b, r, c, x array, y array): average series of both conditions.  Pairs go by blocks; a
+Voxels are rows (vid, b, r, c, x array, y array), numbered densely: average series of both conditions.  Pairs go by blocks; a
 block carries its voxels' neighbourhoods, so a task needs two blocks and their neighbours only.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.volumes import offsets
@@ -51,8 +51,7 @@ def _stack(pdf: pd.DataFrame, name: str) -> np.ndarray:
 
 
 def _blocked(prepared: DataFrame, size: int) -> DataFrame:
-    k = F.row_number().over(Window.orderBy("vid")) - 1  # one row a voxel of the mask
-    return prepared.withColumn("_k", k).withColumn("blk", F.floor(F.col("_k") / size).cast("int")).withColumn("pos", (F.col("_k") % size).cast("int")).drop("_k")
+    return prepared.withColumn("blk", F.floor(F.col("vid") / size).cast("int")).withColumn("pos", (F.col("vid") % size).cast("int"))
 
 
 def _eligible(at: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:

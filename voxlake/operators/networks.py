@@ -117,9 +117,9 @@ def similarity(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
 
 
 def blocked(series: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Series with a block number and a place in the block, in order of vid."""
-    rank = F.row_number().over(Window.orderBy("vid")) - 1  # one row a voxel: series come as a mask's worth of voxels
-    return series.withColumn("_k", rank).withColumn("blk", F.floor(F.col("_k") / size).cast("int")).withColumn("pos", (F.col("_k") % size).cast("int")).drop("_k")
+    """Series with a block, of ``size`` voxel numbers, and a place in it.  Voxel numbers are dense, as a mask numbers its voxels."""
+    blk = series.withColumn("blk", F.floor(F.col("vid") / size).cast("int"))
+    return blk.withColumn("pos", F.row_number().over(Window.partitionBy("blk").orderBy("vid")) - 1)
 
 
 def pair_blocks(left: DataFrame, right: DataFrame, f: Callable, schema: str, triangle: bool = False) -> DataFrame:
@@ -320,7 +320,7 @@ def concordance_map(cohort: DataFrame, kind: str = "kendall", gauss: bool = Fals
     length = length if length >= 1 else shortest - 2
     stop = min(first + length, shortest)
     x = cohort.withColumn("ts", F.slice("ts", first + 1, max(stop - first, 0))).select("subj", F.col("vid").cast("long").alias("vid"), "b", "r", "c", "ts")
-    voxels = x.select("vid").distinct().withColumn("g", F.floor((F.row_number().over(Window.orderBy("vid")) - 1) / seeds_per_task).cast("int"))
+    voxels = x.select("vid").distinct().withColumn("g", F.floor(F.col("vid") / seeds_per_task).cast("int"))
     groups = (voxels.agg(F.max("g").alias("g")).first().g or 0) + 1
     seeds = voxels.join(x, "vid")
     every = x.select(*(F.col(c).alias(c) for c in x.columns), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))

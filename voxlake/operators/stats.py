@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import t_to_z_column, z_to_p_column
 from ..functions.volumes import VOXEL, offsets, shift
+from ..plans.store import settle
 
 SMALL = 1e-8
 BINS = 20_000
@@ -180,21 +181,27 @@ def benjamini_hochberg(volume: DataFrame, alpha: float = 0.05, dependence: bool
     return volume.filter(F.lit(False)) if cut is None else volume.filter(F.col("value") > cut)
 
 
-def rank_globally(df: DataFrame, order: list, name: str) -> DataFrame:
-    """A gapless rank from 1 over all rows, by ranges: one window row for each range, not for each row."""
-    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = parted.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))
+def running_total(df: DataFrame, order: list, weight, name: str) -> DataFrame:
+    """The sum of ``weight`` over all rows up to each, in order: sums within ranges, and one window row for each range."""
+    parted = df.withColumn("_w", weight).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    up = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = settle(parted.withColumn("_k", F.sum("_w").over(up)))  # ranges are sampled, so they are made once
+    sizes = within.groupBy("_part").agg(F.sum("_w").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return within.join(before, "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")
+    return within.join(before, "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_k", "_before", "_w")
+
+
+def rank_globally(df: DataFrame, order: list, name: str) -> DataFrame:
+    """A gapless rank from 1 over all rows."""
+    return running_total(df, order, F.lit(1).cast("long"), name)
 
 
 def empirical_p(null: DataFrame, real: DataFrame, key: str = "id") -> DataFrame:
-    """P(null >= value), at least 1 / n.  Null values meet real ones in one sorted window, not as pairs."""
-    both = null.select(F.lit(None).cast("string").alias(key), "value", F.lit(1).alias("is_null")).unionByName(real.select(F.col(key).cast("string").alias(key), "value", F.lit(0).alias("is_null")))
-    up = Window.orderBy(F.desc("value"), F.desc("is_null")).rowsBetween(Window.unboundedPreceding, 0)
+    """P(null >= value), at least 1 / n.  Null values meet real ones in one sorted order, not as pairs."""
+    both = null.select(F.lit(None).cast("string").alias(key), "value", F.lit(1).cast("long").alias("is_null")).unionByName(real.select(F.col(key).cast("string").alias(key), "value", F.lit(0).cast("long").alias("is_null")))
     n = null.count()
-    return both.withColumn("above", F.sum("is_null").over(up)).filter("is_null = 0").select(key, "value", F.greatest(F.col("above") / n, F.lit(1.0 / n)).alias("p"))
+    total = running_total(both, [F.desc("value"), F.desc("is_null")], F.col("is_null"), "above")
+    return total.filter("is_null = 0").select(key, "value", F.greatest(F.col("above") / n, F.lit(1.0 / n)).alias("p"))
 
 
 def tail_fdr_table(null: DataFrame, real: DataFrame, bins: int = 10_000, alpha: float = 0.05) -> tuple[DataFrame, int | None]:
