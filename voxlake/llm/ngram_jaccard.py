@@ -336,21 +336,23 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     # the least overlap that the smallest sizes ask for, against the most that can follow the earliest positions
     room = F.expr(f"least(restx, resty) * {num + den} >= {num} * (n0x + n0y)")
     pairs = side("x").join(side("y"), "token").filter(f"rootx <> rooty and pivotx < pivoty and {num} * n0x <= {den} * n1y and {num} * n0y <= {den} * n1x")
-    pairs = pairs.groupBy("pivotx", "pivoty").agg(F.count("*").alias("c"), F.max(room).alias("room"), *(F.min(f"n0{x}").alias(f"n0{x}") for x in "xy"), *(F.max(f"n1{x}").alias(f"n1{x}") for x in "xy"))
-    pairs = pairs.filter(f"room and c >= {need('n0x', 'n0y', 'n1x', 'n1y')}").select("pivotx", "pivoty")
+    pairs = pairs.groupBy("pivotx", "pivoty").agg(F.count("*").alias("c"), F.max(room).alias("room"), *(F.min(f"n0{x}").alias(f"n0{x}") for x in "xy"), *(F.max(f"{c}{x}").alias(f"{c}{x}") for c in ("n1", "far") for x in "xy"))
+    pairs = pairs.filter(f"room and c >= {need('n0x', 'n0y', 'n1x', 'n1y')}").select("pivotx", "pivoty", "n1x", "n1y", "farx", "fary")
     pairs = scratch.write(pairs, "blockpairs")
     apart = sets.compare(pairs.select(F.col("pivotx").alias("a"), F.col("pivoty").alias("b")))
     gap = apart.select(F.col("a").alias("pivotx"), F.col("b").alias("pivoty"), F.expr("na + nb - 2 * inter").alias("gap"), F.expr(enough).alias("hit"))
     direct = apart.filter(enough).select("a", "b")
 
-    # members of two blocks whose leaders' distance leaves room: |x ^ y| <= (den - num) * (|x| + |y|) / (den + num)
-    open_ = pairs.join(gap.filter("not hit"), ["pivotx", "pivoty"])
-    mx = lambda s: members.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("pivot", "sid", "n", "pos", "far")))
-    meet = open_.select("pivotx", "pivoty", "gap").join(mx("x"), "pivotx").join(mx("y"), ["token", "pivoty"]).filter(
-        f"{num} * nx <= {den} * ny and {num} * ny <= {den} * nx and (sidx <> pivotx or sidy <> pivoty) "
-        f"and least(nx - posx, ny - posy) * {num + den} >= {num} * (nx + ny) "
-        f"and (gap - farx - fary) * {num + den} <= {den - num} * (nx + ny)")
-    meet = meet.groupBy(F.least("sidx", "sidy").alias("a"), F.greatest("sidx", "sidy").alias("b")).count()
+    # members of two blocks whose leaders' distance leaves room: |x ^ y| <= (den - num) * (|x| + |y|) / (den + num).
+    # First each side alone, against the farthest and largest member of the other; then both.
+    reach = lambda m, n, size: f"(gap - {m} - {n}) * {num + den} <= {den - num} * ({size})"
+    open_ = pairs.join(gap.filter("not hit"), ["pivotx", "pivoty"]).filter(reach("farx", "fary", "n1x + n1y"))
+    own = members.select("pivot", "sid", "n", "far").distinct()
+    alone = lambda s, t: open_.join(own.select(*(F.col(c).alias(f"{c}{s}_") for c in ("pivot", "sid", "n", "far"))), F.expr(f"pivot{s} = pivot{s}_ and " + reach(f"far{s}_", f"far{t}", f"n{s}_ + n1{t}"))).select(
+        "pivotx", "pivoty", "gap", f"sid{s}_", f"n{s}_", f"far{s}_")
+    both = alone("x", "y").join(alone("y", "x").drop("gap"), ["pivotx", "pivoty"]).filter(
+        f"{num} * nx_ <= {den} * ny_ and {num} * ny_ <= {den} * nx_ and (sidx_ <> pivotx or sidy_ <> pivoty) and " + reach("farx_", "fary_", "nx_ + ny_"))
+    meet = both.select(F.least("sidx_", "sidy_").alias("a"), F.greatest("sidx_", "sidy_").alias("b"))
     more = sets.compare(meet)
     all_links = links.select("a", "b").unionByName(direct).unionByName(more.filter(enough).select("a", "b"))
     all_links = scratch.write(all_links.distinct(), "links")
