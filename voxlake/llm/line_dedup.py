@@ -9,8 +9,9 @@ have the same variant from the same place.  Members of a key need no pairs: each
 earliest other of its key.  What a key joins is verified as an edit distance on the characters.
 
 Only lines that can have a neighbour are expanded: one edit leaves the first or the second half of a
-line as it is, so both lines share a hash of their beginning or of their end, of a length taken from a
-coarse ladder.  Halves are met first; of real text this leaves one line in a hundred.
+line as it is, so both lines share a hash of their beginning or of their end.  Halves are met first; of
+real text this leaves one line in a hundred.  Of the variants, those whose key no other line has are
+passed over by a filter of fixed size before any row with its line is shuffled.
 
 Defined cases: null text has no lines; empty and blank lines are always kept; rows of equal ids count as
 one document (so do their lines, none of which is earlier than its double); a null id comes first; an
@@ -27,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .ngram_jaccard import _filter_of, _marked
 from .scratch import Scratch
 
 MIN_CHARS = 16
-_LADDER = np.unique((5 * 2 ** (np.arange(60) / 2)).astype(np.int64))
+KEY_BITS, LINE_BITS = 24, 23
 _NULL_ID = -(2**63)
 _rng = np.random.default_rng(90_217)
 _SALT = _rng.integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,7 +59,7 @@ class _Lines:
         self.sums, self.down = tb.running(tb.mix(self.point.astype(np.uint64) + np.uint64(0x51ED270B)))
         solid = np.concatenate(([0], np.cumsum((self.point != 32) & ((self.point < 9) | (self.point > 13)))))
         self.blank = solid[self.stop] == solid[self.start]
-        self.data, self.off = data, off
+        self.data, self.ends = data, np.append(self.at, len(data))
 
     def part(self, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
         return tb.mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64) * _SALT[salt])
@@ -66,17 +68,14 @@ class _Lines:
         return self.part(self.start, self.stop, 0)
 
     def halves(self) -> np.ndarray:
-        """Four keys a line, from its two ends at up to two lengths."""
+        """Four keys a line, from its two ends at half its length and at half of one less; some are equal."""
         n, out = self.stop - self.start, []
-        for m in (n // 2, np.maximum(n - 1, 0) // 2):
-            p = _LADDER[np.maximum(np.searchsorted(_LADDER, m, side="right") - 1, 0)]
-            p = np.minimum(p, n)
+        for p in (n // 2, np.maximum(n - 1, 0) // 2):
             out += [self.part(self.start, self.start + p, 1), self.part(self.stop - p, self.stop, 2)]
         return np.stack(out, axis=1)
 
     def text(self, i: int) -> str:
-        ends = np.append(self.at, len(self.data))
-        return self.data[ends[self.start[i]] : ends[self.stop[i]]].tobytes().decode()
+        return self.data[self.ends[self.start[i]] : self.ends[self.stop[i]]].tobytes().decode()
 
 
 def _occurrences(min_chars: int):
@@ -106,8 +105,7 @@ def _texts(marks):
             for _, _, off, data in tb.slices(batch.column(1)):
                 x = _Lines(off, data)
                 h = x.hashes().view(np.int64)
-                at = h & (8 * len(packed) - 1)
-                want = np.flatnonzero(~x.blank & ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0))
+                want = np.flatnonzero(~x.blank & _marked(packed, h))
                 want = want[np.sort(np.unique(h[want], return_index=True)[1])]
                 yield pa.RecordBatch.from_arrays([pa.array(h[want]), pa.array([x.text(i) for i in want.tolist()], pa.string())], names=["h", "said"])
 
@@ -137,6 +135,14 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind), *(batch.column(c).take(own) for c in range(3))], names=["key", "kind", "h", "id", "line"])
 
 
+def _shared_keys(marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(marks.value, batch.column(0).to_numpy())))
+
+    return run
+
+
 def within_one_edit(x: str, y: str) -> bool:
     if abs(len(x) - len(y)) > 1:
         return False
@@ -154,8 +160,6 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped): of each document the numbers of the lines to drop, in order."""
-    from .ngram_jaccard import _filter_of
-
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -164,10 +168,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
     halves = every.select("h", F.explode("halves").alias("half")).groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("half")
     open_ = every.select("h", F.explode("halves").alias("half")).join(halves, "half", "left_semi").select("h").distinct()
     open_ = scratch.write(open_.join(lines, "h").select("h", "first.id", "first.line"), "open")
-    marks = spark.sparkContext.broadcast(_filter_of(open_.select("h"), 23))  # 1 MB whatever the input
+    marks = spark.sparkContext.broadcast(_filter_of(open_.select("h"), LINE_BITS))  # 1 MB whatever the input
     said = texts.mapInArrow(_texts(marks), "h long, said string").groupBy("h").agg(F.first("said").alias("said"))
     said = scratch.write(open_.join(said, "h"), "said")
-    variants = scratch.write(said.select("h", "id", "line", "said").mapInArrow(_variants, "key long, kind int, h long, id long, line int"), "variants")
+    variants = said.select("h", "id", "line", "said").mapInArrow(_variants, "key long, kind int, h long, id long, line int")
+    twice = variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
+    shared = spark.sparkContext.broadcast(_filter_of(twice, KEY_BITS))  # 2 MB whatever the input
+    variants = scratch.write(variants.mapInArrow(_shared_keys(shared), variants.schema), "variants")
     at = F.struct("id", "line", "h")
     keys = variants.groupBy("key").agg(*(F.min(F.when(F.col("kind") == k, at)).alias(f"f{k}") for k in (0, 1, 2)), F.count("*").alias("c")).filter("c > 1").drop("c")
     met = variants.join(keys, "key")
