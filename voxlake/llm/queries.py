@@ -23,7 +23,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
     out = quality.grade_documents(docs, quality.learn(docs, labels, grade, 3))
     tail = lambda k: F.col("tails")[k - 1]
-    return out.select("doc_id", "score", "expected_grade", tail(1).alias("p_not_toxic"), tail(2).alias("p_good"), (tail(1) < 0.5).alias("toxic"), (tail(2) >= 0.3).alias("keep"))
+    return out.select("doc_id", "score", "expected_grade", tail(1).alias("p_not_toxic"), tail(2).alias("p_good"), (tail(1) < 0.7).alias("toxic"), (tail(2) >= 0.3).alias("keep"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
