@@ -108,9 +108,11 @@ s AS (
     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS g
   FROM t),
 n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
-e AS (SELECT doc_id, unnest(g) AS g FROM s),
-c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 90 * (p.n + q.n - i)),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS m, b.n AS n, count(*) AS i
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY ALL),
+h AS (SELECT x, y FROM c WHERE 100 * i >= 90 * (m + n - i)),
+l AS (SELECT x, y FROM h UNION ALL SELECT y, x FROM h),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id)
 SELECT n.doc_id, n.n AS n_shingles, m.component_id
 FROM n JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) m USING (doc_id)
