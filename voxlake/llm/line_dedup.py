@@ -115,7 +115,7 @@ def _texts(marks):
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, id, line, said) -> (key, kind, h, id, line): kind 0 the line, 1 without a character, 2 the same with its place."""
     for batch in batches:
-        for i, j, off, data in tb.slices(batch.column(3), tb.SLICE_BYTES // 8):
+        for i, j, off, data in tb.slices(batch.column(3), tb.SLICE_BYTES // 4):
             at, point = tb.code_points(data)
             first = np.searchsorted(at, off)
             sums, down = tb.running(tb.mix(point.astype(np.uint64) + np.uint64(0x51ED270B)))

@@ -1,12 +1,13 @@
 """Whole Arrow batches of text as byte arrays: words and their hashes without a Python string.
 
-Texts stay in the Arrow buffers.  Work goes in slices of a few MB of whole documents, so memory is
+Texts stay in the Arrow buffers.  Work goes in slices of about a MB of whole documents, so memory is
 bounded by the slice (or by the longest single document).  A 64-bit word hash is a polynomial over
 random byte codes, taken from one running sum over the slice, then mixed.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 _rng = np.random.default_rng(7_203_141)
 _CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,6 +89,14 @@ def slices(col: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int,
         j = min(j, n)
         yield i, j, off[i : j + 1] - off[i], data[off[i] : off[j]]
         i = j
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 @dataclass

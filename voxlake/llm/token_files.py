@@ -342,7 +342,7 @@ def _write(tokenizer_json, end_id: int, shard_tokens: int, whole: bool):
 
         for batch in batches:
             rows = batch.column(0).to_pylist()
-            for i, j, off, data in tb.slices(batch.column(1), 2 * tb.SLICE_BYTES):
+            for i, j, off, data in tb.slices(batch.column(1), 4 * tb.SLICE_BYTES):
                 got, n = enc.encode(off, data, end_id, whole)
                 ids.append(got)
                 counts.append(n)
