@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .scratch import Scratch
+from .scratch import Scratch, small
 
 DIGIT = 10
 LEVELS = 6
@@ -93,7 +93,7 @@ def _cuts(rows: DataFrame, want: dict) -> dict:
     for level in range(LEVELS):
         shift = DIGIT * (LEVELS - 1 - level)
         at = spark.createDataFrame([(s, b) for s, b in low.items()], "source string, low long")
-        own = rows.join(at, rows.source.eqNullSafe(at.source)).select(rows.source, "h", "tokens", "low")
+        own = rows.join(small(at, len(low)), rows.source.eqNullSafe(at.source)).select(rows.source, "h", "tokens", "low")
         own = own.filter(F.expr(f"shiftright(h, {shift + DIGIT}) = shiftright(low, {shift + DIGIT})"))
         sums = own.groupBy("source", F.expr(f"shiftright(h, {shift}) & {(1 << DIGIT) - 1}").alias("d")).agg(F.sum("tokens").alias("t")).collect()  # 1024 for each source at most
         by: dict = {}
@@ -163,7 +163,7 @@ def plan_mix(sizes: DataFrame, budget: float | None, max_repeats: float | None,
 def _draws(sizes: DataFrame, plan: dict, spark) -> DataFrame:
     """sizes with ``weight`` and one row for each ``copy``."""
     at = spark.createDataFrame([(s, p["weight"], p["whole"], p["bound"]) for s, p in plan.items()], "s string, weight double, whole long, bound long")
-    own = sizes.join(at, sizes.source.eqNullSafe(at.s))
+    own = sizes.join(small(at, len(plan)), sizes.source.eqNullSafe(at.s))
     n = F.greatest(F.col("whole"), (F.col("tokens") == 0).cast("long")) + ((F.col("h") < F.col("bound")) & (F.col("tokens") > 0)).cast("long")
     own = own.withColumn("copies", n).filter("copies > 0")
     return own.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).drop("s", "whole", "bound", "copies")
@@ -178,7 +178,7 @@ def mixed_documents(docs: DataFrame, budget: float | None = None, max_repeats: f
     if not plan:
         return docs
     at = spark.createDataFrame([(s, p["whole"], p["bound"], p["tokens"] == 0) for s, p in plan.items()], "_s string, _whole long, _bound long, _none boolean")
-    own = docs.join(at, docs[source_col].cast("string").eqNullSafe(at._s))
+    own = docs.join(small(at, len(plan)), docs[source_col].cast("string").eqNullSafe(at._s))
     blank = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     n = F.greatest(F.col("_whole"), blank.cast("long")) + ((draw_hash(id_col, text_col, seed) < F.col("_bound")) & ~blank).cast("long")
     own = own.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n.cast("int"))))

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _UNSET = "voxlake.scratch.dir"
 
@@ -35,6 +36,11 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
+    """For a join: broadcast where its rows, of a few numbers each, are at most so many; else as it is, to be shuffled."""
+    return F.broadcast(df) if rows <= most else df
+
+
 class Scratch:
     """Tables of one operator call.  ``drop`` removes those no later step reads; the rest go when the JVM ends."""
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -57,12 +57,13 @@ def _place(shards: int):
     return run
 
 
-def _slots(placed: DataFrame) -> DataFrame:
+def _slots(placed: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``_slot``.  The offsets have one row for each task and shard."""
     offsets = placed.groupBy("_shard", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("_shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(offsets, ["_shard", "_part"]).withColumn("_slot", F.col("_place") + F.col("_before"))
+    offsets = scratch.write(offsets, "offsets")
+    return placed.join(small(offsets, offsets.count()), ["_shard", "_part"]).withColumn("_slot", F.col("_place") + F.col("_before"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,7 +72,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(F.col(id_col).cast("long")).alias("key"))
     placed = rows.mapInArrow(_place(shards), "doc_id long, size long, text_crc32 long, _shard int, _grown int, _part int, _place long")
-    out = _slots(scratch.write(placed, "placed"))
+    out = _slots(scratch.write(placed, "placed"), scratch)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.col("_grown").alias("grown_shard"))
 
 
@@ -81,7 +82,7 @@ def with_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id") -> Da
     own = docs.drop("shard", "slot")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
     placed = own.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"))).mapInArrow(_place(shards), f"{schema}, _shard int, _grown int, _part int, _place long")
-    out = _slots(scratch.write(placed, "placed"))
+    out = _slots(scratch.write(placed, "placed"), scratch)
     return out.select(*own.columns, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
