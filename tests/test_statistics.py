@@ -250,3 +250,15 @@ def test_resampling_keeps_linear_ramps():
     assert np.allclose(imaging.resample(x, np.eye(3), (0, 0, 0), how="spline"), x)
     assert np.allclose(imaging.rotation(0.1, 0.2, 0.3) @ imaging.inverse(imaging.rotation(0.1, 0.2, 0.3)), np.eye(3))
     assert np.allclose(imaging.euler_angles(imaging.rotation(0.1, 0.2, 0.3)), (0.1, 0.2, 0.3))
+
+
+def test_edges_of_a_step_and_cluster_enhancement():
+    a = np.zeros((9, 9, 12))
+    a[:, :, 6:] = 1
+    e = imaging.edges(a)
+    assert set(np.nonzero(e[4, 4])[0]) <= {5, 6} and e[4, 4].sum() == 1
+    x = np.zeros((5, 5, 5))
+    x[1:3, 1, 1] = 1.0
+    x[4, 4, 4] = 1.0
+    t = imaging.cluster_enhance(x, 0.5)
+    assert t[1, 1, 1] == pytest.approx(2**0.5 * (0.25 + 1) * 0.5) and t[4, 4, 4] == pytest.approx((0.25 + 1) * 0.5)

@@ -762,7 +762,7 @@ def nearest_scale(spark, d):
 
 _DENSE: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "label_components": lambda a: imaging.label(a > 1), "euclidean_distance": lambda a: np.minimum(imaging.euclidean(a > 1), 99), "chamfer_distance": lambda a: np.minimum(imaging.chamfer(a > 1), 99), "distance_open": lambda a: imaging.distance_morphology(a > 0, 1.0, "open"),
-    "vote_smooth": imaging.vote, "median_image": imaging.median, "box_filter": imaging.box, "gradient_magnitude": lambda a: imaging.magnitude(imaging.gradient(a)), "recursive_gradient": lambda a: imaging.magnitude(imaging.recursive_gradient(a)), "anisotropic_diffusion": preprocess.diffuse,
+    "vote_smooth": imaging.vote, "median_image": imaging.median, "box_filter": imaging.box, "gradient_magnitude": lambda a: imaging.magnitude(imaging.gradient(a)), "recursive_gradient": lambda a: imaging.magnitude(imaging.recursive_gradient(a)), "anisotropic_diffusion": preprocess.diffuse, "thin_edges": imaging.edges, "cluster_enhancement": lambda a: imaging.cluster_enhance(a, 0.5),
     "contrast_stretch": imaging.contrast, "contrast_tails": imaging.clip_tails, "simple_points": lambda a: imaging.simple_points(a > 1), "topological_class": lambda a: imaging.topological_class(a > 1), "thinning": lambda a: imaging.thin(a > 0), "skeleton": lambda a: imaging.skeleton(a > 0),
     "trilinear_scale": lambda a: imaging.scale(a, SHAPE), "spline_rotate": lambda a: imaging.resample(a, imaging.rotation(0.1, 0.2, 0.3), (0, 0, 0), how="spline"), "slice_rotate": lambda a: np.stack([imaging.rotate_slice(s, 0.3) for s in a]), "wavelet_denoise": preprocess.denoise, "speckle_reduction": preprocess.speckle_reduction,
 }
