@@ -258,7 +258,7 @@ class _Sets:
         pairs = sc.write(pairs.select("a", "b").distinct(), f"pairs{tag}")
         if pairs.isEmpty():
             return self.texts.sparkSession.createDataFrame([], "a long, b long, na long, nb long, inter long")
-        want = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        want = pairs.select(F.col("a").alias("sid")).distinct().union(pairs.select("b").distinct()).distinct()
         if self.known:
             want = want.join(self._all().select("sid"), "sid", "left_anti")
         want = sc.write(want, f"want{tag}")
@@ -336,8 +336,8 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     # the least overlap that the smallest sizes ask for, against the most that can follow the earliest positions
     room = F.expr(f"least(restx, resty) * {num + den} >= {num} * (n0x + n0y)")
     pairs = side("x").join(side("y"), "token").filter(f"rootx <> rooty and pivotx < pivoty and {num} * n0x <= {den} * n1y and {num} * n0y <= {den} * n1x")
-    pairs = pairs.groupBy("pivotx", "pivoty").agg(F.count("*").alias("c"), F.max(room).alias("room"), *(F.min(f"n0{x}").alias(f"n0{x}") for x in "xy"), *(F.max(f"{c}{x}").alias(f"{c}{x}") for c in ("n1", "far") for x in "xy"))
-    pairs = pairs.filter(f"room and c >= {need('n0x', 'n0y', 'n1x', 'n1y')}").select("pivotx", "pivoty", "n1x", "n1y", "farx", "fary")
+    pairs = pairs.groupBy("pivotx", "pivoty").agg(F.count("*").alias("c"), F.max(room).alias("room"), F.max("rootx").alias("rootx"), F.max("rooty").alias("rooty"), *(F.min(f"n0{x}").alias(f"n0{x}") for x in "xy"), *(F.max(f"{c}{x}").alias(f"{c}{x}") for c in ("n1", "far") for x in "xy"))
+    pairs = pairs.filter(f"room and c >= {need('n0x', 'n0y', 'n1x', 'n1y')}").select("pivotx", "pivoty", "rootx", "rooty", "n1x", "n1y", "farx", "fary")
     pairs = scratch.write(pairs, "blockpairs")
     apart = sets.compare(pairs.select(F.col("pivotx").alias("a"), F.col("pivoty").alias("b")))
     gap = apart.select(F.col("a").alias("pivotx"), F.col("b").alias("pivoty"), F.expr("na + nb - 2 * inter").alias("gap"), F.expr(enough).alias("hit"))
@@ -347,6 +347,10 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     # First each side alone, against the farthest and largest member of the other; then both.
     reach = lambda m, n, size: f"(gap - {m} - {n}) * {num + den} <= {den - num} * ({size})"
     open_ = pairs.join(gap.filter("not hit"), ["pivotx", "pivoty"]).filter(reach("farx", "fary", "n1x + n1y"))
+    # blocks of components that another pair of leaders has linked need nothing more
+    ends = (F.least("rootx", "rooty"), F.greatest("rootx", "rooty"))
+    met = pairs.join(gap.filter("hit"), ["pivotx", "pivoty"]).select(ends[0].alias("r1"), ends[1].alias("r2")).distinct()
+    open_ = open_.join(met, (ends[0] == F.col("r1")) & (ends[1] == F.col("r2")), "left_anti")
     own = members.select("pivot", "sid", "n", "far").distinct()
     alone = lambda s, t: open_.join(own.select(*(F.col(c).alias(f"{c}{s}_") for c in ("pivot", "sid", "n", "far"))), F.expr(f"pivot{s} = pivot{s}_ and " + reach(f"far{s}_", f"far{t}", f"n{s}_ + n1{t}"))).select(
         "pivotx", "pivoty", "gap", f"sid{s}_", f"n{s}_", f"far{s}_")
