@@ -202,6 +202,15 @@ def test_prediction_finds_a_linear_target(spark):
     assert np.corrcoef(got["bml"], y[50:])[0, 1] > 0.6
 
 
+def test_prediction_from_moments_equals_prediction_from_rows():
+    x, y = RNG.normal(size=(60, 12)), RNG.normal(size=60)
+    x -= x.mean(0)
+    f = np.array([0, 3, 3, 5, 7, 8, 11])
+    a = learning.double_center(x[:, f])
+    got = learning.simpls_moments(learning.double_center((x.T @ x)[np.ix_(f, f)]), (x.T @ y)[f] - (x.T @ y)[f].mean(), 4)
+    assert np.allclose(got, learning.simpls(a, y, 4))
+
+
 def test_linear_depth_profile():
     u = np.linspace(0.06, 0.94, 40)
     z = 3 * u - 1

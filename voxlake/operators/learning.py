@@ -80,8 +80,34 @@ def collect_matrix(rows: DataFrame, key: str = "subj", column: str = "feats") ->
     return np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float32)
 
 
+def simpls_moments(gram: np.ndarray, xy: np.ndarray, components: int) -> np.ndarray:
+    """``simpls`` of columns without means, from x'x and x'y alone."""
+    s = xy.copy()
+    beta, basis = np.zeros(len(xy)), []
+    for _ in range(min(components, len(xy))):
+        r = (s @ s) * s
+        g = gram @ r
+        size = math.sqrt(max(r @ g, 0.0))
+        if size < 1e-12:
+            break
+        r, v = r / size, g / size
+        p = v.copy()
+        for b in basis:
+            v -= b * (b @ p)
+        norm = np.linalg.norm(v)
+        if norm < 1e-12:
+            break
+        v /= norm
+        s = s - v * (v @ s)
+        basis.append(v)
+        beta += r * (xy @ r)
+    return beta
+
+
 def ensemble(spark, x: np.ndarray, y: np.ndarray, train: np.ndarray, test: np.ndarray, samples: np.ndarray, components: int = 10) -> np.ndarray:
     """Predictions of the test rows, averaged over members; ``samples`` has the features of each member."""
+    if x.shape[1] <= len(train):
+        return _ensemble_moments(spark, x, y, train, test, samples, components)
     shared = spark.sparkContext.broadcast((x, y, train, test, samples))  # within MATRIX_BYTES
 
     def run(batches):
@@ -103,6 +129,33 @@ def ensemble(spark, x: np.ndarray, y: np.ndarray, train: np.ndarray, test: np.nd
     return out
 
 
+def _ensemble_moments(spark, x: np.ndarray, y: np.ndarray, train: np.ndarray, test: np.ndarray, samples: np.ndarray, components: int) -> np.ndarray:
+    """The same where rows outnumber features: members need the moments of the training rows only, and give a coefficient a feature."""
+    a = x[train].astype(float)
+    a -= a.mean(0)
+    shared = spark.sparkContext.broadcast((a.T @ a, a.T @ y, samples))
+
+    def run(batches):
+        gram, xy, samples = shared.value
+        total, n = np.zeros(len(xy)), 0
+        for pdf in batches:
+            for i in pdf.id:
+                f = samples[i]
+                # rows less their means over the member's features
+                beta = simpls_moments(double_center(gram[np.ix_(f, f)]), xy[f] - xy[f].mean(), components)
+                np.add.at(total, f, beta - beta.mean())
+                n += 1
+        if n:
+            yield pd.DataFrame({"k": np.arange(len(xy)), "p": total, "n": n})
+
+    got = spark.range(0, len(samples), 1, min(len(samples), spark.sparkContext.defaultParallelism)).mapInPandas(run, "k long, p double, n long").groupBy("k").agg((F.sum("p") / F.sum("n")).alias("p")).collect()
+    beta = np.zeros(x.shape[1])
+    for r in got:
+        beta[r.k] = r.p
+    b = x[test].astype(float)
+    return (b - b.mean(0)) @ beta
+
+
 def edge_correlations(rows: DataFrame, target: DataFrame, key: str = "subj", y: str = "y") -> DataFrame:
     """(edge, r): correlation of each feature with the target over subjects."""
     return rows.join(target.select(key, F.col(y).alias("_y")), key).select(F.posexplode("feats").alias("edge", "_x"), "_y").groupBy("edge").agg(F.corr("_x", "_y").alias("r"))
