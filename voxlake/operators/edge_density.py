@@ -91,6 +91,29 @@ def quantile_threshold(hist: DataFrame, quantile: float = 0.99) -> float:
     return Z_RANGE[0] + (last + 1) * (Z_RANGE[1] - Z_RANGE[0]) / Z_BINS
 
 
+def _neighbourhoods(pdf: pd.DataFrame, at: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a block's centres that may have a neighbourhood, in order: ids, own rows, and for each place the rows of the neighbours there (len(pdf): none)."""
+    vid = pdf.vid.to_numpy()
+    count = pdf.of.map(len).to_numpy()
+    row, centre = np.repeat(np.arange(len(pdf)), count), np.concatenate([*pdf.of.to_list(), np.zeros(0, np.int64)]).astype(np.int64)
+    own = row[(vid[row] == centre) & _eligible(at, shape)[row]]
+    own = own[np.argsort(vid[own], kind="stable")]
+    order = np.argsort(centre, kind="stable")
+    row, centre = row[order], centre[order]
+    lo, hi = np.searchsorted(centre, vid[own], side="left"), np.searchsorted(centre, vid[own], side="right")
+    places = [np.where(lo + k < hi, np.append(row, 0)[np.minimum(lo + k, len(row))], len(pdf)) for k in range(int((hi - lo).max(initial=0)))]
+    return vid[own], own, places
+
+
+def _gathered(m: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """Sums of the rows of each neighbourhood."""
+    m = np.concatenate([m, np.zeros((1, m.shape[1]), m.dtype)]).astype(np.uint16)
+    out = np.zeros((len(places[0]) if places else 0, m.shape[1]), np.uint16)
+    for rows in places:
+        out += m[rows]
+    return out
+
+
 def edge_density(prepared: DataFrame, shape: tuple[int, int, int], threshold: float, kind: int | str = 26, length: int = 5, size: int = 256) -> DataFrame:
     """(i, j, z, ted) of edges with z at the threshold or above: the share above it of pairs of neighbours at a distance."""
     x = _blocked(prepared, size)
@@ -108,23 +131,14 @@ def edge_density(prepared: DataFrame, shape: tuple[int, int, int], threshold: fl
             pa_, pb = a[["b", "r", "c"]].to_numpy(), b[["b", "r", "c"]].to_numpy()
             z = _difference(_stack(a, "x"), _stack(b, "x"), _stack(a, "y"), _stack(b, "y"))
             far = ((pa_[:, None] - pb[None]) ** 2).sum(2) >= length * length
-            # of each centre the rows of its neighbourhood
-            na, nb = {}, {}
-            for table, pdf, p in ((na, a, pa_), (nb, b, pb)):
-                for k, of in enumerate(pdf.of):
-                    for v in of:
-                        table.setdefault(v, []).append(k)
-            ok_a = {v: k for k, v in enumerate(va) if v in na and k in na[v] and _eligible(pa_[k][None], shape)[0]}
-            ok_b = {v: k for k, v in enumerate(vb) if v in nb and k in nb[v] and _eligible(pb[k][None], shape)[0]}
+            (u, ka, na), (v, kb, nb) = (_neighbourhoods(pdf, p, shape) for pdf, p in ((a, pa_), (b, pb)))
             some = (np.abs(z) >= 1e-6) & far
-            above = some & (z > threshold)
-            for v, k in ok_b.items():
-                for u, m in ok_a.items():
-                    if u < v and far[m, k] and z[m, k] >= threshold:
-                        cell = np.ix_(na[u], nb[v])
-                        n = some[cell].sum()
-                        if n:
-                            out.append((v, u, z[m, k], min(above[cell].sum() / n, TED_RANGE[1] - 1e-6)))
+            i, j = np.nonzero((u[:, None] < v[None]) & far[np.ix_(ka, kb)] & (z[np.ix_(ka, kb)] >= threshold))
+            n, above = (_gathered(_gathered(m, na).T, nb).T[i, j].astype(int) for m in (some, some & (z > threshold)))
+            i, j, n, above = (w[n > 0] for w in (i, j, n, above))
+            out.append(pd.DataFrame({"i": v[j], "j": u[i], "z": z[ka[i], kb[j]], "ted": np.minimum(above / n, TED_RANGE[1] - 1e-6)}))
+        if out:
+            return out[0]
         return pd.DataFrame(out, columns=["i", "j", "z", "ted"])
 
     return pair_blocks(packed, packed, run, "i long, j long, z double, ted double", triangle=True).dropDuplicates(["i", "j"])

@@ -579,10 +579,12 @@ def spherical_roi(spark, d):
 
 @query()
 def edge_density(spark, d):
-    s = series(spark, d).filter("vid < 512")
+    """All vectors, on as many bands as they fill."""
+    s = series(spark, d)
     half = lambda k: F.filter("ts", lambda _, i: i % 2 == k)
     x = ted.prepare(s.select("vid", *VOXEL, half(0).alias("x"), half(1).alias("y")))
-    return rounded(ted.edge_density(x, SHAPE, ted.quantile_threshold(ted.difference_histogram(x, SHAPE)), 6), 5)
+    shape = ((s.agg(F.max("b")).first()[0] or 0) + 1, *SHAPE[1:])
+    return rounded(ted.edge_density(x, shape, ted.quantile_threshold(ted.difference_histogram(x, shape, size=2048)), 6, size=1024), 5)
 
 
 # -- layers ----------------------------------------------------------------------------------------
