@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from voxlake.llm import chat, decontaminate, language_id, line_dedup, mixing, ngram_jaccard, quality, sharding, token_files, topk
+from voxlake.llm import queries as op_queries
 
 random.seed(11)
 WORDS = ["the", "of", "Éa", "x1", "don't", "日本", "run,", "ab", "zz", "Q", "wörd", "k9", "to", "be", "or", "not"]
@@ -308,6 +309,18 @@ def test_line_dedup(spark):
             assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in drop.get(r.doc_id, ()))
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """The registered query: lines of any length, but blank ones, one character apart."""
+    rows = [(0, "Share this!\na\n \nRead more"), (1, "Share this.\nb\nab\n"), (2, "Read more.\nRead  mores\nabcd\n\nxyz"), (3, "abc\nfifteen letters\nq"), (4, "sixteen letters\nfifteen letters!\nxz\nqqqq")]
+    rows += [(10 + d, "\n".join("".join(random.choice("ab ") for _ in range(random.randrange(7))) for _ in range(4))) for d in range(12)]
+    to = "file://" + str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{to}/documents.parquet")
+    lines = [(d, i, x) for d, t in rows for i, x in enumerate(t.split("\n")) if x.strip()]
+    want = {d: [i for e, i, x in lines if e == d and any((f, j) < (e, i) and levenshtein(x, y) <= 1 for f, j, y in lines)] for d, _ in rows}
+    assert want[1] == [0, 1, 2] and want[2][0] == 0
+    assert {r.doc_id: list(r.dropped) for r in op_queries.QUERIES["op5_line_dedup"](spark, to).collect()} == want
+
+
 def levenshtein(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

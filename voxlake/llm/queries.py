@@ -47,8 +47,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all documents to drop, as an earlier line is equal or one character away."""
-    return dropped_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Lines of all documents to drop, of any length but blank ones, as an earlier line is equal or one character away."""
+    return dropped_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_chars=1)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
