@@ -92,6 +92,24 @@ def test_jaccard_chain_of_near_copies(spark):
     assert all((got[i] == got[j]) == (root[i] == root[j]) for i in range(60) for j in range(60))
 
 
+def test_jaccard_counts_every_link(spark, tmp_path):
+    """Members of one group, equal texts and rows without an id among them, against all pairs."""
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(30):
+        w = list(base)
+        w[(i * 31) % 150] = f"n{i}"
+        if i % 3 == 0:
+            w[(i * 17 + 5) % 150] = "m"
+        rows.append((i, " ".join(w)))
+    rows += [(40, rows[2][1]), (41, rows[2][1].replace(" ", "  ")), (42, None), (43, "one two"), (44, "one two"), (None, rows[3][1]), (45, " "), (46, "alone in the world")]
+    to = "file://" + str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{to}/documents.parquet")
+    s = [shingles(t, 3) for _, t in rows]
+    want = [(i, sum(1 for q, y in enumerate(s) if q != p and x and y and 100 * len(x & y) >= 90 * len(x | y))) for p, ((i, _), x) in enumerate(zip(rows, s))]
+    got = [(r.doc_id, r.n_links) for r in op_queries.QUERIES["op3_ngram_links"](spark, to).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(n for _, n in want) > 20
+
+
 def test_one_of_each_stays(docs):
     kept = ngram_jaccard.keep_one_of_each(docs, 5, 80, 100)
     assert kept.columns == docs.columns

@@ -276,11 +276,12 @@ class _Sets:
         self.scratch.drop(*(f"{x}{i}" for x in ("sets", "overlap") for i in range(1, self.n + 1)))
 
 
-def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): one row per row of ``docs``.
+def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per row of ``docs``.
 
-    ``component_id`` is the smallest id reachable by links.  ``n_links`` counts the verified links of
-    the row's distinct set that were needed to build its component (0: alone or only equal sets).
+    ``component_id`` is the smallest id reachable by links.  With ``count_links`` also ``n_links``, the
+    number of other rows that the row links with, equal sets and members of its component included.
+    Components need few comparisons; counting compares all pairs of sets that prefixes leave open.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -302,6 +303,14 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     sets = _Sets(texts, k, scratch)
     enough = f"inter * {num + den} >= {num} * (na + nb)"  # den * inter >= num * (na + nb - inter)
 
+    if count_links:
+        of = lambda s: lists.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("sid", "n", "pos")))
+        pairs = of("x").join(of("y"), "token").filter(f"sidx < sidy and {num} * nx <= {den} * ny and {num} * ny <= {den} * nx")
+        room = F.max(F.expr(f"least(nx - posx, ny - posy) * {num + den} >= {num} * (nx + ny)"))
+        pairs = pairs.groupBy("sidx", "sidy").agg(room.alias("room")).filter("room").select(F.col("sidx").alias("a"), F.col("sidy").alias("b"))
+        every = sets.compare(pairs).filter(enough).select("a", "b")
+        every = scratch.write(every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"))), "every")
+
     def star(members: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
         """Pairs of a set and up to three leaders of other components, those it shares most lists with."""
         lead = members.groupBy("token").agg(*(F.min(F.struct("pos", F.xxhash64("sid", F.lit(x)).alias("h"), "sid", "n", "root")).alias(f"l{x}") for x in seeds))
@@ -367,14 +376,17 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     sids = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"))
     linked = root.withColumnRenamed("v", "sid").join(sids, "sid")
     lowest = linked.groupBy("root").agg(F.min("id").alias("least"))
-    count = all_links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links"))
     # a class for each set with more than one row or with links; other rows are their own
     multi = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("c"))
-    classes = multi.join(root.withColumnRenamed("v", "sid").join(lowest, "root").select("sid", "least"), "sid", "left").join(count, "sid", "left")
-    classes = classes.filter("c > 1 or least is not null").select("sid", F.coalesce("least", "id").alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = multi.join(root.withColumnRenamed("v", "sid").join(lowest, "root").select("sid", "least"), "sid", "left")
+    if count_links:
+        others = every.join(multi.select(F.col("sid").alias("b"), "c"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("c").alias("links"))
+        classes = classes.join(others, "sid", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("c") - 1)
+    classes = classes.filter("c > 1 or least is not null").select("sid", F.coalesce("least", "id").alias("least"), *(["links"] if count_links else []))
     classes = scratch.write(classes, "classes")
     out = rows.join(classes, (rows.sid == classes.sid) & (rows.n > 0), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    more = [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *more)
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,8 +37,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
-    out = ngram_jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
-    return out.select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
+
+
+def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same components, and of each document the number of documents that it links with."""
+    return ngram_jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100, count_links=True)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +90,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op3_ngram_links": op3_ngram_links,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
