@@ -142,8 +142,9 @@ def brute_windows(rows, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 200])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination(spark, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_HITS", most)  # with and without broadcasts
     items = [(i, sentence(random.choice([1, 3, 12, 13, 14, 30]))) for i in range(25)] + [(3, "again " + sentence(15)), (None, sentence(20)), (77, None), (78, " ! ")]
     rows = [(0, None), (1, ""), (1, ""), (None, items[4][1])]
     for d in range(2, 40):
@@ -154,11 +155,14 @@ def test_decontamination(spark, block):
         rows.append((d, " ".join(parts)))
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((tuple(r) for r in decontaminate.decontaminate(df, bench, block).collect()), key=str)
+    got = sorted((tuple(r) for r in decontaminate.decontaminate(df, bench).collect()), key=str)
     want = brute_windows(rows, items)
     assert got == want
-    clean = decontaminate.drop_contaminated(df, bench, block)
-    assert clean.columns == df.columns and sorted((str(r.doc_id) for r in clean.collect())) == sorted(str(w[0]) for w in want if not w[5])
+    clean = decontaminate.drop_contaminated(df, bench)
+    full = [i for i in items if len(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", i[1] or "")) >= 13]
+    whole = [w[2] for w in sorted(brute_windows([(n, t) for n, (_, t) in enumerate(rows)], full), key=lambda w: w[0])]
+    stays = sorted(str(d) for n, (d, t) in enumerate(rows) if not whole[n] and not next(w[5] for w in brute_windows([(n, t)], items)))
+    assert clean.columns == df.columns and sorted(str(r.doc_id) for r in clean.collect()) == stays and 0 < len(stays) < len(rows)
 
 
 def test_winnowing_keeps_one_of_every_window():

@@ -5,23 +5,23 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 
 Of every text the hashes of its 5-word grams are taken, and of each sliding window of 9 such hashes
 the smallest is kept (winnowing).  A shared span of 13 words holds the same 9 grams on both sides, so
-both keep the same smallest one: every shared window has a common fingerprint.  Training
-fingerprints meet those of the benchmark, and each hit is extended over the windows around it, whose
-13-word hashes are compared.  Windows of fewer words fingerprint as their own single gram.
+both keep the same smallest one: every shared window has a common fingerprint.  Windows of fewer words
+fingerprint as their own single gram.
 
-The benchmark goes out in blocks of bounded size (``block_bytes`` of text), each met by all documents;
-hits of the blocks are merged by row.  A benchmark within one block takes one pass and no shuffle.
+Both sides become rows.  Of documents, one scan keeps what passes a filter of fixed size of the
+benchmark's fingerprints, extended to the windows around it; these meet the benchmark's windows in a
+join by hash.  What meets is merged to spans and items of each text by aggregates.  Nothing of either
+side is collected, and the benchmark may be of any size.
 
 Defined cases: null or wordless text has no words and is clean; wordless items have no windows; null
 item ids and repeated items count as one item for each distinct id, a null id as the empty string;
-empty tables give no rows or no hits; repeated documents are judged each for itself.
+empty tables give no rows or no hits; repeated documents are judged each for itself; a very long text is
+a slice of its own.  Columns of other names, and of any clashing name, stay as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .scratch import bounded
+from .bitmaps import filter_of, marked
+from .scratch import Scratch, small
 
 WINDOW = 13
 GRAM = 5
-BLOCK_BYTES = 16 << 20
+#: The filter of fingerprints and windows: 8 MB whatever the benchmark.  A full one only costs time.
+FILTER_BITS = 26
+#: Hits are broadcast up to so many rows, of about 100 bytes each.
+MOST_HITS = 200_000
 
 
 def winnow(g: np.ndarray, span: int) -> np.ndarray:
@@ -49,242 +53,134 @@ def winnow(g: np.ndarray, span: int) -> np.ndarray:
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
-@dataclass
-class Index:
-    """Fingerprints and windows of a block of items, sorted by hash.  lengths: window lengths that occur, 13 or less."""
-
-    prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    windows: dict[int, np.ndarray] = field(default_factory=dict)
-    owners: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    items: list[str] = field(default_factory=list)
-
-
-def build_index(rows: list[tuple[str, str]]) -> Index:
-    """rows: (item id as text, text)."""
-    out = Index(items=sorted({r[0] for r in rows}))
-    number = {x: i for i, x in enumerate(out.items)}
-    if not rows:
-        return out
-    prints, found = [], {}
-    for start in range(0, len(rows), 1000):
-        part = rows[start : start + 1000]
-        for i, _, off, data in tb.slices(pa.array([r[1] for r in part], pa.string())):
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) -> (m, h, item): the windows of m words of each item, and its fingerprints as m = 0."""
+    for batch in batches:
+        for i, _, off, data in tb.slices(batch.column(1)):
             w = tb.words(off, data, tb.ALNUM)
             for d, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
                 if a == b:
                     continue
                 m = min(WINDOW, b - a)
-                g = tb.grams(w.hashes[a:b], m)
-                found.setdefault(m, []).append((g, np.full(len(g), number[part[i + d][0]])))
+                h, prints = np.unique(tb.grams(w.hashes[a:b], m)), np.zeros(0, np.uint64)
                 if m == WINDOW:
-                    k = tb.grams(w.hashes[a:b], GRAM)
-                    prints.append(k[winnow(k, WINDOW - GRAM + 1)])
-    for m, x in found.items():
-        h, owner = np.concatenate([p for p, _ in x]), np.concatenate([p for _, p in x])
-        order = np.argsort(h, kind="stable")
-        h, owner = h[order], owner[order]
-        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        out.windows[m] = h[head]
-        out.owners[m] = (owner, np.append(head, len(h)))
-    if prints:
-        out.prints = np.unique(np.concatenate(prints))
-    return out
-
-
-def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index in ``sorted_`` of each value, -1 where absent."""
-    if not len(sorted_) or not len(x):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    return np.where(sorted_[at] == x, at, -1)
-
-
-class Scanner:
-    """Matches slices of documents against an index; a table of 2^22 bits passes over most fingerprints that it lacks."""
-
-    def __init__(self, index: Index):
-        self.x = index
-        self.maybe = np.zeros(1 << 22, bool)
-        for h in [index.prints, *(index.windows[m] for m in index.windows if m < WINDOW)]:
-            self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def _where(self, sorted_: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, index) of the hashes that ``sorted_`` has."""
-        at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        hit = _among(sorted_, h[at])
-        return at[hit >= 0], hit[hit >= 0]
-
-    def scan(self, w: tb.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(document of the slice, words hit as a mask, item numbers) of the documents with a hit."""
-        x, last, n_words = self.x, w.first[1:], len(w.hashes)
-        end_of = np.repeat(last, np.diff(w.first))
-        starts, owners, lengths = [], [], []
-        for m in sorted(x.windows):
-            if n_words < m:
+                    g = tb.grams(w.hashes[a:b], GRAM)
+                    prints = np.unique(g[winnow(g, WINDOW - GRAM + 1)])
+                kind = np.repeat(np.array([m, 0], np.int32), [len(h), len(prints)])
+                own = batch.column(0).take(pa.array(np.full(len(kind), i + d)))
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([h, prints]).view(np.int64)), own], names=["m", "h", "item"])
+
+
+def candidate_windows(w: tb.Words, lengths: list[int], packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, hash) of the windows of a slice that the filter lets pass, none across documents."""
+    at, size, hashes, n_words = [], [], [], len(w.hashes)
+    end_of = np.repeat(w.first[1:], np.diff(w.first))
+    for m in lengths:
+        if n_words < m:
+            continue
+        if m == WINDOW:
+            g = tb.grams(w.hashes, GRAM)
+            prints = winnow(g, WINDOW - GRAM + 1)
+            prints = prints[marked(packed, g[prints].view(np.int64))]
+            near = np.unique((prints[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
+            near = near[(near >= 0) & (near + WINDOW <= n_words)]
+            if not len(near):
                 continue
-            if m == WINDOW:
-                g = tb.grams(w.hashes, GRAM)
-                at, _ = self._where(x.prints, g[winnowed] if len(winnowed := winnow(g, WINDOW - GRAM + 1)) else g[:0])
-                near = winnowed[at]
-                near = np.unique((near[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
-                near = near[(near >= 0) & (near + WINDOW <= n_words)]
-                if not len(near):
-                    continue
-                full = tb.grams(w.hashes, WINDOW) if len(near) * 4 > n_words else None
-                h = full[near] if full is not None else tb.grams(w.hashes[near[:, None] + np.arange(WINDOW)].T.copy(), WINDOW)[0]
-                hit = _among(x.windows[m], h)
-                at, hit = near[hit >= 0], hit[hit >= 0]
-            else:
-                at, hit = self._where(x.windows[m], tb.grams(w.hashes, m))
-            keep = at + m <= end_of[at]
-            starts.append(at[keep])
-            owners.append(np.stack([np.full(keep.sum(), m), hit[keep]]))
-            lengths.append(np.full(keep.sum(), m))
-        if not starts or not sum(map(len, starts)):
-            return
-        at, own, m = np.concatenate(starts), np.concatenate(owners, axis=1), np.concatenate(lengths)
-        doc = np.searchsorted(w.first, at, side="right") - 1
-        order = np.argsort(doc, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
-            d = int(doc[part[0]])
-            a, n = int(w.first[d]), int(w.first[d + 1] - w.first[d])
-            step = np.zeros(n + 1, np.int64)
-            np.add.at(step, at[part] - a, 1)
-            np.add.at(step, at[part] - a + m[part], -1)
-            items = set()
-            for k, i in {(int(k), int(i)) for k, i in own[:, part].T}:
-                owner, head = x.owners[k]
-                items.update(owner[head[i] : head[i + 1]].tolist())
-            yield d, np.cumsum(step[:-1]) > 0, np.array(sorted(items), np.int64)
+            h = tb.grams(w.hashes, WINDOW)[near] if len(near) * 4 > n_words else tb.grams(w.hashes[near[:, None] + np.arange(WINDOW)].T.copy(), WINDOW)[0]
+        else:
+            h = tb.grams(w.hashes, m)
+            near = np.arange(len(h))
+        keep = np.flatnonzero(marked(packed, h.view(np.int64)))
+        keep = keep[near[keep] + m <= end_of[near[keep]]]
+        at.append(near[keep])
+        size.append(np.full(len(keep), m, np.int32))
+        hashes.append(h[keep])
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    at, size, hashes = np.concatenate(at), np.concatenate(size), np.concatenate(hashes)
+    order = np.argsort(at, kind="stable")
+    return at[order], size[order], hashes[order]
 
 
-def _scan(index, whole: bool):
-    """whole: the finished row of every document; else hits of this block: (id, key, words, spans, items)."""
+_WINDOW_TYPE = pa.struct([("at", pa.int64()), ("m", pa.int32()), ("h", pa.int64())])
 
-    def digest(items: list[str]) -> str:
-        return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+def _scan(bloom, lengths: list[int], every: bool):
+    """(id, k1, k2, text) -> (id, k1, k2, n_words, windows) of every text, or of those with windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(index.value)
-        names = index.value.items
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, off, data in tb.slices(batch.column(1)):
+            for i, j, off, data in tb.slices(batch.column(3)):
                 w = tb.words(off, data, tb.ALNUM)
-                n = np.diff(w.first)
-                hits = list(scanner.scan(w))
-                if whole:
-                    n_hit, n_items, sha = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), [digest([])] * (j - i)
-                    for d, mask, items in hits:
-                        n_hit[d], n_items[d], sha[d] = mask.sum(), len(items), digest([names[x] for x in items])
-                    bad = (n_hit > 0) & (20 * n_hit >= n)
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(n_hit), pa.array(n_items), pa.array(sha, pa.string()), pa.array(bad)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-                elif hits:
-                    spans = []
-                    for _, mask, _ in hits:
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                        spans.append([f"{a}-{b}" for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())])
-                    rows = pa.array([i + d for d, _, _ in hits])
-                    yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), pa.array(n[[d for d, _, _ in hits]].astype(np.int64)), pa.array(spans, pa.list_(pa.string())), pa.array([[names[x] for x in items] for _, _, items in hits], pa.list_(pa.string()))], names=["key", "n", "spans", "items"])
+                at, m, h = candidate_windows(w, lengths, bloom.value)
+                cut = np.searchsorted(at, w.first)
+                at = at - np.repeat(w.first[:-1], np.diff(cut))
+                windows = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(at), pa.array(m), pa.array(h.view(np.int64))], fields=list(_WINDOW_TYPE)))
+                cols = [*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(np.diff(w.first).astype(np.int64)), windows]
+                out = pa.RecordBatch.from_arrays(cols, names=["id", "k1", "k2", "n_words", "windows"])
+                yield out if every else out.filter(pa.array(np.diff(cut) > 0))
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, words, spans of all blocks, items of all blocks) -> the finished columns of each key."""
-    for batch in batches:
-        n_hit, n_items, sha, n_words = [], [], [], batch.column(1).to_pylist()
-        for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            end = hit = 0
-            for a, b in sorted(tuple(map(int, s.split("-"))) for s in spans):
-                hit += max(0, b - max(a, end))
-                end = max(end, b)
-            items = sorted(set(items))
-            n_hit.append(hit)
-            n_items.append(len(items))
-            sha.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-        bad = [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())], names=["key", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, off, data in tb.slices(batch.column(1)):
-            n = np.diff(tb.words(off, data, tb.ALNUM).first).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n)], names=["doc_id", "key", "n_words"])
-
-
-_OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded text, streamed partition by partition."""
-    block, used = [], 0
-    for r in benchmark.toLocalIterator():
-        block.append((r.item or "", r.text or ""))
-        used += len(r.text or "") * 4
-        if used >= block_bytes:
-            yield block
-            block, used = [], 0
-    if block:
-        yield block
-
-
-def _indexes(docs: DataFrame, benchmark: DataFrame, block_bytes: int, item_col: str) -> list:
-    sc = bounded(docs.sparkSession).sparkContext
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    return [sc.broadcast(build_index(b)) for b in _blocks(bench, block_bytes)] or [sc.broadcast(Index())]
-
-
-def _key(text: str):
-    """Equal texts have equal hits, so hits of several blocks meet by two hashes of the text."""
-    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
-
-
-def _by_key(keyed: DataFrame, indexes: list) -> DataFrame:
-    """(id, text, key) -> the finished columns of each key with hits in any block."""
-    parts = [keyed.mapInArrow(_scan(x, False), "key struct<a:long,b:int>, n long, spans array<string>, items array<string>") for x in indexes]
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    hits = hits.groupBy("key").agg(F.min("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return hits.mapInArrow(_merge, "key struct<a:long,b:int>, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def _hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, every: bool, id_col: str | None, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame]:
+    """(scanned texts, (k1, k2, n_hit, n_full, n_items, items_sha256) of each text with a hit); n_full counts windows of 13 words."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    bench = scratch.write(items.mapInArrow(_item_rows, "m int, h long, item string").distinct(), "bench")
+    lengths = sorted(r.m for r in bench.filter("m > 0").select("m").distinct().collect())  # 13 numbers at most
+    bloom = spark.sparkContext.broadcast(filter_of(bench.select("h"), FILTER_BITS))
+    own = docs.select((F.col(id_col) if id_col else F.lit(None)).cast("long").alias("id"), *text_key(text_col), F.col(text_col).cast("string").alias("text"))
+    scanned = scratch.write(own.mapInArrow(_scan(bloom, lengths, every), "id long, k1 long, k2 int, n_words long, windows array<struct<at:long,m:int,h:long>>"), "scanned")
+    # equal texts have equal hits, so one of them is enough
+    texts = scanned.filter("size(windows) > 0").select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.*").distinct()
+    # each hash of the benchmark once, so that no window of a document is multiplied by items
+    known = scratch.write(bench.filter("m > 0").select("m", "h").distinct(), "known")
+    met = scratch.write(texts.join(small(known, known.count(), MOST_HITS), ["m", "h"]), "met")
+    # the union of a text's windows, from left to right
+    step = lambda s, x: F.struct(F.greatest(s.stop, x.at + x.m).alias("stop"), (s.n + F.greatest(F.lit(0), x.at + x.m - F.greatest(s.stop, x.at))).alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("stop"), F.lit(0).cast("long").alias("n"))
+    spans = met.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("w"), F.count(F.when(F.col("m") == WINDOW, 1)).alias("n_full"))
+    spans = spans.select("k1", "k2", "n_full", F.aggregate("w", start, step, lambda s: s.n).alias("n_hit"))
+    names = bench.filter("m > 0")
+    found = met.select("k1", "k2", "m", "h").distinct().join(small(names, names.count(), MOST_HITS), ["m", "h"])
+    found = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = found.select("k1", "k2", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    hits = scratch.write(spans.join(found, ["k1", "k2"]), "hits")
+    scratch.drop("met", "bench", "known")
+    return scanned, hits
+
+
+def text_key(text_col: str) -> tuple:
+    """Two hashes by which equal texts meet."""
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document: words, words hit, items with occurring windows and their digest, and the verdict.
 
     A document is contaminated when it has hits and ``20 * n_hit >= n_words``.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    indexes = _indexes(docs, benchmark, block_bytes, item_col)
-    if len(indexes) == 1:
-        return texts.mapInArrow(_scan(indexes[0], True), _OUT)
-    keyed = texts.withColumn("key", _key("text"))
-    words = keyed.mapInArrow(_count_words, "doc_id long, key struct<a:long,b:int>, n_words long")
-    out = words.join(_by_key(keyed, indexes), "key", "left")
-    clean = F.lit(hashlib.sha256(b"").hexdigest())
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", clean).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The documents that are not contaminated, with all their own columns."""
-    indexes = _indexes(docs, benchmark, block_bytes, item_col)
-    if len(indexes) == 1:
-        return docs.mapInArrow(_clean(indexes[0], docs.columns.index(text_col)), docs.schema)
-    keyed = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", _key("text"))
-    bad = _by_key(keyed, indexes).filter("contaminated").select(F.col("key").alias("_bad_key"))
-    return docs.join(bad, _key(text_col) == F.col("_bad_key"), "left_anti")
+    scratch = Scratch(docs.sparkSession, "benchmark")
+    scanned, hits = _hits(docs, benchmark, scratch, True, id_col, text_col, item_col)
+    out = scanned.select(F.col("id").alias("doc_id"), "n_words", "k1", "k2").join(small(hits, hits.count(), MOST_HITS), ["k1", "k2"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
-def _clean(index, text: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(index.value)
-        for batch in batches:
-            keep = np.ones(len(batch), bool)
-            for i, _, off, data in tb.slices(batch.column(text)):
-                for d, mask, _ in scanner.scan(tb.words(off, data, tb.ALNUM)):
-                    keep[i + d] = 20 * mask.sum() < len(mask)
-            yield batch.filter(pa.array(keep))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The documents that hold no benchmark passage, with all their own columns.
 
-    return run
+    A whole window of 13 words is a passage.  Items of fewer words may stand in a text by chance: their
+    hits count where they are ``share`` of its words.
+    """
+    scratch = Scratch(docs.sparkSession, "benchmark")
+    scanned, hits = _hits(docs, benchmark, scratch, False, None, text_col, item_col)
+    sizes = scanned.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"))
+    bad = hits.join(sizes, ["k1", "k2"]).filter((F.col("n_full") > 0) | (F.col("n_hit") >= share * F.col("n_words"))).select(F.col("k1").alias("a"), F.col("k2").alias("b"))
+    bad = scratch.write(bad, "bad")
+    scratch.drop("scanned", "hits")
+    bad = small(bad, bad.count())
+    k1, k2 = (F.xxhash64(docs[text_col].cast("string")), F.hash(docs[text_col].cast("string")))
+    return docs.join(bad, (k1 == bad.a) & (k2 == bad.b), "left_anti")

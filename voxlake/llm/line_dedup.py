@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .ngram_jaccard import _filter_of, _marked
+from .bitmaps import filter_of, marked
 from .scratch import Scratch
 
 MIN_CHARS = 16
@@ -105,7 +105,7 @@ def _texts(marks):
             for _, _, off, data in tb.slices(batch.column(1)):
                 x = _Lines(off, data)
                 h = x.hashes().view(np.int64)
-                want = np.flatnonzero(~x.blank & _marked(packed, h))
+                want = np.flatnonzero(~x.blank & marked(packed, h))
                 want = want[np.sort(np.unique(h[want], return_index=True)[1])]
                 yield pa.RecordBatch.from_arrays([pa.array(h[want]), pa.array([x.text(i) for i in want.tolist()], pa.string())], names=["h", "said"])
 
@@ -138,7 +138,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared_keys(marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_marked(marks.value, batch.column(0).to_numpy())))
+            yield batch.filter(pa.array(marked(marks.value, batch.column(0).to_numpy())))
 
     return run
 
@@ -168,12 +168,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
     halves = every.select("h", F.explode("halves").alias("half")).groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("half")
     open_ = every.select("h", F.explode("halves").alias("half")).join(halves, "half", "left_semi").select("h").distinct()
     open_ = scratch.write(open_.join(lines, "h").select("h", "first.id", "first.line"), "open")
-    marks = spark.sparkContext.broadcast(_filter_of(open_.select("h"), LINE_BITS))  # 1 MB whatever the input
+    marks = spark.sparkContext.broadcast(filter_of(open_.select("h"), LINE_BITS))  # 1 MB whatever the input
     said = texts.mapInArrow(_texts(marks), "h long, said string").groupBy("h").agg(F.first("said").alias("said"))
     said = scratch.write(open_.join(said, "h"), "said")
     variants = said.select("h", "id", "line", "said").mapInArrow(_variants, "key long, kind int, h long, id long, line int")
     twice = variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
-    shared = spark.sparkContext.broadcast(_filter_of(twice, KEY_BITS))  # 2 MB whatever the input
+    shared = spark.sparkContext.broadcast(filter_of(twice, KEY_BITS))  # 2 MB whatever the input
     variants = scratch.write(variants.mapInArrow(_shared_keys(shared), variants.schema), "variants")
     at = F.struct("id", "line", "h")
     keys = variants.groupBy("key").agg(*(F.min(F.when(F.col("kind") == k, at)).alias(f"f{k}") for k in (0, 1, 2)), F.count("*").alias("c")).filter("c > 1").drop("c")

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .bitmaps import filter_of, marked
 from .components import components
 from .scratch import Scratch
 
@@ -148,45 +149,6 @@ def _prefixes(k: int, num: int, den: int, ranks_of):
     return run
 
 
-def _marks(bits: int):
-    """Of a column of longs one bitmap a task, in packed pieces."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((1 << bits) // 8, np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy() & ((1 << bits) - 1)
-            np.bitwise_or.at(seen, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-        parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(np.split(seen, CHUNKS)) if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["chunk", "cells"])
-
-    return run
-
-
-def _or_marks(bits: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << bits) // CHUNKS // 8, np.uint8)
-        for batch in batches:
-            for x in batch.column(1):
-                total |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "cells"])
-
-    return run
-
-
-def _filter_of(longs: DataFrame, bits: int) -> np.ndarray:
-    """A one-hash Bloom filter of 2^bits bits, packed: the same size for any input."""
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    width = len(out) // CHUNKS
-    for r in longs.mapInArrow(_marks(bits), "chunk int, cells binary").groupBy("chunk").applyInArrow(_or_marks(bits), "chunk int, cells binary").collect():
-        out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.cells, np.uint8)
-    return out
-
-
-def _marked(packed: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = x & (8 * len(packed) - 1)
-    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-
-
 def _shared_lists(bloom):
     """(sid, n, head) -> (token, sid, n, pos) of the tokens that may stand in another prefix too."""
 
@@ -196,7 +158,7 @@ def _shared_lists(bloom):
             token = head.flatten().to_numpy()
             count = np.diff(head.offsets.to_numpy())
             pos = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
-            keep = np.flatnonzero(_marked(bloom.value, token))
+            keep = np.flatnonzero(marked(bloom.value, token))
             row = np.repeat(np.arange(len(count)), count)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(token[keep]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(pos[keep].astype(np.int64))], names=["token", "sid", "n", "pos"])
 
@@ -216,7 +178,7 @@ def _chosen_sets(k: int, bloom):
                 sets = [s for s in shingle_sets(off, data, k) if len(s)]
                 _, sid, _ = _fingerprints(sets)
                 keep = _first_of_each(sid)
-                keep = keep[_marked(bloom.value, sid[keep])]
+                keep = keep[marked(bloom.value, sid[keep])]
                 yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["sid", "items"])
 
     return run
@@ -263,7 +225,7 @@ class _Sets:
             want = want.join(self._all().select("sid"), "sid", "left_anti")
         want = sc.write(want, f"want{tag}")
         if not want.isEmpty():
-            bloom = self.texts.sparkSession.sparkContext.broadcast(_filter_of(want, SET_BITS))
+            bloom = self.texts.sparkSession.sparkContext.broadcast(filter_of(want, SET_BITS))
             found = self.texts.mapInArrow(_chosen_sets(self.k, bloom), "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
             self.known.append(sc.write(found.join(want, "sid", "left_semi"), f"sets{tag}", compression="none"))
         left = pairs.join(self._all().select(F.col("sid").alias("a"), F.col("items").alias("x")), "a")
@@ -294,7 +256,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     heads = texts.mapInArrow(_prefixes(k, num, den, ranks), "sid long, n long, head array<long>")
     heads = scratch.write(heads.groupBy("sid").agg(F.first("n").alias("n"), F.first("head").alias("head")), "heads")
     twice = heads.select(F.explode("head").alias("token")).groupBy("token").count().filter("count > 1").select("token")
-    bloom = spark.sparkContext.broadcast(_filter_of(twice, TOKEN_BITS))
+    bloom = spark.sparkContext.broadcast(filter_of(twice, TOKEN_BITS))
     lists = scratch.write(heads.mapInArrow(_shared_lists(bloom), "token long, sid long, n long, pos long"), "lists_all")
     lists = scratch.write(lists.join(lists.groupBy("token").count().filter("count > 1"), "token").select("token", "sid", "n", "pos"), "lists")
     # lists that two linked sets share at least, from their sizes

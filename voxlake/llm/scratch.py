@@ -8,6 +8,7 @@ Tables are Parquet, committed by Spark's own writer, so a lost executor costs a
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ _UNSET = "voxlake.scratch.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets one of our own only where the session names none."""
+    """The shared folder; sets one of our own only where the session names none and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_UNSET, None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         named = "file://" + os.path.join(tempfile.mkdtemp(prefix="voxlake-"))
         spark.conf.set(_UNSET, named)
     return named.rstrip("/")
