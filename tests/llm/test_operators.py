@@ -211,7 +211,28 @@ def test_re_pair_round_trip_and_windows():
             assert (s.document(i) == doc).all()
             for a, b in ((0, 1), (0, len(doc)), (len(doc) // 3, len(doc) // 2 + 1)):
                 assert (s.window(i, a, b) == doc[a:b]).all()
-    assert len(token_files.re_pair(np.array([3, 4] * 500, np.uint32), np.zeros(1000, bool), 50).seq) < 300
+    assert len(token_files.re_pair(np.array([3, 4] * 500, np.uint32), np.zeros(1000, bool), 50).seq) < 20
+
+
+def test_re_pair_leaves_no_frequent_pair():
+    """Of what is left no pair inside a document has ``least`` uses that don't overlap; rules have their uses; 17-bit symbols."""
+    rng = np.random.default_rng(9)
+    for ids, vocabulary in ((rng.zipf(1.3, 40_000).clip(max=65_400), 65_500), (rng.integers(0, 3, 5000), 10), (np.tile([1, 1, 1, 2], 900), 10)):
+        counts = np.diff(np.concatenate(([0], np.sort(rng.choice(np.arange(1, len(ids)), 40, replace=False)), [len(ids)])))
+        ends = np.zeros(len(ids), bool)
+        ends[np.cumsum(counts) - 1] = True
+        g = token_files.re_pair(ids.astype(np.uint32), ends, vocabulary, least=8)
+        s = token_files.Shard(token_files.pack_shard(ids.astype(np.uint32), counts, list(range(41)), vocabulary, least=8))
+        assert (s.tokens(0, len(s.seq)) == ids).all() and (s.seq == g.seq).all()
+        seen, last = defaultdict(int), {}
+        for d in range(41):
+            part = s.seq[s.at[d] : s.at[d + 1]].tolist()
+            for i, pair in enumerate(zip(part, part[1:])):
+                if last.get(pair) != (d, i - 1):  # a pair over itself counts once
+                    seen[pair] += 1
+                    last[pair] = (d, i)
+        assert max(seen.values()) < 8
+        assert all(b - a >= 0 for a, b in zip(s.at, s.at[1:]))
 
 
 def test_sharding(docs):

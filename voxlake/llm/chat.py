@@ -146,7 +146,7 @@ def _format(budget: int, history: int):
             rows = []
             conv, span, kind, role = (batch.column(i).to_pylist() for i in range(4))
             text = batch.column(4).to_pylist()
-            tokens = np.concatenate([np.diff(tb.words(off, data, tb.NOT_SPACE).first) for _, _, off, data in tb.slices(batch.column(4))] or [np.zeros(0, int)]) + MARKS
+            tokens = np.concatenate([np.diff(tb.words(off, data, tb.NOT_SPACE, None).first) for _, _, off, data in tb.slices(batch.column(4))] or [np.zeros(0, int)]) + MARKS
             for c, s, k, r, x, n in zip(conv, span, kind, role, text, tokens.tolist()):
                 if at != (c, s):
                     if now and (w := now.close()):

@@ -62,10 +62,10 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if a == b:
                     continue
                 m = min(WINDOW, b - a)
-                h, prints = np.unique(tb.grams(w.hashes[a:b], m)), np.zeros(0, np.uint64)
+                h, prints = tb.distinct(tb.grams(w.hashes[a:b], m)), np.zeros(0, np.uint64)
                 if m == WINDOW:
                     g = tb.grams(w.hashes[a:b], GRAM)
-                    prints = np.unique(g[winnow(g, WINDOW - GRAM + 1)])
+                    prints = tb.distinct(g[winnow(g, WINDOW - GRAM + 1)])
                 kind = np.repeat(np.array([m, 0], np.int32), [len(h), len(prints)])
                 own = batch.column(0).take(pa.array(np.full(len(kind), i + d)))
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([h, prints]).view(np.int64)), own], names=["m", "h", "item"])
@@ -82,7 +82,7 @@ def candidate_windows(w: tb.Words, lengths: list[int], packed: np.ndarray) -> tu
             g = tb.grams(w.hashes, GRAM)
             prints = winnow(g, WINDOW - GRAM + 1)
             prints = prints[marked(packed, g[prints].view(np.int64))]
-            near = np.unique((prints[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
+            near = tb.distinct((prints[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
             near = near[(near >= 0) & (near + WINDOW <= n_words)]
             if not len(near):
                 continue

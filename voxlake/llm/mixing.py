@@ -78,7 +78,7 @@ def full_budget(tokens: np.ndarray, weights: np.ndarray) -> float:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = [np.diff(tb.words(off, data, tb.NOT_SPACE).first) for _, _, off, data in tb.slices(batch.column(3))]
+        n = [np.diff(tb.words(off, data, tb.NOT_SPACE, None).first) for _, _, off, data in tb.slices(batch.column(3))]
         n = np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n)], names=["doc_id", "source", "h", "tokens"])
 

@@ -52,7 +52,7 @@ def features(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     length = tb.mix(np.floor(np.log2(np.diff(w.first) + 1)).astype(np.uint64) + np.uint64(0x77777777))
     cell = np.concatenate([bare.hashes, shape, length]) & mask
     doc = np.concatenate([bare.doc().astype(np.int64), owner, np.arange(docs)])
-    key = np.unique((doc << BITS) | cell.astype(np.int64))
+    key = tb.distinct((doc << BITS) | cell.astype(np.int64))
     return key >> BITS, key & ((1 << BITS) - 1)
 
 

@@ -1,8 +1,8 @@
 """Whole Arrow batches of text as byte arrays: words and their hashes without a Python string.
 
 Texts stay in the Arrow buffers.  Work goes in slices of about a MB of whole documents, so memory is
-bounded by the slice (or by the longest single document).  A 64-bit word hash is a polynomial over
-random byte codes, taken from one running sum over the slice, then mixed.
+bounded by the slice (or by the longest single document).  A 64-bit word hash is a polynomial over its
+bytes, taken from one running sum over the slice, then mixed.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ try:
 except (OSError, AttributeError):  # another C library
     _LIBC = None
 
-_rng = np.random.default_rng(7_203_141)
-_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -40,10 +38,9 @@ def _set(*ranges: tuple[int, int]) -> np.ndarray:
 NOT_SPACE = ~_set((0x20, 0x20), (0x09, 0x0D))
 ALNUM = _set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
-#: Byte codes with A-Z folded to a-z, and as they are.
-FOLDED = _CODES.copy()
-FOLDED[0x41:0x5B] = _CODES[0x61:0x7B]
-EXACT = _CODES
+#: Bytes with A-Z folded to a-z, and as they are.
+FOLDED = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+EXACT = bytes(range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values, by sorting (NumPy's own way by hashing is several times slower here)."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
@@ -60,7 +63,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             _POWERS[name] = np.cumprod(steps)
     up, down = _POWERS["up"], _POWERS["down"]
-    if n > 4 * SLICE_BYTES:  # one very long text: don't keep its tables
+    if n > 8 * SLICE_BYTES:  # one very long text: don't keep its tables
         _POWERS.clear()
     return up, down
 
@@ -112,25 +115,35 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, codes: np.ndarray = FOLDED, cut: np.ndarray | None = None) -> Words:
-    """Maximal runs of ``inside`` bytes; no run crosses a document's edge, nor goes on at a byte marked in ``cut``."""
+def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, fold: bytes | None = FOLDED, cut: np.ndarray | None = None) -> Words:
+    """Maximal runs of ``inside`` bytes; no run crosses a document's edge, nor goes on at a byte marked in ``cut``.
+
+    ``fold``: what bytes count as for the hashes; None leaves the hashes out.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
-    w = inside[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    if cut is not None:
-        edge[:-1] |= cut
-    starts = np.flatnonzero(w & (np.concatenate(([True], ~w[:-1])) | edge[:-1]))
-    ends = np.flatnonzero(w & (np.concatenate((~w[1:], [True])) | edge[1:])) + 1
-    up, down = _powers(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(codes[data] * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    raw = data.tobytes()
+    w = np.frombuffer(raw.translate(inside.tobytes()), bool)
+    turn = np.flatnonzero(w[1:] != w[:-1]) + 1
+    turn = np.concatenate([np.zeros(int(w[0]), np.int64), turn, np.full(int(w[-1]), n, np.int64)])
+    starts, ends = turn[::2], turn[1::2]
+    if cut is None:
+        split = offsets[1:-1]
+        split = split[(split > 0) & (split < n)]
+        split = distinct(split[w[split] & w[split - 1]])
+    else:
+        edge = cut.copy()
+        edge[offsets[offsets < n]] = True
+        split = np.flatnonzero(edge[1:] & w[1:] & w[:-1]) + 1
+    if len(split):
+        starts, ends = (np.insert(x, np.searchsorted(x, split), split) for x in (starts, ends))
+    if fold is None:
+        h = np.zeros(0, np.uint64)
+    else:
+        sums, down = running(np.frombuffer(raw.translate(fold), np.uint8).astype(np.uint64) + np.uint64(1))
+        h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return Words(starts, ends, np.searchsorted(starts, offsets), h)
 
 

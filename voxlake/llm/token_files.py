@@ -4,22 +4,25 @@
 order.  A shard is a byte string of whole documents (below); shards are rows of a Parquet table, so
 Spark's committer makes them whole or absent and any store that Spark writes will do.
 
-Re-Pair by rounds: a round counts all neighbouring id pairs of the shard, gives the most frequent
-ones nonterminals and replaces their occurrences, where two overlap the more frequent; then the next
-round counts again.  No rule crosses a document's end.  A rule is stored as its two symbols and the
-length of its expansion, so a reader finds any token by running sums and expands only what it needs.
-
-Shard layout, little-endian: magic ``VRP1``; nine uint32: symbol width in bytes, documents, first
-nonterminal, rules, rounds, symbols, has-null flag, tokens, 0; then rules of each round (uint32),
-left and right symbols of the rules, expansion lengths (uint32), document ids (int64), null marks
-(uint8, only with the flag), symbols before each document (uint32, one more than documents), tokens
-of each document (uint32), symbols.
+Re-Pair by rounds: a round counts all neighbouring id pairs of the shard, gives the frequent ones
+nonterminals and replaces their occurrences, where two overlap the more frequent; then the next round
+counts again, until no pair is frequent.  No rule crosses a document's end.  A rule is stored as its
+two symbols and the length of its expansion, so a reader finds any token by running sums and expands
+only what it needs.
+
+Shard layout, little-endian: magic ``VRP2``; nine uint32: bits of a symbol (16 at least), documents,
+first nonterminal, rules, rounds, symbols, has-null flag, tokens, 0; then rules of each round (uint32),
+left and right symbols of the rules (as symbols below), expansion lengths (uint32), document ids (int64), null
+marks (uint8, only with the flag), symbols before each document (uint32, one more than documents),
+tokens of each document (uint32), symbols: the low 16 bits of all, then each higher bit of all.
 
 Encoding meets each distinct piece once per Python worker (64-bit hashes, at most ``CACHE`` pieces
 kept): the tokenizer drops white space and never joins across it, so the pieces' ids in order are
 those of the whole text.  Where a probe shows that it also parts ASCII letters and digits from
 punctuation, and ignores case, pieces end there and fold A-Z.  Slices that hold one of its special
-tokens are cut at white space alone.  A tokenizer that keeps white space needs ``whole=True``.
+tokens are cut at white space alone.  Pieces of letters up to U+00FF go straight to the tokenizer's
+model, where probes show that all else leaves them as they are but for case.  A tokenizer that keeps
+white space needs ``whole=True``.
 
 Defined cases: null and empty texts give just the end id; a null id sorts first; rows of equal ids
 are ordered by a hash of the text; repeated rows are each written; an empty table gives no rows; a
@@ -33,7 +36,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +48,15 @@ from .scratch import bounded
 
 SHARD_TOKENS = 1 << 20
 CACHE = 1_500_000
-ROUNDS = 4
-LEAST_USES = 6
+#: A pair becomes a rule where it has so many uses: a rule is stored in 8 bytes, a use spares 2.
+LEAST_USES = 8
 _HEAD = struct.Struct("<4s9I")
-_TABLE = 20
+_NO_PAIR = np.uint64(2**64 - 1)
 #: ASCII letters and digits 1, ASCII punctuation but the apostrophe 2, all else 0.
-_CLASS = np.array([1 if chr(i).isalnum() else 2 if 0x20 < i < 0x7F and chr(i) != "'" else 0 for i in range(128)] + [0] * 128, np.uint8)
+_CLASS = bytes([1 if chr(i).isalnum() else 2 if 0x20 < i < 0x7F and chr(i) != "'" else 0 for i in range(128)] + [0] * 128)
+#: 0 for the bytes of letters up to U+00FF, whose only lead byte is C3 (signs U+00D7 and U+00F7 left out), and these letters in lower case.
+_ODD = np.array([not (chr(i).isalpha() if i < 0x80 else i == 0xC3 or i < 0xC0 and i not in (0x97, 0xB7)) for i in range(256)], np.int64)
+_LOWER = bytes(i + 32 if 0x41 <= i <= 0x5A or 0x80 <= i <= 0x9E else i for i in range(256))
 
 
 def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -69,67 +74,90 @@ class Grammar:
     first: int
 
 
-def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST_USES, symbols: int = 1 << 16) -> Grammar:
-    """ids: tokens; ends: marks of the documents' last tokens; first: the first free symbol."""
-    seq, last = ids.astype(np.uint32), ends.copy()
-    left, right, sizes, free = [], [], [], first
-    room = max(symbols - first, 1 << 12)
-    table = 1 << _TABLE
-    for r in range(rounds):
-        if len(seq) < 2 * least or free - first >= room:
-            break
-        ahead = seq[1:]
-        slot = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (ahead * np.uint32(0x85EBCA6B) + np.uint32(0x165667B1))) * np.uint32(0xC2B2AE35)
-        slot = (slot >> np.uint32(32 - _TABLE)).astype(np.intp)
-        slot[np.flatnonzero(last[:-1])] = table
-        load = np.bincount(slot, minlength=table + 1)
-        load[table] = 0
-        spot = np.flatnonzero((load >= least).take(slot))  # where a pair may be frequent
-        cell = slot.take(spot)
-        holder = np.zeros(table + 1, np.intp)
-        holder[cell] = spot  # of pairs that share a cell one is counted now, the others in a later round
-        other = holder.take(cell)
-        same = np.flatnonzero((seq.take(spot) == seq.take(other)) & (ahead.take(spot) == ahead.take(other)))
-        spot, cell = spot.take(same), cell.take(same)
-        uses = np.bincount(cell, minlength=table)
-        chosen = np.flatnonzero(uses >= least)
-        share = max(1, (room - (free - first)) // (2 if r < rounds - 1 else 1))
-        if len(chosen) > share:
-            chosen = chosen[np.argpartition(-uses[chosen], share)[:share]]
-        if not len(chosen):
+def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST_USES) -> Grammar:
+    """ids: tokens; ends: marks of the documents' last tokens; first: the first free symbol.
+
+    Goes on until no pair has ``least`` occurrences that don't overlap.  Counts of pairs without a new
+    symbol only fall, so a round looks at what stands beside a new symbol and at what was frequent before.
+    """
+    n = len(ids)
+    none = n  # the place before the first and after the last symbol of a document
+    seq = np.append(ids.astype(np.uint32), np.uint32(0))
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    edge = np.flatnonzero(ends)
+    after[edge] = after[n] = none
+    before = np.append(before, none)
+    before[0] = before[edge + 1] = none
+    rank, alive, free = np.zeros(n + 1, np.int32), np.ones(n + 1, bool), first
+    alive[none] = False
+    left, right, sizes = [], [], []
+    at = np.flatnonzero(~ends)
+    while len(at):
+        other = after.take(at)
+        x, y = seq.take(at), seq.take(other)
+        key = (x.astype(np.uint64) << np.uint64(32)) | y
+        # of a run of one symbol every other place counts
+        spare = same = np.flatnonzero(x == y)
+        if len(same):
+            run = at[same]
+            place = np.arange(len(run))
+            head = np.concatenate(([True], run[1:] != after[run[:-1]]))
+            odd = (place - np.maximum.accumulate(np.where(head, place, 0))) & 1 == 1
+            spare = run[odd]
+            key[same[odd]] = _NO_PAIR
+        if sizes:  # most pairs are rare now: pass over those that share a cell with too few
+            cell = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.intp)
+            some = np.flatnonzero((np.bincount(cell, minlength=1 << 20) >= least).take(cell))
+            at, other, key = at[some], other[some], key[some]
+        pairs = pa.array(key).dictionary_encode()
+        code, keys = pairs.indices.to_numpy(zero_copy_only=False), pairs.dictionary.to_numpy()
+        uses = np.bincount(code)
+        uses[keys == _NO_PAIR] = 0
+        often = np.flatnonzero(uses >= least)
+        if not len(often):
             break
-        weight = np.zeros(table, np.int32)
-        weight[chosen] = uses[chosen]
-        mine = weight.take(cell)
-        w = np.zeros(len(seq) + 2, np.int32)  # of the pair at i at i + 1, none at either end
-        w[spot + 1] = mine
-        # of neighbours the more frequent; of a run of equals every other one, from its first unless a better pair stands before
-        before = w.take(spot)
-        new_run = np.concatenate(([True], (spot[1:] != spot[:-1] + 1) | (mine[1:] != mine[:-1]))) if len(spot) else np.zeros(0, bool)
-        head = np.maximum.accumulate(np.where(new_run, np.arange(len(spot)), 0))
-        place = np.arange(len(spot)) - head + (before.take(head) > mine)
-        take = np.flatnonzero((mine > 0) & (place % 2 == 0) & (mine >= w.take(spot + 2)))
-        spot, cell = spot.take(take), cell.take(take)
-        used = np.bincount(cell, minlength=table)
-        chosen = chosen[used[chosen] >= least]
-        if not len(chosen):
-            break
-        symbol = np.zeros(table, np.uint32)
+        # the most frequent has the highest rank; where occurrences overlap the higher rank is replaced.  Equals
+        # are in no order, else along a repeated passage just one pair a round would be highest
+        ranks = np.zeros(len(uses), np.int32)
+        by = (uses[often].astype(np.uint64) << np.uint64(32)) | ((often.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF))
+        ranks[often[np.argsort(by)]] = np.arange(1, len(often) + 1)
+        mine = ranks.take(code)
+        if len(often) < len(uses):
+            some = np.flatnonzero(mine)
+            at, other, code, mine = at[some], other[some], code[some], mine[some]
+        rank[at] = mine
+        best = np.flatnonzero((mine > rank.take(before.take(at))) & (mine > rank.take(other)))
+        rank[at] = 0
+        done = code.take(best)
+        chosen = np.flatnonzero(np.bincount(done, minlength=len(uses)) >= least)
+        symbol = np.zeros(len(uses), np.uint32)
         symbol[chosen] = np.arange(free, free + len(chosen), dtype=np.uint32)
-        new = symbol.take(cell)
-        good = np.flatnonzero(new)
-        at, new = spot.take(good), new.take(good)
-        left.append(seq[holder[chosen]])
-        right.append(seq[holder[chosen] + 1])
+        new = symbol.take(done)
+        if len(chosen) < len(often):
+            some = np.flatnonzero(new)
+            best, new = best[some], new[some]
+        place, gone = at[best], other[best]
+        left.append((keys[chosen] >> np.uint64(32)).astype(np.uint32))
+        right.append((keys[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         sizes.append(len(chosen))
         free += len(chosen)
-        seq[at] = new
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    none = np.zeros(0, np.uint32)
-    return Grammar(seq, np.concatenate(left) if left else none, np.concatenate(right) if right else none, sizes, first)
+        seq[place] = new
+        alive[gone] = False
+        far = after[gone]
+        after[place], before[far] = far, place
+        before[none] = none
+        look = (at, spare, place, before.take(place))
+        if sum(map(len, look)) > n >> 4:
+            mark = np.zeros(n + 1, bool)
+            for i in look:
+                mark[i] = True
+            at = np.flatnonzero(mark)
+        else:
+            at = np.sort(np.concatenate(look))
+            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+        at = at[alive.take(at) & (after.take(at) != none)]
+    empty = [np.zeros(0, np.uint32)]
+    return Grammar(seq[alive], np.concatenate(left or empty), np.concatenate(right or empty), sizes, first)
 
 
 def expansions(first: int, left: np.ndarray, right: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +176,18 @@ def expansions(first: int, left: np.ndarray, right: np.ndarray, sizes: list[int]
     return flat, start, length
 
 
+def _pack_symbols(seq: np.ndarray, bits: int) -> bytes:
+    return b"".join([seq.astype("<u2").tobytes(), *(np.packbits((seq >> np.uint32(b)).astype(np.uint8) & 1).tobytes() for b in range(16, bits))])
+
+
+def _unpack_symbols(blob: memoryview, n: int, bits: int) -> np.ndarray:
+    seq, pos, plane = np.frombuffer(blob, "<u2", n).astype(np.uint32), 2 * n, -(-n // 8)
+    for b in range(16, bits):
+        seq |= np.unpackbits(np.frombuffer(blob, np.uint8, plane, pos), count=n).astype(np.uint32) << np.uint32(b)
+        pos += plane
+    return seq
+
+
 def pack_shard(ids: np.ndarray, n_tokens: np.ndarray, doc_ids: list, vocabulary: int, **options) -> bytes:
     """The shard of these documents: ``ids`` of all, ``n_tokens`` of each."""
     ends = np.zeros(len(ids), bool)
@@ -158,13 +198,12 @@ def pack_shard(ids: np.ndarray, n_tokens: np.ndarray, doc_ids: list, vocabulary:
     # symbols before each document: its first token starts a symbol
     at = np.searchsorted(np.cumsum(per), np.concatenate(([0], np.cumsum(n_tokens))), side="right") if len(g.seq) else np.zeros(len(n_tokens) + 1)
     at[0], at[-1] = 0, len(g.seq)
-    width = 2 if g.first + len(g.left) <= 1 << 16 else 4
-    kind = "<u2" if width == 2 else "<u4"
+    bits = max(16, (g.first + len(g.left) - 1).bit_length())
     nulls = np.array([x is None for x in doc_ids], np.uint8)
-    parts = [_HEAD.pack(b"VRP1", width, len(doc_ids), g.first, len(g.left), len(g.sizes), len(g.seq), int(nulls.any()), len(ids), 0)]
-    parts += [np.array(g.sizes, "<u4").tobytes(), g.left.astype(kind).tobytes(), g.right.astype(kind).tobytes(), length[g.first :].astype("<u4").tobytes()]
+    parts = [_HEAD.pack(b"VRP2", bits, len(doc_ids), g.first, len(g.left), len(g.sizes), len(g.seq), int(nulls.any()), len(ids), 0)]
+    parts += [np.array(g.sizes, "<u4").tobytes(), _pack_symbols(g.left, bits), _pack_symbols(g.right, bits), length[g.first :].astype("<u4").tobytes()]
     parts += [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), nulls.tobytes() if nulls.any() else b""]
-    parts += [at.astype("<u4").tobytes(), np.asarray(n_tokens).astype("<u4").tobytes(), g.seq.astype(kind).tobytes()]
+    parts += [at.astype("<u4").tobytes(), np.asarray(n_tokens).astype("<u4").tobytes(), _pack_symbols(g.seq, bits)]
     return b"".join(parts)
 
 
@@ -172,10 +211,10 @@ class Shard:
     """A packed shard, opened for reading."""
 
     def __init__(self, blob: bytes):
-        magic, width, docs, self.first, rules, rounds, symbols, nulls, self.n, _ = _HEAD.unpack_from(blob)
-        if magic != b"VRP1":
+        magic, bits, docs, self.first, rules, rounds, symbols, nulls, self.n, _ = _HEAD.unpack_from(blob)
+        if magic != b"VRP2":
             raise ValueError("not a token shard")
-        pos, kind = _HEAD.size, "<u2" if width == 2 else "<u4"
+        pos = _HEAD.size
 
         def take(dtype, count):
             nonlocal pos
@@ -183,13 +222,20 @@ class Shard:
             pos += out.nbytes
             return out
 
+        def symbol_run(count):
+            nonlocal pos
+            out = _unpack_symbols(memoryview(blob)[pos:], count, bits)
+            pos += 2 * count + (bits - 16) * -(-count // 8)
+            return out
+
         self.sizes = take("<u4", rounds).tolist()
-        self.left, self.right = take(kind, rules), take(kind, rules)
+        self.left, self.right = symbol_run(rules), symbol_run(rules)
         self.length = np.concatenate([np.ones(self.first, np.int64), take("<u4", rules)])
         ids = take("<i8", docs).tolist()
         empty = take("u1", docs) if nulls else np.zeros(docs, np.uint8)
         self.doc_ids = [None if e else i for i, e in zip(ids, empty)]
-        self.at, self.n_tokens, self.seq = take("<u4", docs + 1), take("<u4", docs), take(kind, symbols)
+        self.at, self.n_tokens = take("<u4", docs + 1), take("<u4", docs)
+        self.seq = symbol_run(symbols)
         self._flat = None
 
     def tokens(self, a: int, b: int) -> np.ndarray:
@@ -212,12 +258,59 @@ class Shard:
         return self.tokens(a + x, a + y)[start - total[x] : stop - total[x]]
 
 
+class _Slots:
+    """64-bit keys -> their numbers in order of addition, by open addressing; all lookups of a call at once."""
+
+    def __init__(self):
+        self.n, self.bits = 0, 16
+        self.keys, self.slot = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """-1 where absent.  Keys are not 0."""
+        mask = np.uint64(len(self.keys) - 1)
+        cell = (keys & mask).astype(np.intp)
+        there = self.keys.take(cell)
+        out = np.where(there == keys, self.slot.take(cell), np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there != 0))
+        cell = cell[left]
+        while len(left):
+            cell = (cell + 1) & int(mask)
+            there = self.keys.take(cell)
+            hit = there == keys[left]
+            out[left[hit]] = self.slot.take(cell[hit])
+            on = np.flatnonzero(~hit & (there != 0))
+            left, cell = left[on], cell[on]
+        return out
+
+    def _put(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        cell, left = (keys & np.uint64(len(self.keys) - 1)).astype(np.intp), np.arange(len(keys))
+        while len(left):
+            free = self.keys[cell] == 0
+            self.keys[cell[free]] = keys[left[free]]
+            mine = self.keys[cell] == keys[left]  # of several that want a cell one has got it
+            self.slot[cell[mine]] = slots[left[mine]]
+            left, cell = left[~mine], (cell[~mine] + 1) & (len(self.keys) - 1)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct keys, none there yet."""
+        if 5 * (self.n + len(keys)) > 2 * len(self.keys):
+            held = np.flatnonzero(self.keys)
+            old, slots = self.keys[held], self.slot[held]
+            while 5 * (self.n + len(keys)) > 2 * len(self.keys):
+                self.bits += 1
+                self.keys = np.zeros(1 << self.bits, np.uint64)
+            self.slot = np.zeros(1 << self.bits, np.int32)
+            self._put(old, slots)
+        self._put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+
 class Encoder:
     """Ids of a slice's documents, through a cache of pieces."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.vocabulary = max(self.tokenizer.get_vocab().values()) + 1
@@ -233,22 +326,38 @@ class Encoder:
         self.fold = plain("ABcD Ef") == plain("abcd ef")
         self.cuts = all(plain(a + b) == plain(a) + plain(b) for a, b in (("ab", ".,"), ("(", "cd"), ("a7", "-"), ("$", "9"), ("x", "|"), ("<", "i")))
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the same model behind a plain split at blanks, for words of lower-case letters up to U+00FF, which the
+        # full tokenizer leaves as they are; only where all letters and many words show that it does
+        self.short = Tokenizer.from_str(tokenizer_json)
+        self.short.normalizer = normalizers.Sequence([])
+        self.short.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = [*"abcdefghijklmnopqrstuvwxyz", *(chr(i) for i in range(0xDF, 0x100) if i != 0xF7)]
+        probe = letters + [x + y for x in letters for y in letters] + ["".join(letters[i * k % len(letters)] for i in range(2, 12)) for k in range(1, 200)]
+        lower = " ".join(probe)
+        upper = "".join(chr(ord(c) - 32) if c not in " ßÿ" else c for c in lower)
+        self.plain = bool(suffix) and self.fold and self._plain(lower) == self._plain(upper) == self._short(lower) and int(self.closes[self._short(lower)].sum()) == len(probe)
         self._clear()
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _clear(self):
-        self.slot: dict[int, int] = {}
-        # before the dictionary a table of the last piece met at each of 2^20 cells
-        self.near_key, self.near_slot = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, np.int64)
-        self.flat, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+    def _short(self, text: str) -> list[int]:
+        return self.short.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """The same of pieces that are letters alone, each one run; None where the ends don't tell them apart."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-        cut = np.flatnonzero(self.closes[ids])
-        return (ids, np.diff(np.concatenate(([-1], cut)))) if len(cut) == len(pieces) and cut[-1] == len(ids) - 1 else None
+    def _clear(self):
+        self.slots = _Slots()
+        self.flat, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+
+    def _letters(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many of each), of words of letters."""
+        n = ends - starts + 1
+        at = np.cumsum(n) - 1
+        text = np.full(int(n.sum()), 32, np.uint8)
+        inside = np.ones(len(text), bool)
+        inside[at] = False
+        text[inside] = data[_spread(starts, n - 1)]
+        ids = np.array(self._short(text.tobytes().translate(_LOWER).decode()), np.uint32)
+        return ids, np.diff(np.concatenate(([-1], np.flatnonzero(self.closes[ids]))))
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, how many of each)."""
@@ -261,25 +370,29 @@ class Encoder:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         return np.concatenate([np.array(x, np.uint32) for x in got]), np.array([len(x) for x in got])
 
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
-        plain = [p.isalpha() for p in pieces]
+    def _add(self, keys: np.ndarray, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, words: bool) -> None:
+        size = ends - starts
+        first = np.cumsum(size) - size
+        # pieces of letters alone
+        odd = np.add.reduceat(_ODD[data[_spread(starts, size)]], first) if words and self.plain else np.ones(len(keys))
         for kind in (True, False):
-            self._add_kind([k for k, x in zip(keys, plain) if x is kind], [p for p, x in zip(pieces, plain) if x is kind], kind)
-
-    def _add_kind(self, keys: list[int], pieces: list[str], plain: bool) -> None:
-        for i in range(0, len(keys), 5_000):
-            part = pieces[i : i + 5_000]
-            new, n = plain and self._letters(part) or self._ids(part)
-            k, total = len(self.slot), int(n.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while k + len(n) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + total] = new
-            self.start[k : k + len(n)] = self.used + np.cumsum(n) - n
-            self.length[k : k + len(n)] = n
-            self.slot.update(zip(keys[i : i + 5_000], range(k, k + len(n))))
-            self.used += total
+            own = np.flatnonzero((odd == 0) == kind)
+            for part in np.split(own, range(5_000, len(own), 5_000)) if len(own) else ():
+                a, b = starts[part], ends[part]
+                if kind:
+                    new, n = self._letters(data, a, b)
+                else:
+                    new, n = self._ids([raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist())])
+                k, total = self.slots.n, len(new)
+                while self.used + total > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                while k + len(n) > len(self.start):
+                    self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+                self.flat[self.used : self.used + total] = new
+                self.start[k : k + len(n)] = self.used + np.cumsum(n) - n
+                self.length[k : k + len(n)] = n
+                self.slots.add(keys[part])
+                self.used += total
 
     def encode(self, off: np.ndarray, data: np.ndarray, end_id: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, each ended by ``end_id``; how many of each)."""
@@ -288,35 +401,30 @@ class Encoder:
             texts = [data[a:b].tobytes().decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             got = [np.array([*e.ids, end_id], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate(got), np.array([len(x) for x in got])
-        if len(self.slot) > CACHE:
+        if self.slots.n > CACHE:
             self._clear()
         raw, cut = data.tobytes(), None
         free = not any(x in raw for x in self.special)
         if free and self.cuts:
-            kind = _CLASS[data]
+            kind = np.frombuffer(raw.translate(_CLASS), np.uint8)
             cut = np.concatenate(([False], (kind[1:] ^ kind[:-1]) == 3))
         w = tb.words(off, data, tb.NOT_SPACE, tb.FOLDED if free and self.fold else tb.EXACT, cut)
-        cell = (w.hashes & np.uint64(len(self.near_key) - 1)).astype(np.intp)
-        slot = self.near_slot.take(cell)
-        far = np.flatnonzero(self.near_key.take(cell) != w.hashes)
+        keys = w.hashes | np.uint64(1)  # not 0, at the cost of one bit
+        slot = self.slots.find(keys)
+        far = np.flatnonzero(slot < 0)
         if len(far):
-            keys, at, back = np.unique(w.hashes[far], return_index=True, return_inverse=True)
-            find = lambda x: np.fromiter(map(self.slot.get, x.tolist(), repeat(-1)), np.int64, len(x))
-            slots, at = find(keys), far[at]
-            missing = np.flatnonzero(slots < 0)
-            if len(missing):
-                a, b = w.starts[at[missing]].tolist(), w.ends[at[missing]].tolist()
-                self._add(keys[missing].tolist(), [raw[x:y].decode() for x, y in zip(a, b)])
-                slots[missing] = find(keys[missing])
-            slot[far] = slots[back]
-            cell = (keys & np.uint64(len(self.near_key) - 1)).astype(np.intp)
-            self.near_key[cell], self.near_slot[cell] = keys, slots
-        n = self.length[slot]
-        ids = self.flat[_spread(self.start[slot], n)]
+            missing, at = np.unique(keys[far], return_index=True)
+            at = far[at]
+            self._add(missing, data, raw, w.starts[at], w.ends[at], free)
+            slot[far] = self.slots.find(keys[far])
+        n = self.length.take(slot)
+        ids = self.flat.take(_spread(self.start.take(slot), n))
         before = np.concatenate(([0], np.cumsum(n)))[w.first]
         count = np.diff(before) + 1
         out = np.full(len(ids) + docs, end_id, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(docs), count - 1)] = ids
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(count) - 1] = False
+        out[inside] = ids
         return out, count
 
 
