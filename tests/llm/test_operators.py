@@ -335,21 +335,27 @@ def test_line_dedup(spark):
 
     some = [lambda: random.choice(base), lambda: edit(random.choice(base)), lambda: "", lambda: "  ", lambda: edit(edit(random.choice(base)))]
     rows = [(d, None if d == 7 else "\n".join(random.choice(some)() for _ in range(random.randrange(6)))) for d in range(100)] + [(None, base[0] + "\n" + base[1]), (3, base[2])]
+    rows += [(3, base[2] + "\n" + "only here, in the second text of this id"), (None, base[4] + "\nonly here, without an id"), (9, rows[8][1]), (8, rows[8][1])]
+    rows = [(d, t) for d, t in rows]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, dropped string, k int").repartition(3)
+    from pyspark.sql import functions as F
+
+    key = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
     least = line_dedup._NULL_ID
-    lines = sorted({((least if d is None else d), i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")})
+    name = lambda d, t: (least if d is None else d, key[t])
+    lines = sorted({(name(d, t), i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")})
     drop = defaultdict(set)
     for a, b, x in lines:
         if any((c, e) < (a, b) and (y == x or (len(x) >= 16 and len(y) >= 16 and levenshtein(x, y) <= 1)) for c, e, y in lines):
             drop[a].add(b)
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, dropped string")
-    for r in line_dedup.dropped_lines(df).collect():
-        assert list(r.dropped) == sorted(drop.get(least if r.doc_id is None else r.doc_id, ())), r
+    want = sorted(((d, len(t.split("\n")) if t is not None else 0, sorted(drop.get(name(d, t), ()))) for d, t in rows), key=str)
+    got = sorted(((r.doc_id, r.n_lines, list(r.dropped)) for r in line_dedup.dropped_lines(df).collect()), key=str)
+    assert got == want
     out = line_dedup.dedup_lines(df)
-    assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()}[7] is None
-    texts = dict(rows[:100])
-    for r in out.collect():
-        if r.doc_id is not None and r.doc_id not in (3, 7):
-            assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in drop.get(r.doc_id, ()))
+    assert out.columns == df.columns
+    texts = [(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop.get(name(d, t), ()))) for d, t in rows]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(texts, key=str)
+    assert sum("only here" in (t or "") for _, t in texts) == 2
 
 
 def test_line_dedup_of_short_lines(spark, tmp_path):

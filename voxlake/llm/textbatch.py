@@ -126,19 +126,12 @@ def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, fold: bytes
         return Words(none, none, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
     raw = data.tobytes()
     w = np.frombuffer(raw.translate(inside.tobytes()), bool)
-    turn = np.flatnonzero(w[1:] != w[:-1]) + 1
-    turn = np.concatenate([np.zeros(int(w[0]), np.int64), turn, np.full(int(w[-1]), n, np.int64)])
-    starts, ends = turn[::2], turn[1::2]
-    if cut is None:
-        split = offsets[1:-1]
-        split = split[(split > 0) & (split < n)]
-        split = distinct(split[w[split] & w[split - 1]])
-    else:
-        edge = cut.copy()
-        edge[offsets[offsets < n]] = True
-        split = np.flatnonzero(edge[1:] & w[1:] & w[:-1]) + 1
-    if len(split):
-        starts, ends = (np.insert(x, np.searchsorted(x, split), split) for x in (starts, ends))
+    joined = np.zeros(n + 1, bool)  # with the byte before
+    np.logical_and(w[1:], w[:-1], out=joined[1:n])
+    joined[offsets] = False
+    if cut is not None:
+        joined[:n] &= ~cut
+    starts, ends = np.flatnonzero(w & ~joined[:n]), np.flatnonzero(w & ~joined[1:]) + 1
     if fold is None:
         h = np.zeros(0, np.uint64)
     else:
