@@ -110,15 +110,25 @@ def test_jaccard_counts_every_link(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str) and max(n for _, n in want) > 20
 
 
-def test_one_of_each_stays(docs):
-    kept = ngram_jaccard.keep_one_of_each(docs, 5, 80, 100)
+def test_one_of_each_stays(spark, docs):
+    """Among the rows one id with three texts, two of them in one group, and rows without an id."""
+    extra = [(5, "a text of its own under an id that others have " + sentence(30)), (5, rows_text(docs, 6)), (None, "no id and no copy " + sentence(30)), (None, rows_text(docs, 9))]
+    full = docs.unionByName(spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in extra], SCHEMA)).cache()
+    from pyspark.sql import functions as F
+
+    kept = ngram_jaccard.keep_one_of_each(full, 5, 80, 100)
     assert kept.columns == docs.columns
-    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
-    s, root = classes(rows, 5, 80, 100)
-    groups = {min(rows[j][0] for j in range(len(rows)) if root[j] == r) for r, x in zip(root, s) if x}
-    want = groups | {i for (i, _), x in zip(rows, s) if not x}
-    got = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert sorted(got) == sorted(want)
+    rows = [(r.doc_id, r.text, r.h) for r in full.withColumn("h", F.xxhash64("text")).collect()]
+    s, root = classes([r[:2] for r in rows], 5, 80, 100)
+    want = [str(r[:2]) for r, x in zip(rows, s) if not x]
+    for g in {r for r, x in zip(root, s) if x}:
+        want.append(str(min((r for r, y in zip(rows, root) if y == g), key=lambda r: (r[0] is None, r[0] or 0, r[2]))[:2]))
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(want)
+    assert sum("of its own" in w or "no id and no copy" in w for w in want) == 2
+
+
+def rows_text(docs, i):
+    return docs.filter(f"doc_id = {i}").first().text
 
 
 def brute_windows(rows, items):

@@ -209,9 +209,12 @@ def _decide(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> tupl
     near = outsides.join(shared, "key", "left_semi").select("h").distinct()
     near = scratch.write(said.join(near, "h").join(firsts, "h").select("h", "said", "first"), "near")
     scratch.drop("open", "said")
-    variants = scratch.write(near.select("h", "said").mapInArrow(_variants, "key long, kind int, h long").join(near.select("h", "first"), "h"), "variants")
+    variants = near.select("h", "said").mapInArrow(_variants, "key long, kind int, h long")
+    # of the variants few have a partner
+    shared = scratch.write(variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"), "shared")
+    variants = scratch.write(variants.join(shared, "key", "left_semi").join(near.select("h", "first"), "h"), "variants")
     at = F.struct("first", "h")
-    keys = variants.groupBy("key").agg(*(F.min(F.when(F.col("kind") == k, at)).alias(f"f{k}") for k in (0, 1, 2)), F.count("*").alias("c")).filter("c > 1").drop("c")
+    keys = variants.groupBy("key").agg(*(F.min(F.when(F.col("kind") == k, at)).alias(f"f{k}") for k in (0, 1, 2)))
     met = variants.join(keys, "key")
     other = F.when(F.col("kind") == 0, F.col("f1")).when(F.col("kind") == 1, F.col("f0")).otherwise(F.col("f2"))
     pairs = met.withColumn("o", other).filter("o.h <> h and o.first < first").select("h", F.col("o.h").alias("g")).distinct()
@@ -220,7 +223,7 @@ def _decide(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> tupl
     # occurrences to drop: of lines near an earlier one all, of repeated lines all but the first
     again = firsts.join(close, "h", "left").filter("again or close").select("h", "first", F.coalesce("close", F.lit(False)).alias("close"))
     again = scratch.write(again, "again")
-    scratch.drop("variants", "near", "firsts")
+    scratch.drop("variants", "shared", "near", "firsts")
     gone = said_at.select("h", place.alias("at")).join(again, "h").filter("close or at > first").select("at.*")
     gone = scratch.write(gone.groupBy(F.col("id").alias("i"), "k").agg(F.array_sort(F.collect_set("line")).alias("dropped")), "gone")
     scratch.drop("again")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 from .bitmaps import filter_of, marked
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, small
 
 #: Cells of the counting sketch: about one for 16 shingles, as powers of two within these.
 SKETCH_BITS = (20, 24)
@@ -80,7 +80,7 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _summary(k: int, bits: int):
-    """Per document (id, n, sid, check); at the end of a task its share of the sketch, in packed pieces."""
+    """(id, text, h) -> per document (id, n, sid, check, h); at the end of a task its share of the sketch, in packed pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.uint32)
@@ -91,11 +91,11 @@ def _summary(k: int, bits: int):
                 n, sid, check = _fingerprints(sets)
                 np.add.at(sketch, (np.concatenate(sets) & np.uint64(len(sketch) - 1)).astype(np.intp), np.uint32(1))
                 none = pa.nulls(j - i, pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(sid), pa.array(check), none, pa.nulls(j - i, pa.binary())], names=["id", "n", "sid", "chk", "chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(sid), pa.array(check), batch.column(2).slice(i, j - i), none, pa.nulls(j - i, pa.binary())], names=["id", "n", "sid", "chk", "h", "chunk", "counts"])
         if sketch.any():
             parts = [zlib.compress(np.minimum(p, 255).astype(np.uint8).tobytes(), 1) for p in np.split(sketch, CHUNKS)]  # over 255 in a task is common anyhow
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=["id", "n", "sid", "chk", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=["id", "n", "sid", "chk", "h", "chunk", "counts"])
 
     return run
 
@@ -245,14 +245,23 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     number of other rows that the row links with, equal sets and members of its component included.
     Components need few comparisons; counting compares all pairs of sets that prefixes leave open.
     """
+    rows, classes = _classes(docs, k, num, den, id_col, text_col, count_links)
+    out = rows.join(classes, (rows.sid == classes.sid) & (rows.n > 0), "left")
+    more = [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *more)
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """((id, n, sid, h) of each row, (sid, root, least) of each set with more than one row or with links)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    hashed = texts.withColumn("h", F.xxhash64("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     bits = min(max(int(np.ceil(np.log2(size / 6 / 16 + 1))), SKETCH_BITS[0]), SKETCH_BITS[1])
-    summary = scratch.write(texts.mapInArrow(_summary(k, bits), "id long, n long, sid long, chk long, chunk int, counts binary"), "summary")
+    summary = scratch.write(hashed.mapInArrow(_summary(k, bits), "id long, n long, sid long, chk long, h long, chunk int, counts binary"), "summary")
     ranks = spark.sparkContext.broadcast(_ranks(summary, bits))  # a byte a cell, 16 MB at most whatever the input
-    rows = summary.filter("chunk is null").select("id", "n", "sid")
+    rows = summary.filter("chunk is null").select("id", "n", "sid", "h")
     heads = texts.mapInArrow(_prefixes(k, num, den, ranks), "sid long, n long, head array<long>")
     heads = scratch.write(heads.groupBy("sid").agg(F.first("n").alias("n"), F.first("head").alias("head")), "heads")
     twice = heads.select(F.explode("head").alias("token")).groupBy("token").count().filter("count > 1").select("token")
@@ -340,32 +349,33 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: in
     lowest = linked.groupBy("root").agg(F.min("id").alias("least"))
     # a class for each set with more than one row or with links; other rows are their own
     multi = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("c"))
-    classes = multi.join(root.withColumnRenamed("v", "sid").join(lowest, "root").select("sid", "least"), "sid", "left")
+    classes = multi.join(root.withColumnRenamed("v", "sid").join(lowest, "root", "left").select("sid", "root", "least"), "sid", "left")
     if count_links:
         others = every.join(multi.select(F.col("sid").alias("b"), "c"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("c").alias("links"))
         classes = classes.join(others, "sid", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("c") - 1)
-    classes = classes.filter("c > 1 or least is not null").select("sid", F.coalesce("least", "id").alias("least"), *(["links"] if count_links else []))
-    classes = scratch.write(classes, "classes")
-    out = rows.join(classes, (rows.sid == classes.sid) & (rows.n > 0), "left")
-    more = [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *more)
+    classes = classes.filter("c > 1 or root is not null").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("least", "id").alias("least"), *(["links"] if count_links else []))
+    return rows, scratch.write(classes, "classes")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their own columns, one of each component: that of the smallest id.
+    """The documents with their own columns, one of each component: that of the smallest id, a null id last.
 
-    Of rows of one id and one text one is kept.  Rows of one id whose texts differ are told apart by
-    their components only: all of the smallest id stay.  Rows of a null id are kept.
+    Documents are known by id and text: of rows equal in both one is kept, rows of one id and other texts
+    are judged each for itself, and where a component's smallest id has several texts, that of the
+    smallest text hash is kept.  Documents without words are in no component: all their rows are kept.
     """
     scratch = Scratch(docs.sparkSession, "distinct")
-    found = scratch.write(ngram_jaccard_components(docs, k, num, den, id_col, text_col), "found")
-    drop = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    again = found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
-    drop, again = scratch.write(drop, "drop"), scratch.write(again, "again")
-    scratch.drop("found")
-    is_ = docs[id_col].cast("long") == F.col("_id")
-    kept = docs.join(drop, is_, "left_anti")
-    if again.isEmpty():
+    rows, classes = _classes(docs, k, num, den, id_col, text_col, False)
+    in_class = rows.filter("n > 0").join(classes.select("sid", "root"), "sid").select("root", "id", "h")
+    first = in_class.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("f"), F.count("*").alias("c"))
+    own = in_class.join(first, "root").select("id", "h", ((F.col("id").eqNullSafe(F.col("f.id"))) & (F.col("h") == F.col("f.h"))).alias("stays"))
+    own = scratch.write(own.groupBy("id", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("c")).filter("not stays or c > 1"), "own")
+    drop = own.filter("not stays").select(F.coalesce("id", F.lit(0)).alias("_i"), F.col("id").isNull().alias("_n"), F.col("h").alias("_h"))
+    again = own.filter("stays").select(F.coalesce("id", F.lit(0)).alias("_i"), F.col("id").isNull().alias("_n"), F.col("h").alias("_h"))
+    i, h = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    is_ = lambda d: (F.coalesce(i, F.lit(0)) == d._i) & (i.isNull() == d._n) & (h == d._h)
+    kept = docs.join(small(drop, drop.count()), is_(drop), "left_anti")
+    n = again.count()
+    if not n:
         return kept
-    is_ = kept[id_col].cast("long") == F.col("_id")
-    return kept.join(again, is_, "left_anti").unionByName(kept.join(again, is_, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.join(small(again, n), is_(again), "left_anti").unionByName(kept.join(small(again, n), is_(again), "left_semi").dropDuplicates([id_col, text_col]))
