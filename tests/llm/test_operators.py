@@ -246,6 +246,8 @@ def test_re_pair_leaves_no_frequent_pair():
 
 
 def test_sharding(docs):
+    from pyspark.sql import functions as F
+
     rows = sharding.shard_documents(docs, 16).collect()
     texts = sorted((str(r.doc_id), zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in docs.collect())
     assert sorted((str(r.doc_id), r.text_crc32, r["size"]) for r in rows) == texts
@@ -254,6 +256,10 @@ def test_sharding(docs):
         by[r.shard].append(r.slot)
         assert r.law == "key" and r.grown_shard in (r.shard, 16)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    odd = sharding.with_shards(docs.withColumn("_shard", F.lit("a")).withColumn("_key", F.lit("b")).withColumn("_slot", F.lit("c")), 4)
+    assert {(r._shard, r._key, r._slot) for r in odd.collect()} == {("a", "b", "c")}
+    odd = mixing.mixed_documents(docs.withColumn("_copy", F.lit("a")).withColumn("_s", F.lit("b")), max_repeats=1.5)
+    assert {(r._copy, r._s) for r in odd.collect()} == {("a", "b")}
     full = sharding.with_shards(docs, 16)
     assert full.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"] and full.count() == len(rows)
 
@@ -275,19 +281,20 @@ def test_jump_hash_moves_only_what_it_must():
 
 
 def test_topk(spark):
+    """Large components, two rows of one query id, twice the same query row, nulls and ties, against all pairs."""
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=20).tolist()) for i in range(300)] + [(i, [0.5] * 20) for i in range(300, 340)]
-    rows += [(20, rows[20][1]), (400, None), (401, [1.0, None]), (402, [float("nan")] * 20), (None, [1.0] * 20), (440, [1.0, 2.0]), (441, [2.0, 2.0]), (460, [])]
+    rows += [(20, rows[20][1]), (40, rows[7][1]), (400, None), (401, [1.0, None]), (402, [float("nan")] * 20), (None, [1.0] * 20), (440, [1.0, 2.0]), (441, [2.0, 2.0]), (460, []), (461, [float("inf"), 1.0])]
+    rows += [(500, [2.0**21] + [0.0] * 19), (501, [-(2.0**27) - 1 / 64] * 20), (520, [1e9, 3.0] + [0.25] * 18)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
-    ok = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = set()
+    ok = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
     for i, q in ok:
         if i % 20 == 0:
-            best = sorted((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q))
-            if i != 20:
-                want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best[:20])}
-    got = {tuple(r) for r in topk.exact_topk(df, query_block=8, vector_block=50).collect() if r.query_id != 20}
-    assert got == want
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i and len(v) == len(q))
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best[:20])]
+    got = [tuple(r) for r in topk.exact_topk(df, query_block=8, vector_block=50).collect()]
+    assert sorted(got) == sorted(want) and sum(r[0] == 20 and r[1] == 1 for r in got) == 2
 
 
 def test_segment_bounds_hold():
@@ -444,7 +451,7 @@ def test_quality(spark):
     assert np.mean(right) > 0.95
     assert all(0 <= got[i].tails[1] <= got[i].tails[0] <= 1 for i in got)
     blank = quality.learn(df, lab.limit(0), F.col("grade"), 3)
-    assert quality.grade_documents(df, blank).count() == len(rows)
+    assert quality.grade_documents(df, blank).count() == len(rows) and quality.grade_documents(df.limit(0), m).count() == 0
 
 
 def test_mixing_plan_and_draws(spark, docs):
@@ -480,6 +487,9 @@ def test_find_exponent():
     e = mixing.entropy(mixing.weights_at(t / 10, 0.4))
     assert mixing.find_exponent(t, target_entropy=e) == pytest.approx(0.4, abs=1e-9)
     assert mixing.find_exponent(t, max_repeats=8.1) == 0.0
+    for impossible in ({"max_repeats": None}, {"budget": 30.0, "max_repeats": 2.0}):
+        with pytest.raises(ValueError):
+            mixing.find_exponent(t, **impossible)
     x = mixing.find_exponent(t, budget=10.0, max_repeats=2.0)
     assert (mixing.weights_at(t / 10, x) * 10 / t).max() == pytest.approx(2.0)
 

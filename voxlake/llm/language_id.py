@@ -11,7 +11,7 @@ Learning counts all rows given; the counts are a table of fixed size for each la
 
 Defined cases: null text and text without a letter are ``und`` with score 0; rows whose language is
 null teach nothing; no rows to learn from leave every text ``und``; equal scores go to the language that
-sorts first; the score is the share of the text's letters, by bytes, in words of the predicted language.
+sorts first; a very long text is a slice of its own; the score is the share of the text's letters, by bytes, in words of the predicted language.
 """
 
 from __future__ import annotations
@@ -199,7 +199,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
         now[order] = moved - moved.max(axis=1, keepdims=True)
         step += 1
         order = order[chunks[order] > step]
-    back = np.zeros((total, CHUNK, labels), np.int8)
+    back = np.zeros((total, CHUNK, labels), np.int8 if labels <= 127 else np.int32)
     v = enter
     for t in range(int(size.max())):
         on = np.flatnonzero(size > t)

@@ -15,7 +15,8 @@ of the hash within a block is a permutation (``slot``).
 
 Tokens are words.  Defined cases: null text has no tokens; documents of no tokens come with the whole
 epochs, once at least; a null source is a source; equal ids of equal text are drawn alike; one source keeps all; an
-empty table gives no rows.
+empty table gives no rows; a very long text is a slice of its own; columns of any name stay as they are.
+A limit that no exponent meets, and no limit at all, raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .scratch import Scratch, small
+from .scratch import Scratch, fresh, small
 
 DIGIT = 10
 LEVELS = 6
@@ -51,6 +52,8 @@ def find_exponent(tokens: np.ndarray, budget: float | None = None, max_repeats:
     max_repeats: the smallest exponent with at most so many repetitions; the budget defaults to the
     smallest that uses every source once.
     """
+    if target_entropy is None and max_repeats is None:
+        raise ValueError("give max_repeats or target_entropy")
     shares = tokens / tokens.sum()
 
     def fits(x: float) -> bool:
@@ -63,6 +66,8 @@ def find_exponent(tokens: np.ndarray, budget: float | None = None, max_repeats:
 
     if fits(0.0):
         return 0.0
+    if target_entropy is None and not fits(1.0):
+        raise ValueError("no exponent up to 1 keeps to max_repeats at this budget")
     low, high = 0.0, 1.0
     for _ in range(60):
         mid = (low + high) / 2
@@ -177,9 +182,10 @@ def mixed_documents(docs: DataFrame, budget: float | None = None, max_repeats: f
     scratch.drop("sizes")
     if not plan:
         return docs
-    at = spark.createDataFrame([(s, p["whole"], p["bound"], p["tokens"] == 0) for s, p in plan.items()], "_s string, _whole long, _bound long, _none boolean")
-    own = docs.join(small(at, len(plan)), docs[source_col].cast("string").eqNullSafe(at._s))
+    name, whole, part, copy = fresh(docs, "_s", "_whole", "_bound", "_copy")
+    at = spark.createDataFrame([(s, p["whole"], p["bound"]) for s, p in plan.items()], f"{name} string, {whole} long, {part} long")
+    own = docs.join(small(at, len(plan)), docs[source_col].cast("string").eqNullSafe(at[name]))
     blank = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    n = F.greatest(F.col("_whole"), blank.cast("long")) + ((draw_hash(id_col, text_col, seed) < F.col("_bound")) & ~blank).cast("long")
-    own = own.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n.cast("int"))))
-    return own.select(*docs.columns)
+    n = F.greatest(F.col(whole), blank.cast("long")) + ((draw_hash(id_col, text_col, seed) < F.col(part)) & ~blank).cast("long")
+    own = own.withColumn(copy, F.explode(F.array_repeat(F.lit(0), n.cast("int"))))
+    return own.select(*(F.col(f"`{c}`") for c in docs.columns))

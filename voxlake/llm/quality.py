@@ -10,7 +10,8 @@ gradient steps; all documents are scored.
 
 Defined cases: null and empty texts are scored by their length feature alone; unlabelled rows, labels
 without a grade and labels of absent documents teach nothing; repeated labels each count; no labels give
-the middle of the scale for all; rows with a null id are scored.
+the middle of the scale for all; rows with a null id are scored; of several texts of a labelled id that of
+the smallest hash teaches; a very long text is a slice of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,18 +121,24 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, cell = features(off, data)
             cut = np.searchsorted(doc, np.arange(j - i + 1))
             packed = [cell[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], names=["grade", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], names=["id", "cells"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
     """labels: rows of ``id_col``; ``grade``: an int column of theirs, 0 the worst."""
     spark = bounded(docs.sparkSession)
     own = labels.select(F.col(id_col).cast("long").alias("_id"), grade.cast("int").alias("_grade")).filter(f"_id is not null and _grade >= 0 and _grade < {n_grades}")
-    chosen = own.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
-    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # ``sample`` pairs of numbers at most
+    chosen = own.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample).collect()  # ``sample`` pairs of numbers at most
+    grades: dict[int, list[int]] = {}
+    for r in chosen:
+        grades.setdefault(r._id, []).append(r._grade)
+    ids = spark.createDataFrame([(i,) for i in grades], "_id long")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("_grade", "_text").mapInArrow(_cells, "grade int, cells binary").limit(2 * sample).collect()
-    return fit([np.frombuffer(r.cells, "<i4") for r in rows], np.array([r.grade for r in rows], np.int64), n_grades)
+    # one text of each id, so ``sample`` rows at most
+    texts = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("t"))
+    rows = sorted(texts.select("_id", "t._text").mapInArrow(_cells, "id long, cells binary").collect(), key=lambda r: r.id)
+    cells = [(np.frombuffer(r.cells, "<i4"), g) for r in rows for g in grades[r.id]]
+    return fit([c for c, _ in cells], np.array([g for _, g in cells], np.int64), n_grades)
 
 
 def _score(shared):

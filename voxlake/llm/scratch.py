@@ -44,6 +44,17 @@ def small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table does not have, in any case."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables of one operator call.  ``drop`` removes those no later step reads; the rest go when the JVM ends."""
 
