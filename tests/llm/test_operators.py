@@ -327,6 +327,11 @@ def test_chat(spark):
         assert sum(tokens) <= 200 or len(turns) - r.n_repeated == 1
         assert len(r.loss) == sum(a == "assistant" for a, _ in turns[r.n_repeated :])
     assert chat.format_chat(df.limit(0)).count() == 0
+    # far turn numbers are as good as near ones
+    some = [(1, i, random.choice(["user", "assistant"]), "a b " * (i % 5)) for i in range(1100)]
+    near, far = (chat.format_chat(spark.createDataFrame([(c, t * x, r, y) for c, t, r, y in some], "conv_id long, turn long, role string, text string"), 200, 60).drop("conv_id").collect() for x in (1, 1000))
+    assert sorted(map(str, near)) == sorted(map(str, far)) and max(r.span for r in near) == 2
+    assert all(r.n_repeated > 0 for r in near if (r.span, r.window) != (0, 0))
 
 
 def test_escape_is_reversible_and_hides_controls():

@@ -9,14 +9,15 @@ A turn is written as ``<|turn|>role``, a line end, the text, ``<|end|>`` and a l
 texts a backslash is doubled and control strings, these and those of common other templates, get a
 backslash after their first character; unescaping drops each backslash and takes the next character.
 
-A conversation is dealt out by spans of ``CHUNK`` turn numbers, so a conversation of any length is
-formatted by many tasks: a span gets copies of the system turn and of the last turns before it.  Tasks
-stream; they hold one window and its history.
+Turns are counted in order, by a sort over ranges of (conversation, turn) and sums of the ranges' counts.
+A conversation is dealt out by spans of ``CHUNK`` turns, so a conversation of any length is formatted by
+many tasks: a span gets copies of the system turn and of as many turns before it as can fit the history,
+so that history runs on over spans.  Windows end with their span.  Tasks stream; they hold one window and
+its history.
 
 Defined cases: null text or role is empty; turns are ordered by number, null first, then role and text;
 repeated rows are turns of their own; a null conversation id is a conversation; a turn over the budget
-has a window of its own; history at a span's start reaches back ``HISTORY_TURNS`` numbers at most; an
-empty table gives no rows.
+has a window of its own; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .scratch import Scratch, bounded
+from .scratch import Scratch, bounded, small
 
 BUDGET = 1024
 HISTORY = 256
-HISTORY_TURNS = 8
 CHUNK = 512
 #: Tokens that a turn's marks count for.
 MARKS = 3
@@ -169,24 +170,54 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["conv_id", "span", "window", "n_repeated", "text", "loss"])
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, turn, role, text) in order -> the same with the task and the row's place among the task's rows of its conversation."""
+    part, last, run = TaskContext.get().partitionId(), object(), 0
+    for batch in batches:
+        conv = batch.column(0)
+        if not len(conv):
+            continue
+        ids, none = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
+        new = np.concatenate(([(ids[0], none[0]) != last], (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])))
+        at = np.arange(len(ids))
+        place = at - np.maximum.accumulate(np.where(new, at, 0))
+        place[: int(np.argmax(new)) if new.any() else len(ids)] += run
+        last, run = (ids[-1], none[-1]), int(place[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ids), part, np.int32)), pa.array(place)], names=[*batch.schema.names, "part", "place"])
+
+
+def _counted(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, turn, role, text, nth): turns counted from 0 in each conversation."""
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = ["conv_id", "turn", "role", "text"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = scratch.write(rows.mapInArrow(_places, "conv_id long, turn long, role string, text string, part int, place long"), "turns")
+    parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).filter("offset > 0")
+    parts = scratch.write(parts, "offsets")
+    rows = rows.join(small(parts, parts.count()), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    return rows.select(*order, (F.col("place") + F.coalesce("offset", F.lit(0))).alias("nth"))
+
+
 def format_chat(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, turn, role, text) -> windows: conv_id, span, window, n_repeated, text and the loss mask as spans of characters."""
-    bounded(turns.sparkSession)
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("span", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(2**53))).cast("long"))
+    scratch = Scratch(turns.sparkSession, "turns")
+    rows = _counted(turns, scratch).withColumn("span", F.floor(F.col("nth") / CHUNK).cast("long"))
+    reach = history // MARKS + 1  # more turns can't fit the history
+    if reach > CHUNK:
+        raise ValueError(f"the history is over {CHUNK * MARKS} tokens")
     own = rows.withColumn("kind", F.lit(2))
+    later = rows.filter(f"nth % {CHUNK} = 0 and nth > 0").select("conv_id", "span")
     # the last turns of a span, before the next; only where there is a next span
-    later = rows.select("conv_id", "span").distinct()
-    tail = rows.filter(F.pmod("turn", F.lit(CHUNK)) >= CHUNK - HISTORY_TURNS).withColumn("span", F.col("span") + 1).withColumn("kind", F.lit(1))
+    tail = rows.filter(f"nth % {CHUNK} >= {CHUNK - reach}").withColumn("span", F.col("span") + 1).withColumn("kind", F.lit(1))
     next_ = later.select(F.col("conv_id").alias("c"), F.col("span").alias("s"))
     tail = tail.join(next_, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s")), "left_semi")
-    system = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("span", "turn", "role", "text")).alias("s"))
-    first = later.groupBy("conv_id").agg(F.min("span").alias("first"), F.max("span").alias("last")).filter("first < last")
-    many = later.join(first.select(F.col("conv_id").alias("c"), "first"), F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "span")
-    copies = many.join(system.select(F.col("conv_id").alias("c"), "s"), F.col("conv_id").eqNullSafe(F.col("c"))).filter("span > s.span")
-    copies = copies.select("conv_id", F.col("s.turn").alias("turn"), F.col("s.role").alias("role"), F.col("s.text").alias("text"), "span", F.lit(0).alias("kind"))
+    system = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("nth", "turn", "role", "text", "span")).alias("s"))
+    copies = later.join(system.select(F.col("conv_id").alias("c"), "s"), F.col("conv_id").eqNullSafe(F.col("c"))).filter("span > s.span")
+    copies = copies.select("conv_id", "s.turn", "s.role", "s.text", "s.nth", "span", F.lit(0).alias("kind"))
     every = own.unionByName(tail).unionByName(copies)
-    every = every.repartition("conv_id", "span").sortWithinPartitions("conv_id", "span", "kind", "turn", "role", "text")
+    every = every.repartition("conv_id", "span").sortWithinPartitions("conv_id", "span", "kind", "nth")
     return every.select("conv_id", "span", "kind", "role", "text").mapInArrow(_format(budget, history), _OUT)
 
 
