@@ -18,7 +18,7 @@ from voxlake.llm.sharding import with_shards
 from voxlake.session import ship
 
 #: A document stays if one language has this share of its letters.
-LANGUAGE_SHARE = 0.3
+LANGUAGE_SHARE = 0.5
 #: Near-duplicates: words of a shingle, and the similarity in hundredths.
 SHINGLE, SIMILAR = 5, 80
 #: No source is repeated more often, and none loses a document.
