@@ -232,27 +232,35 @@ def _legendre(u: np.ndarray, order: int) -> np.ndarray:
     return np.polynomial.legendre.legvander(2 * u - 1, order)
 
 
+def _fitted(u: np.ndarray, z: np.ndarray, low: float, high: float, order: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(depths, coefficients of 1, u, u^2, ...) of a fit over low .. high; None of too few points or of constant values."""
+    on = (u >= low) & (u <= high)
+    u, z = u[on], z[on]
+    if len(z) < MIN_POINTS or ((z - z.mean()) ** 2).sum() < 1e-6:
+        return None
+    return u, np.linalg.lstsq(np.vander(u, order + 1, increasing=True), z, rcond=None)[0]
+
+
 def peak(u: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Depths of the smallest and largest value of a fourth-order fit over .1 .. .9."""
-    on = (u >= 0.1) & (u <= 0.9)
-    if on.sum() < MIN_POINTS:
+    """Depths of the points at which a fourth-order fit over .1 .. .9 is smallest and largest."""
+    if (fit := _fitted(u, z, 0.1, 0.9, 4)) is None:
         return np.zeros(2)
-    beta = np.linalg.lstsq(_legendre(u[on], 4), z[on], rcond=None)[0]
-    at = np.arange(0.1, 0.9, 0.001)
-    y = _legendre(at, 4) @ beta
+    at, beta = fit
+    y = np.vander(at, 5, increasing=True) @ beta
     return np.array([at[y.argmin()], at[y.argmax()]])
 
 
 def concave(u: np.ndarray, z: np.ndarray, legendre: bool = False) -> float:
-    """The signed larger share of depths on one side of the inflection of a cubic fit over .2 .. .8: -a / (6 b) of its last coefficients, or -a / (5 b)."""
-    on = (u >= 0.2) & (u <= 0.8)
-    if on.sum() < MIN_POINTS:
+    """The signed larger share of depths on one side of the inflection of a cubic fit over .2 .. .8.
+
+    With a and b the coefficients of the second and third Legendre polynomial of u the side is parted at
+    -a / (6 b), or -a / (5 b) where the polynomials' own inflection is meant.
+    """
+    if (fit := _fitted(u, z, 0.2, 0.8, 3)) is None:
         return 0.0
-    beta = np.linalg.lstsq(_legendre(u[on], 3), z[on], rcond=None)[0]
-    a, b = beta[2], beta[3]
-    if abs(b) < 1e-10:
-        share = 0.0
-    else:
+    a, b = fit[1][2] / 1.5, fit[1][3] / 2.5
+    share = 0.0
+    if abs(b) >= 1e-10:
         x = -a / ((5.0 if legendre else 6.0) * b)
         share = min(max(1 - x if b > 0 else x, 0.0), 1.0)
     return -(1 - share) if 1 - share > share else share

@@ -7,6 +7,7 @@ samples over cortical depth, ``orders`` with ``customer`` a regression.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -110,6 +111,20 @@ _DEPTH = "(SELECT l_partkey AS cid, (round(100 * l_discount) + 0.5) / 11 AS u, l
 _TRIALS = "(SELECT (user_id % 3)::INTEGER AS run, id, epoch_us(ts) / 1e6 AS onset, 1.0::DOUBLE AS duration, value AS height FROM events JOIN (SELECT event_type, dense_rank() OVER (ORDER BY event_type)::INTEGER AS id FROM (SELECT DISTINCT event_type FROM events)) USING (event_type))"
 _R = lambda *cols: ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in cols)
 
+def _powers_sql(rows: str, x: str, key: str, order: int, weight: str = "1.0::DOUBLE") -> str:
+    """Tables o0 .. o<order>: the rows with r1, r2, ...: powers of x made orthogonal to the lower ones, of each key."""
+    parts = [f"o0 AS (SELECT *, {weight} AS w FROM {rows})"]
+    for k in range(1, order + 1):
+        power = "*".join([f"({x})::DOUBLE"] * k)
+        less = "".join(f" - sum(w * {power} * r{i}) OVER p / sum(w * r{i} * r{i}) OVER p * r{i}" for i in range(1, k))
+        parts.append(f"o{k} AS (SELECT *, {power} - sum(w * {power}) OVER p / sum(w) OVER p{less} AS r{k} FROM o{k - 1} WINDOW p AS (PARTITION BY {key}))")
+    return ", ".join(parts)
+
+
+def _fit_sql(v: str, order: int) -> str:
+    return f"sum(w * {v}) OVER p / sum(w) OVER p" + "".join(f" + sum(w * {v} * r{k}) OVER p / sum(w * r{k} * r{k}) OVER p * r{k}" for k in range(1, order + 1))
+
+
 # -- statistics ------------------------------------------------------------------------------------
 
 
@@ -402,7 +417,14 @@ def _flat(df):
     return rounded(df.select("vid", F.posexplode("ts").alias("t", "value")))
 
 
-@query()
+def _detrend_sql(order: int) -> str:
+    """A linear, then another trend taken away: 1.25 residuals and the mean; the first step weighs 0.01."""
+    less = lambda v, k: f"1.25 * ({v} - ({_fit_sql(v, k)})) + avg({v}) OVER p"
+    powers = _powers_sql(_LONG, "t", "vid", order, "CASE WHEN t = 0 THEN 0.01 ELSE 1 END::DOUBLE")
+    return f"WITH {powers}, y AS (SELECT *, {less('value', 1)} AS y FROM o{order} WINDOW p AS (PARTITION BY vid)) SELECT vid, t, round({less('y', order)}, 6) AS value FROM y WINDOW p AS (PARTITION BY vid)"
+
+
+@query(_detrend_sql(3))
 def detrend_cubic(spark, d):
     return _flat(preprocess.detrend(series(spark, d).select("vid", "ts"), "cubic"))
 
@@ -622,12 +644,21 @@ def roi_profile(spark, d):
     return rounded(laminar.roi_profile(depth_points(spark, d), 5))
 
 
+_IN = lambda low, high: f"(SELECT cid, u, z FROM (SELECT *, count(*) OVER p AS n, var_pop(z) OVER p AS v FROM {_USE} WHERE u BETWEEN {low} AND {high} WINDOW p AS (PARTITION BY cid)) WHERE n >= 20 AND v * n >= 1e-6)"
+_MODEL_SQL = {
+    "peak": f"WITH {_powers_sql(_IN(0.1, 0.9), 'u', 'cid', 4)}, f AS (SELECT cid, u, {_fit_sql('z', 4)} AS y FROM o4 WINDOW p AS (PARTITION BY cid)), e AS (SELECT cid, arg_min(u, y) AS lo, arg_max(u, y) AS hi FROM f GROUP BY cid) SELECT cid, t, round(coalesce(CASE WHEN t = 0 THEN lo ELSE hi END, 0), 5) AS value FROM (SELECT DISTINCT cid FROM {_USE}) LEFT JOIN e USING (cid), (SELECT range::INTEGER AS t FROM range(2))",
+    # the coefficient of u^3 is that of r3; without it that of u^2 is that of r2
+    "concave": f"WITH {_powers_sql(_IN(0.2, 0.8), 'u', 'cid', 3)}, g AS (SELECT *, sum(z * r3) OVER p / sum(r3 * r3) OVER p AS c3 FROM o3 WINDOW p AS (PARTITION BY cid)), e AS (SELECT cid, any_value(c3) / 2.5 AS b, sum((z - c3 * u * u * u) * r2) / sum(r2 * r2) / 1.5 AS a FROM g GROUP BY cid), f AS (SELECT cid, CASE WHEN abs(b) < 1e-10 THEN 0 WHEN b > 0 THEN least(greatest(1 + a / (6 * b), 0), 1) ELSE least(greatest(-a / (6 * b), 0), 1) END AS s FROM e) SELECT cid, 0::INTEGER AS t, round(coalesce(CASE WHEN 1 - s > s THEN s - 1 ELSE s END, 0), 5) AS value FROM (SELECT DISTINCT cid FROM {_USE}) LEFT JOIN f USING (cid)",
+    "R2": f"WITH {_powers_sql(_USE, 'u', 'cid', 5)}, e AS (SELECT cid, var_pop(z) * count(*) AS tss, {', '.join(f'sum(z * r{k}) * sum(z * r{k}) / sum(r{k} * r{k}) AS s{k}' for k in range(1, 6))} FROM o5 GROUP BY cid) SELECT cid, t, round(list_sum([s1, s2, s3, s4, s5][:least(t + 1, 5)]) / tss, 5) AS value FROM e, (SELECT range::INTEGER AS t FROM range(6))",
+}
+
+
 def _model(name):
     def f(spark, d):
         return rounded(laminar.per_cylinder(laminar.usable(depth_points(spark, d)), name), 5)
 
     f.__name__ = f"depth_{name.lower()}_model"
-    return query()(f)
+    return query(_MODEL_SQL.get(name))(f)
 
 
 for _name in ("3bins", "peak", "concave", "R2"):
@@ -772,12 +803,64 @@ _DENSE: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 }
 
 
+_GRID = f"(SELECT b, r, c, coalesce(v.value, 0) AS u FROM (SELECT {_V} FROM (SELECT range AS vid FROM range(512))) LEFT JOIN {_LAB} v USING (b, r, c))"
+_AXES = {"b": "r, c", "r": "b, c", "c": "b, r"}
+_INNER = lambda axes: " AND ".join(f"{x} BETWEEN 1 AND 6" for x in axes)
+
+
+def _beside(column: str, axes: str, edge: str = "") -> str:
+    """Columns <column>_<axis>1 and ..2: the value one step ahead and behind."""
+    take = lambda f, x: f"{f}({column}) OVER (PARTITION BY {_AXES[x]} ORDER BY {x})"
+    return ", ".join(f"coalesce({take(f, x)}, {edge or 0}) AS {column}_{x}{i}" for x in axes for i, f in ((1, "lead"), (2, "lag")))
+
+
+def _diffuse_sql(rounds: int = 5) -> str:
+    flows = []
+    for x in "brc":
+        across = " + ".join(f"(u_{y}1 - u_{y}2) ** 2" for y in "brc" if y != x)
+        flows += [f"(u_{x}{i} - u) * exp(-((u_{x}{i} - u) ** 2 + {across}))" for i in (1, 2)]
+    parts = [f"s0 AS {_GRID}"]
+    for k in range(1, rounds + 1):
+        parts.append(f"n{k} AS (SELECT b, r, c, u, {_beside('u', 'brc')} FROM s{k - 1})")
+        parts.append(f"s{k} AS (SELECT b, r, c, CASE WHEN NOT ({_INNER('brc')}) THEN 0 WHEN abs(u) < 1e-10 THEN u ELSE u + ({' + '.join(flows)}) / 7 END AS u FROM n{k})")
+    return f"WITH {', '.join(parts)} SELECT b, r, c, round(value, 5) AS value FROM (SELECT b, r, c, CASE WHEN {_INNER('brc')} THEN x.u ELSE s0.u END AS value FROM s{rounds} x JOIN s0 USING (b, r, c)) WHERE value <> 0"
+
+
+def _speckle_sql(rounds: int = 7, rho: float = 0.1666, dt: float = 0.05) -> str:
+    names, scale = ("u_r1", "u_c1", "u_r2", "u_c2"), 1.0
+    parts = [f"s0 AS (SELECT *, 0::DOUBLE AS k FROM {_GRID})"]
+    for i in range(1, rounds + 1):
+        # of later rounds only inner pixels are there: beyond them the border repeats them
+        parts.append(f"n{i} AS (SELECT * FROM (SELECT b, r, c, u, k, {_beside('u', 'rc', 'u')} FROM s{i - 1}) WHERE {_INNER('rc')})")
+        parts.append(f"q{i} AS (SELECT *, ({' + '.join(f'({n} - u) ** 2' for n in names)}) / (u * u) AS rough, ({' + '.join(names)} - 4 * u) / (u * u) AS bend FROM n{i})")
+        parts.append(f"x{i} AS (SELECT *, CASE WHEN abs(u) < 1e-6 OR 1 + 0.25 * bend = 0 THEN NULL ELSE (0.5 * rough - 0.0625 * bend) / (1 + 0.25 * bend) ** 2 END AS q FROM q{i})")
+        s2 = scale * scale
+        parts.append(f"k{i} AS (SELECT b, r, c, u, {', '.join(names)}, CASE WHEN abs(u) < 1e-6 THEN k WHEN q IS NULL THEN 0 WHEN q > 0 THEN 1 / (1 + (q - {s2!r}::DOUBLE) / {s2 * (1 + s2)!r}::DOUBLE) ELSE 1 END AS k FROM x{i})")
+        parts.append(f"m{i} AS (SELECT *, {_beside('k', 'rc', 'k')} FROM k{i})")
+        parts.append(f"s{i} AS (SELECT b, r, c, k, CASE WHEN abs(u) < 1e-6 THEN u ELSE u + {0.25 * dt!r}::DOUBLE * ({' + '.join(f'{n.replace(chr(117), chr(107))} * ({n} - u)' for n in names)}) END AS u FROM m{i})")
+        scale *= math.exp(-rho * (i - 1) * dt)
+    return f"WITH {', '.join(parts)} SELECT b, r, c, round(value, 5) AS value FROM (SELECT b, r, c, coalesce(x.u, s0.u) AS value FROM s0 LEFT JOIN s{rounds} x USING (b, r, c)) WHERE value <> 0"
+
+
+_NEAR = "near AS (SELECT x.b, x.r, x.c, x.u AS own, y.u, abs(x.b - y.b) + abs(x.r - y.r) + abs(x.c - y.c) AS far FROM g x JOIN g y ON abs(x.b - y.b) <= 1 AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1)"
+_ROUND = "SELECT b, r, c, round(value, 5) AS value FROM"
+_DENSE_SQL = {
+    "anisotropic_diffusion": _diffuse_sql(),
+    "speckle_reduction": _speckle_sql(),
+    "median_image": f"WITH g AS {_GRID}, {_NEAR} {_ROUND} (SELECT b, r, c, quantile_disc(u, 0.5) AS value FROM near GROUP BY ALL) WHERE value <> 0",
+    "box_filter": f"WITH g AS {_GRID}, {_NEAR} {_ROUND} (SELECT b, r, c, avg(u) AS value FROM near GROUP BY ALL) WHERE value <> 0",
+    "vote_smooth": f"WITH g AS {_GRID}, {_NEAR}, m AS (SELECT b, r, c, u, 1 AS n FROM near WHERE far > 0 UNION ALL SELECT b, r, c, 0, 27 - count(*) FROM near GROUP BY b, r, c), n AS (SELECT b, r, c, u, sum(n) AS n FROM m GROUP BY ALL) {_ROUND} (SELECT b, r, c, arg_max(u, (n, -u)) AS value FROM n GROUP BY ALL) WHERE value <> 0",
+    "euclidean_distance": f"WITH g AS {_GRID} {_ROUND} (SELECT x.b, x.r, x.c, least(sqrt(min((x.b - y.b) ** 2 + (x.r - y.r) ** 2 + (x.c - y.c) ** 2)), 99) AS value FROM g x, (SELECT * FROM g WHERE u > 1) y GROUP BY ALL) WHERE value <> 0",
+    "contrast_stretch": f"WITH g AS {_GRID}, m AS (SELECT avg(u) AS m, stddev_samp(u) AS s FROM g) {_ROUND} (SELECT b, r, c, least(greatest((u - (m - 2 * s)) / (4 * s) * 255, 0), 255) AS value FROM g, m) WHERE value <> 0",
+}
+
+
 def _dense(name: str, f: Callable) -> None:
     def run(spark, d):
         return rounded(per_volume(labels(spark, d), f, SHAPE), 5)
 
     run.__name__ = f"image_{name}"
-    query()(run)
+    query(_DENSE_SQL.get(name))(run)
 
 
 for _name, _f in _DENSE.items():
