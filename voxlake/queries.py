@@ -372,17 +372,36 @@ def bilateral_stencil(spark, d):
     return rounded(filters.bilateral_stencil(volume(spark, d), SHAPE), 5)
 
 
-@query()
+_DENSE_VOL = f"(SELECT b, r, c, coalesce(value, 0) AS u FROM (SELECT {_V} FROM (SELECT range AS vid FROM range(512))) LEFT JOIN {_VOL} USING (b, r, c))"
+_D2 = "((x.b - y.b) ** 2 + (x.r - y.r) ** 2 + (x.c - y.c) ** 2)"
+_WITHIN = lambda n: " AND ".join(f"abs(x.{a} - y.{a}) <= {n}" for a in "brc")
+_MEDIAN_18 = lambda rows, keys="": f"SELECT {keys}b, r, c, CASE WHEN count(*) > 9 THEN quantile_disc(v, 0.5) ELSE 0 END AS m FROM (SELECT {keys and 'x.subj, '}x.b, x.r, x.c, y.u AS v FROM {rows} x JOIN {rows} y ON {keys and 'x.subj = y.subj AND '}{_WITHIN(1)} AND abs(x.b - y.b) + abs(x.r - y.r) + abs(x.c - y.c) <= 2 WHERE abs(y.u) > 1e-10) GROUP BY ALL"
+
+
+def _bilateral_sql(rounds: int = 2) -> str:
+    grid = f"(SELECT subj, b, r, c, coalesce(value, 0) AS u FROM (SELECT range::INTEGER AS subj FROM range(8)) CROSS JOIN (SELECT {_V} FROM (SELECT range AS vid FROM range(512))) LEFT JOIN {_SUBJ} USING (subj, b, r, c))"
+    cube = "(abs(x.b - y.b) < 2 OR abs(x.r - y.r) < 2 OR abs(x.c - y.c) < 2)"
+    size, parts = len(offsets("cube", 2)), [f"s0 AS {grid}"]
+    for i in range(1, rounds + 1):
+        old = f"s{i - 1}"
+        parts.append(f"m{i} AS ({_MEDIAN_18(old, 'subj, ')})")
+        parts.append(f"w{i} AS (SELECT x.subj, x.b, x.r, x.c, y.u AS v, (1 - ((x.u - y.u) ** 2 / 2 + {_D2} / 2) / 2048) ** 2048 AS w FROM {old} x JOIN {old} y ON x.subj = y.subj AND {_WITHIN(2)} AND {cube} WHERE abs(y.u) >= 1e-10 AND abs(x.u) >= 1e-10 AND x.b BETWEEN 2 AND 5 AND x.r BETWEEN 2 AND 5 AND x.c BETWEEN 2 AND 5)")
+        parts.append(f"t{i} AS (SELECT subj, b, r, c, count(*) AS n, sum(v * w) / sum(w) AS u FROM w{i} GROUP BY ALL)")
+        parts.append(f"s{i} AS (SELECT subj, b, r, c, CASE WHEN t.n IS NULL THEN 0 WHEN t.n::DOUBLE / {size} > 0.5 THEN t.u ELSE coalesce(m, 0) END AS u FROM {old} x LEFT JOIN t{i} t USING (subj, b, r, c) LEFT JOIN m{i} USING (subj, b, r, c))")
+    return f"WITH {', '.join(parts)} SELECT subj, b, r, c, round(u, 6) AS value FROM s{rounds} WHERE u <> 0"
+
+
+@query(_bilateral_sql())
 def bilateral_filter(spark, d):
     return rounded(filters.bilateral_filter(subjects(spark, d), SHAPE, ["subj"]))
 
 
-@query()
+@query(f"WITH g AS {_DENSE_VOL} SELECT b, r, c, round(value, 6) AS value FROM (SELECT x.b, x.r, x.c, sum(y.u * exp(-0.5 * {_D2} / {(3.0 / 2.355) ** 2!r}::DOUBLE)) / sum(exp(-0.5 * {_D2} / {(3.0 / 2.355) ** 2!r}::DOUBLE)) AS value FROM g x JOIN g y ON {_WITHIN(4)} GROUP BY ALL) WHERE value <> 0")
 def gaussian_smooth(spark, d):
     return rounded(filters.smooth(volume(spark, d), SHAPE, 3.0))
 
 
-@query()
+@query(f"WITH g AS {_DENSE_VOL} SELECT b, r, c, round(m, 6) AS value FROM ({_MEDIAN_18('g')}) WHERE m <> 0")
 def median_18(spark, d):
     return rounded(filters.median_filter(volume(spark, d), SHAPE))
 
@@ -541,7 +560,15 @@ def hubness(spark, d):
     return networks.hubness(_li(spark, d).select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j")))
 
 
-@query()
+def _dense_ecm_sql(rounds: int = 3) -> str:
+    z = f"z AS (SELECT vid, list(x ORDER BY t) AS x FROM (SELECT vid, t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS x FROM {_LONG} WINDOW w AS (PARTITION BY vid)) GROUP BY vid)"
+    parts = [z, "a AS (SELECT p.vid AS i, q.vid AS j, abs(list_inner_product(p.x, q.x)) / 64 AS w FROM z p JOIN z q ON p.vid <> q.vid)", "v0 AS (SELECT vid, 1::DOUBLE AS v FROM z)"]
+    for k in range(1, rounds + 1):
+        parts += [f"y{k} AS (SELECT i AS vid, sum(w * v) AS y FROM a JOIN v{k - 1} ON j = vid GROUP BY i)", f"v{k} AS (SELECT vid, y / sqrt((SELECT sum(y * y) FROM y{k})) AS v FROM y{k})"]
+    return f"WITH {', '.join(parts)} SELECT vid, round(v * sqrt((SELECT count(*) FROM z)::DOUBLE), 5) AS value FROM v{rounds}"
+
+
+@query(_dense_ecm_sql())
 def ecm_dense(spark, d):
     return rounded(networks.dense_ecm(series(spark, d), "abs", 3, 512), 5)
 
@@ -844,13 +871,31 @@ def _speckle_sql(rounds: int = 7, rho: float = 0.1666, dt: float = 0.05) -> str:
 
 _NEAR = "near AS (SELECT x.b, x.r, x.c, x.u AS own, y.u, abs(x.b - y.b) + abs(x.r - y.r) + abs(x.c - y.c) AS far FROM g x JOIN g y ON abs(x.b - y.b) <= 1 AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1)"
 _ROUND = "SELECT b, r, c, round(value, 5) AS value FROM"
+
+
+def _gradient_sql() -> str:
+    """Of each axis: a Gaussian over the others, then first moments along it, where voxels beyond a face count as the voxel itself."""
+    parts, k = [f"g AS {_GRID}", "k AS (SELECT range::INTEGER AS t, exp(-0.5 * range * range) AS w FROM range(-4, 5))"], "(SELECT sum(t * t * w) FROM k)"
+    for a in "brc":
+        others = [x for x in "brc" if x != a]
+        far = " + ".join(f"(x.{o} - y.{o}) ** 2" for o in others)
+        parts.append(f"s{a} AS (SELECT x.b, x.r, x.c, sum(y.u * exp(-0.5 * ({far}))) / sum(exp(-0.5 * ({far}))) AS s FROM g x JOIN g y ON x.{a} = y.{a} AND {' AND '.join(f'abs(x.{o} - y.{o}) <= 4' for o in others)} GROUP BY ALL)")
+        parts.append(f"d{a} AS (SELECT x.b, x.r, x.c, sum(k.t * k.w * coalesce(y.s, x.s)) / {k} AS d FROM s{a} x CROSS JOIN k LEFT JOIN s{a} y ON y.{a} = x.{a} + k.t AND {' AND '.join(f'x.{o} = y.{o}' for o in others)} GROUP BY x.b, x.r, x.c)")
+    return f"WITH {', '.join(parts)} {_ROUND} (SELECT b, r, c, sqrt(db.d ** 2 + dr.d ** 2 + dc.d ** 2) AS value FROM db JOIN dr USING (b, r, c) JOIN dc USING (b, r, c)) WHERE value <> 0"
+
+
 _DENSE_SQL = {
     "anisotropic_diffusion": _diffuse_sql(),
     "speckle_reduction": _speckle_sql(),
     "median_image": f"WITH g AS {_GRID}, {_NEAR} {_ROUND} (SELECT b, r, c, quantile_disc(u, 0.5) AS value FROM near GROUP BY ALL) WHERE value <> 0",
     "box_filter": f"WITH g AS {_GRID}, {_NEAR} {_ROUND} (SELECT b, r, c, avg(u) AS value FROM near GROUP BY ALL) WHERE value <> 0",
-    "vote_smooth": f"WITH g AS {_GRID}, {_NEAR}, m AS (SELECT b, r, c, u, 1 AS n FROM near WHERE far > 0 UNION ALL SELECT b, r, c, 0, 27 - count(*) FROM near GROUP BY b, r, c), n AS (SELECT b, r, c, u, sum(n) AS n FROM m GROUP BY ALL) {_ROUND} (SELECT b, r, c, arg_max(u, (n, -u)) AS value FROM n GROUP BY ALL) WHERE value <> 0",
+    "vote_smooth": f"WITH g AS {_GRID}, {_NEAR}, m AS (SELECT b, r, c, u, 1 AS n FROM near UNION ALL SELECT b, r, c, 0, 27 - count(*) FROM near GROUP BY b, r, c), n AS (SELECT b, r, c, u, sum(n) AS n FROM m GROUP BY ALL) {_ROUND} (SELECT b, r, c, arg_max(u, (n, -u)) AS value FROM n GROUP BY ALL) WHERE value <> 0",
     "euclidean_distance": f"WITH g AS {_GRID} {_ROUND} (SELECT x.b, x.r, x.c, least(sqrt(min((x.b - y.b) ** 2 + (x.r - y.r) ** 2 + (x.c - y.c) ** 2)), 99) AS value FROM g x, (SELECT * FROM g WHERE u > 1) y GROUP BY ALL) WHERE value <> 0",
+    # paths by steps along three, two and one axes, in that order, are the shortest
+    "chamfer_distance": f"WITH g AS {_GRID}, d AS (SELECT x.b, x.r, x.c, list_sort([abs(x.b - y.b), abs(x.r - y.r), abs(x.c - y.c)]) AS d FROM g x, (SELECT * FROM g WHERE u > 1) y) {_ROUND} (SELECT b, r, c, least(min(d[1] * {imaging.CHAMFER[2]}::DOUBLE + (d[2] - d[1]) * {imaging.CHAMFER[1]}::DOUBLE + (d[3] - d[2]) * {imaging.CHAMFER[0]}::DOUBLE), 99) AS value FROM d GROUP BY b, r, c) WHERE value <> 0",
+    "label_components": f"WITH RECURSIVE g AS (SELECT * FROM {_GRID} WHERE u > 1), {_NEAR}, l AS (SELECT x.b * 64 + x.r * 8 + x.c AS v, y.b * 64 + y.r * 8 + y.c AS n FROM g x JOIN g y ON abs(x.b - y.b) <= 1 AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1), m(v, root) AS (SELECT v, v FROM l UNION SELECT l.n, m.root FROM m JOIN l ON l.v = m.v), q AS (SELECT v, min(root) AS root FROM m GROUP BY v) SELECT {_V.replace('vid', 'v')}, dense_rank() OVER (ORDER BY root)::DOUBLE AS value FROM q",
+    "distance_open": f"WITH g AS {_GRID}, {_NEAR}, e AS (SELECT b, r, c FROM near WHERE far <= 1 GROUP BY ALL HAVING min(u) > 0) SELECT DISTINCT g.b, g.r, g.c, 1::DOUBLE AS value FROM g JOIN e ON abs(g.b - e.b) + abs(g.r - e.r) + abs(g.c - e.c) <= 1",
+    "gradient_magnitude": _gradient_sql(),
     "contrast_stretch": f"WITH g AS {_GRID}, m AS (SELECT avg(u) AS m, stddev_samp(u) AS s FROM g) {_ROUND} (SELECT b, r, c, least(greatest((u - (m - 2 * s)) / (4 * s) * 255, 0), 255) AS value FROM g, m) WHERE value <> 0",
 }
 
