@@ -364,11 +364,12 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     are judged each for itself, and where a component's smallest id has several texts, that of the
     smallest text hash is kept.  Documents without words are in no component: all their rows are kept.
     """
-    scratch = Scratch(docs.sparkSession, "distinct")
+    scratch = Scratch(docs.sparkSession, "distinct")  # winners and losers as pairs of numbers
     rows, classes = _classes(docs, k, num, den, id_col, text_col, False)
     in_class = rows.filter("n > 0").join(classes.select("sid", "root"), "sid").select("root", "id", "h")
-    first = in_class.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("f"), F.count("*").alias("c"))
-    own = in_class.join(first, "root").select("id", "h", ((F.col("id").eqNullSafe(F.col("f.id"))) & (F.col("h") == F.col("f.h"))).alias("stays"))
+    first = in_class.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("f"))
+    first = scratch.write(first, "first")
+    own = in_class.join(small(first, first.count()), "root").select("id", "h", ((F.col("id").eqNullSafe(F.col("f.id"))) & (F.col("h") == F.col("f.h"))).alias("stays"))
     own = scratch.write(own.groupBy("id", "h").agg(F.max("stays").alias("stays"), F.count("*").alias("c")).filter("not stays or c > 1"), "own")
     drop = own.filter("not stays").select(F.coalesce("id", F.lit(0)).alias("_i"), F.col("id").isNull().alias("_n"), F.col("h").alias("_h"))
     again = own.filter("stays").select(F.coalesce("id", F.lit(0)).alias("_i"), F.col("id").isNull().alias("_n"), F.col("h").alias("_h"))
