@@ -52,7 +52,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents to drop, of any length but blank ones, as an earlier line is equal or one character away."""
-    return dropped_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_chars=1)
+    return dropped_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_chars=1).withColumn("dropped", F.array_join("dropped", ","))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,26 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM p QUALIFY rank <= 20
 """
 
+#: Lines within one edit share their first or second half, of the length or of one less; then characters are compared from both ends.
+_LINES_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(x)))::INTEGER AS line, unnest(x) AS said FROM d WHERE x IS NOT NULL),
+o AS (SELECT * FROM l WHERE regexp_matches(said, '[^\x20\x09-\x0D]')),
+u AS (SELECT said, length(said) AS n, min((doc_id, line)) AS f FROM o GROUP BY said),
+k AS (SELECT DISTINCT said, n, f, side, CASE side WHEN 0 THEN substr(said, 1, p) ELSE substr(said, n - p + 1, p) END AS half, p
+  FROM (SELECT *, unnest([n // 2, greatest(n - 1, 0) // 2]) AS p FROM u), (SELECT unnest([0, 1]) AS side)),
+c AS (SELECT DISTINCT x.said, y.said AS other, x.n, y.n AS m FROM k x JOIN k y ON x.side = y.side AND x.p = y.p AND x.half = y.half
+  AND x.f > y.f AND abs(x.n - y.n) <= 1),
+e AS (SELECT DISTINCT said FROM c WHERE len(list_filter(range(0, greatest(n, m) + 1), lambda i:
+  substr(said, 1, i) = substr(other, 1, i) AND substr(said, i + 1 + (n >= m)::INTEGER) = substr(other, i + 1 + (m >= n)::INTEGER))) > 0),
+g AS (SELECT o.doc_id, list(line ORDER BY line) AS dropped FROM o JOIN u USING (said) LEFT JOIN e ON e.said = o.said
+  WHERE e.said IS NOT NULL OR (o.doc_id, o.line) > u.f GROUP BY o.doc_id)
+SELECT doc_id, coalesce(len(x), 0)::BIGINT AS n_lines, coalesce(len(dropped), 0)::BIGINT AS n_dropped, coalesce(array_to_string(dropped, ','), '') AS dropped
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op5_line_dedup": _LINES_SQL,
     "op3_ngram_jaccard": _JACCARD_SQL,
     "op7_decontaminate": _DECONTAMINATE_SQL,
     "op8_exact_topk": _TOPK_SQL,
