@@ -127,15 +127,17 @@ def binarize(volume: DataFrame, low: float = -1e16, high: float = 1e16) -> DataF
 def foreground(series: DataFrame, norm: int = 0) -> DataFrame:
     """Series (ts array) of variance 1e-6 or more; norm 1 takes the mean off, 2 also divides by the deviation."""
     n = F.size("ts")
-    mean = F.aggregate("ts", F.lit(0.0), lambda a, x: a + x) / n
-    s = series.withColumn("_m", mean)
-    var = F.aggregate("ts", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) ** 2) / (n - 1)
-    s = s.withColumn("_v", var).filter(F.col("_v") >= TINY)
+    # a one-element array holds what the inner function would work out again for each step
+    let = lambda value, then: F.get(F.transform(F.array(value), then), 0)
+    mean = F.aggregate("ts", F.lit(0.0), lambda a, x: a + x) / F.when(n > 0, n)
+    var = let(mean, lambda m: F.aggregate("ts", F.lit(0.0), lambda a, x: a + (x - m) ** 2)) / F.when(n > 1, n - 1)
+    s = series.filter(var >= TINY)
     if norm == 1:
-        s = s.withColumn("ts", F.transform("ts", lambda x: x - F.col("_m")))
+        s = s.withColumn("ts", let(mean, lambda m: F.transform("ts", lambda x: x - m)))
     elif norm == 2:
-        s = s.withColumn("ts", F.transform("ts", lambda x: (x - F.col("_m")) / F.sqrt("_v")))
-    return s.drop("_m", "_v")
+        own = F.struct(mean.alias("m"), F.sqrt(F.when(var >= TINY, var)).alias("d"))  # null, so that no plan divides by 0
+        s = s.withColumn("ts", let(own, lambda o: F.transform("ts", lambda x: (x - o.m) / o.d)))
+    return s
 
 
 def mean_minval(series: DataFrame, minval: float) -> DataFrame:

@@ -486,6 +486,51 @@ def cut_trial(spark, d):
     return _flat(preprocess.cut_trial(series(spark, d).select("vid", "ts"), 10.0, 2.0, 0.0, 20.0, 1.0))
 
 
+_CUT = f"(SELECT vid, t, CASE WHEN vid % 7 = 0 THEN 1 ELSE value END AS value FROM {_LONG})"
+
+
+@query(f"SELECT vid, t, round((value - m) / s, 6) AS value FROM (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM {_CUT} WINDOW w AS (PARTITION BY vid)) WHERE s * s >= 1e-6")
+def foreground_norm(spark, d):
+    """Every seventh series is constant, so it goes; the others are normalised."""
+    flat = F.when(F.col("vid") % 7 == 0, F.transform("ts", lambda x: F.lit(1.0))).otherwise(F.col("ts"))
+    return _flat(filters.foreground(series(spark, d).select("vid", flat.alias("ts")), 2))
+
+
+@query(f"SELECT vid, t, round(value, 6) AS value FROM (SELECT *, avg(value) OVER (PARTITION BY vid) AS m FROM {_LONG}) WHERE m >= 0.01")
+def mean_threshold(spark, d):
+    return _flat(filters.mean_minval(series(spark, d).select("vid", "ts"), 0.01))
+
+
+@query(f"SELECT b, r, c, round(value, 6) AS value FROM {_LAB} m SEMI JOIN (SELECT * FROM {_VOL} WHERE value <> 0) v USING (b, r, c) WHERE value > 0.3")
+def covered_mask(spark, d):
+    return rounded(filters.mask_coverage(labels(spark, d), volume(spark, d))[0].select(*VOXEL, "value"))
+
+
+_EDGES = "(SELECT l_orderkey % 512 AS i, l_partkey % 512 AS j, max(l_discount) AS ted FROM lineitem WHERE l_orderkey % 512 > l_partkey % 512 GROUP BY ALL)"
+
+
+def _edge_rows(spark, d):
+    x = _li(spark, d).select((F.col("l_orderkey") % 512).alias("i"), (F.col("l_partkey") % 512).alias("j"), F.col("l_discount").alias("ted"))
+    return x.filter("i > j").groupBy("i", "j").agg(F.max("ted").alias("ted"))
+
+
+def _edge_query(mode: str, sql: str) -> None:
+    def run(spark, d):
+        return filters.select_edges_by_mask(_edge_rows(spark, d), spark.range(0, 512, 3).select(F.col("id").alias("vid")), mode)
+
+    run.__name__ = f"edges_by_mask_{mode}"
+    query(f"SELECT i, j, ted FROM {_EDGES} WHERE {sql}")(run)
+
+
+for _name, _sql in {"or": "i % 3 = 0 OR j % 3 = 0", "and": "i % 3 = 0 AND j % 3 = 0", "none": "i % 3 <> 0 AND j % 3 <> 0", "notboth": "NOT (i % 3 = 0 AND j % 3 = 0)"}.items():
+    _edge_query(_name, _sql)
+
+
+@query(f"SELECT b, r, c, t, round(value, 6) AS value FROM (SELECT *, 0 AS t FROM {_VOL} UNION ALL SELECT *, 1 FROM {_LAB})")
+def concatenate_volumes(spark, d):
+    return rounded(filters.concatenate([volume(spark, d), labels(spark, d)]).select(*VOXEL, "t", "value"))
+
+
 # -- linear models ---------------------------------------------------------------------------------
 
 
