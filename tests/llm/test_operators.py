@@ -224,6 +224,36 @@ def test_re_pair_round_trip_and_windows():
     assert len(token_files.re_pair(np.array([3, 4] * 500, np.uint32), np.zeros(1000, bool), 50).seq) < 20
 
 
+def test_re_pair_of_wide_symbols_and_of_many_rounds():
+    """Pairs are counted alike whether key and place fit one number or not, and closed up or linked."""
+    rng = np.random.default_rng(12)
+    key, at = rng.integers(0, 40, 900).astype(np.uint64), np.arange(900) * 3
+    for x, y in zip(token_files._by_key(key, at, 6), token_files._by_key(key, at, 60)):
+        assert (x == y).all()
+    passage = rng.integers(0, 200, 3000)
+    ids = np.concatenate([rng.integers(0, 200, 20_000), np.tile(passage, 9), [7] * 501, [8, 8, 9] * 40])
+    ends = np.zeros(len(ids), bool)
+    ends[[0, 1, 19_999, -1]] = True
+    a = token_files.re_pair(ids.astype(np.uint32), ends, 200)
+    b = token_files.re_pair((ids + 2**30).astype(np.uint32), ends, 2**30 + 200)
+    assert a.sizes == b.sizes and len(a.sizes) > 5 and not ends[2:19_999].any()
+    for x, y in ((a.seq, b.seq), (a.left, b.left), (a.right, b.right)):
+        assert (x.astype(np.int64) + 2**30 == y).all()
+    flat, start, length = token_files.expansions(a.first, a.left, a.right, a.sizes)
+    assert (np.concatenate([flat[start[s] : start[s] + length[s]] for s in a.seq]) == ids).all()
+    assert len(a.seq) < 21_000
+
+
+def test_token_shards_end_near_their_size(spark, tmp_path):
+    """A shard passes ``shard_tokens`` by a slice at most; slices are small, as their arrays are to stay in cache."""
+    path, _ = tokenizer()
+    to = "file://" + str(tmp_path / "near")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('a b c d ', 200) AS text")
+    token_files.write_token_files(docs, to, path, shard_tokens=200_000)
+    sizes = [r.n_tokens for r in spark.read.parquet(to).select("n_tokens").collect()]
+    assert sum(sizes) == 3000 * 801 and max(sizes) < 200_000 + 300_000
+
+
 def test_re_pair_leaves_no_frequent_pair():
     """Of what is left no pair inside a document has ``least`` uses that don't overlap; rules have their uses; 17-bit symbols."""
     rng = np.random.default_rng(9)

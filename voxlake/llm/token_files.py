@@ -51,7 +51,6 @@ CACHE = 1_500_000
 #: A pair becomes a rule where it has so many uses: a rule is stored in 8 bytes, a use spares 2.
 LEAST_USES = 8
 _HEAD = struct.Struct("<4s9I")
-_NO_PAIR = np.uint64(2**64 - 1)
 #: ASCII letters and digits 1, ASCII punctuation but the apostrophe 2, all else 0.
 _CLASS = bytes([1 if chr(i).isalnum() else 2 if 0x20 < i < 0x7F and chr(i) != "'" else 0 for i in range(128)] + [0] * 128)
 #: 0 for the bytes of letters up to U+00FF, whose only lead byte is C3 (signs U+00D7 and U+00F7 left out), and these letters in lower case.
@@ -74,90 +73,136 @@ class Grammar:
     first: int
 
 
+def _by_key(key: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the keys, of ``bits`` bits, sorted; their places ``at``; where each key starts among them, and their end)."""
+    low = int(at.max()).bit_length()
+    if bits + low <= 64:  # key and place in one number: numbers sort several times faster than places
+        both = np.sort((key << np.uint64(low)) | at.view(np.uint64))
+        key, at = both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).view(np.int64)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, at = key.take(order), at.take(order)
+    return key, at, np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+
+
+class _Rules:
+    """The rules so far; what a round does wherever its pairs stand."""
+
+    def __init__(self, first: int, least: int):
+        self.left, self.right, self.sizes, self.free, self.least = [], [], [], first, least
+
+    def ranks(self, at: np.ndarray, x: np.ndarray, y: np.ndarray, follows, rank: np.ndarray) -> np.ndarray:
+        """Sets the rank of all places ``at``, of pairs (x, y): 0 where a pair is rare.  The places that don't count.
+
+        The most frequent pair has the highest rank.  Equals are in no order, else along a repeated passage
+        just one pair a round would be highest.
+        """
+        self.width = self.free.bit_length()
+        key = (x.astype(np.uint64) << np.uint64(self.width)) | y
+        none = np.uint64((1 << 2 * self.width) - 1)  # no symbol has all bits
+        # of a run of one symbol every other place counts
+        spare = same = np.flatnonzero(x == y)
+        if len(same):
+            run = at[same]
+            place = np.arange(len(run))
+            head = np.concatenate(([True], run[1:] != follows(run[:-1])))
+            odd = (place - np.maximum.accumulate(np.where(head, place, 0))) & 1 == 1
+            spare = run[odd]
+            key[same[odd]] = none
+        key, at, start = _by_key(key, at, 2 * self.width)
+        count = np.diff(start)
+        uses = count.copy()
+        if len(spare):
+            uses[-1] = 0
+        often = np.flatnonzero(uses >= self.least)
+        by = (uses[often].astype(np.uint64) << np.uint64(32)) | ((often.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF))
+        often = often[np.argsort(by)]
+        mine = np.zeros(len(uses), np.int32)
+        mine[often] = np.arange(1, len(often) + 1)
+        rank[at] = np.repeat(mine, count)
+        self.pairs = key[start[often]]
+        return spare
+
+    def add(self, ranks: np.ndarray) -> np.ndarray:
+        """New symbols for the ranks of the places to replace; 0 where too few have a rank."""
+        chosen = np.flatnonzero(np.bincount(ranks, minlength=len(self.pairs) + 1) >= self.least)
+        symbol = np.zeros(len(self.pairs) + 1, np.uint32)
+        symbol[chosen] = np.arange(self.free, self.free + len(chosen), dtype=np.uint32)
+        pairs = self.pairs[chosen - 1]
+        self.left.append((pairs >> np.uint64(self.width)).astype(np.uint32))
+        self.right.append((pairs & np.uint64((1 << self.width) - 1)).astype(np.uint32))
+        self.sizes.append(len(chosen))
+        self.free += len(chosen)
+        return symbol.take(ranks)
+
+
 def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST_USES) -> Grammar:
     """ids: tokens; ends: marks of the documents' last tokens; first: the first free symbol.
 
     Goes on until no pair has ``least`` occurrences that don't overlap.  Counts of pairs without a new
     symbol only fall, so a round looks at what stands beside a new symbol and at what was frequent before.
+    While that is much, what a round replaces is closed up; then symbols are linked.
     """
-    n = len(ids)
+    rules = _Rules(first, least)
+    seq, last = ids.astype(np.uint32), ends.astype(bool)
+    last[-1:] = True
+    at = np.flatnonzero(~last)
+    while 8 * len(at) > len(seq):
+        rank = np.zeros(len(seq) + 2, np.int32)
+        own = rank[1:-1]
+        spare = rules.ranks(at, seq.take(at), seq.take(at + 1), lambda i: i + 1, own)
+        if not len(rules.pairs):
+            at = at[:0]
+            break
+        best = np.flatnonzero((own > rank[:-2]) & (own > rank[2:]))
+        new = rules.add(own.take(best))
+        some = np.flatnonzero(new)
+        best, new = best[some], new[some]
+        seq[best] = new
+        last[best] = last[best + 1]
+        look = own > 0
+        look[spare] = True
+        alive = np.ones(len(seq), bool)
+        alive[best + 1] = False
+        rest = np.flatnonzero(alive)
+        seq, last, look = seq.take(rest), last.take(rest), look.take(rest)
+        place = best - np.arange(len(best))
+        look[place] = True
+        look[np.maximum(place - 1, 0)] = True
+        at = np.flatnonzero(look & ~last)
+
+    n = len(seq)
     none = n  # the place before the first and after the last symbol of a document
-    seq = np.append(ids.astype(np.uint32), np.uint32(0))
+    seq = np.append(seq, np.uint32(0))
     after, before = np.arange(1, n + 2), np.arange(-1, n)
-    edge = np.flatnonzero(ends)
+    edge = np.flatnonzero(last)
     after[edge] = after[n] = none
     before = np.append(before, none)
     before[0] = before[edge + 1] = none
-    rank, alive, free = np.zeros(n + 1, np.int32), np.ones(n + 1, bool), first
+    rank, alive = np.zeros(n + 1, np.int32), np.ones(n + 1, bool)
     alive[none] = False
-    left, right, sizes = [], [], []
-    at = np.flatnonzero(~ends)
     while len(at):
         other = after.take(at)
-        x, y = seq.take(at), seq.take(other)
-        key = (x.astype(np.uint64) << np.uint64(32)) | y
-        # of a run of one symbol every other place counts
-        spare = same = np.flatnonzero(x == y)
-        if len(same):
-            run = at[same]
-            place = np.arange(len(run))
-            head = np.concatenate(([True], run[1:] != after[run[:-1]]))
-            odd = (place - np.maximum.accumulate(np.where(head, place, 0))) & 1 == 1
-            spare = run[odd]
-            key[same[odd]] = _NO_PAIR
-        if sizes:  # most pairs are rare now: pass over those that share a cell with too few
-            cell = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.intp)
-            some = np.flatnonzero((np.bincount(cell, minlength=1 << 20) >= least).take(cell))
-            at, other, key = at[some], other[some], key[some]
-        pairs = pa.array(key).dictionary_encode()
-        code, keys = pairs.indices.to_numpy(zero_copy_only=False), pairs.dictionary.to_numpy()
-        uses = np.bincount(code)
-        uses[keys == _NO_PAIR] = 0
-        often = np.flatnonzero(uses >= least)
-        if not len(often):
+        spare = rules.ranks(at, seq.take(at), seq.take(other), after.take, rank)
+        if not len(rules.pairs):
             break
-        # the most frequent has the highest rank; where occurrences overlap the higher rank is replaced.  Equals
-        # are in no order, else along a repeated passage just one pair a round would be highest
-        ranks = np.zeros(len(uses), np.int32)
-        by = (uses[often].astype(np.uint64) << np.uint64(32)) | ((often.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF))
-        ranks[often[np.argsort(by)]] = np.arange(1, len(often) + 1)
-        mine = ranks.take(code)
-        if len(often) < len(uses):
-            some = np.flatnonzero(mine)
-            at, other, code, mine = at[some], other[some], code[some], mine[some]
-        rank[at] = mine
+        mine = rank.take(at)
         best = np.flatnonzero((mine > rank.take(before.take(at))) & (mine > rank.take(other)))
         rank[at] = 0
-        done = code.take(best)
-        chosen = np.flatnonzero(np.bincount(done, minlength=len(uses)) >= least)
-        symbol = np.zeros(len(uses), np.uint32)
-        symbol[chosen] = np.arange(free, free + len(chosen), dtype=np.uint32)
-        new = symbol.take(done)
-        if len(chosen) < len(often):
-            some = np.flatnonzero(new)
-            best, new = best[some], new[some]
+        new = rules.add(mine.take(best))
+        some = np.flatnonzero(new)
+        best, new = best[some], new[some]
         place, gone = at[best], other[best]
-        left.append((keys[chosen] >> np.uint64(32)).astype(np.uint32))
-        right.append((keys[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        sizes.append(len(chosen))
-        free += len(chosen)
         seq[place] = new
         alive[gone] = False
         far = after[gone]
         after[place], before[far] = far, place
         before[none] = none
-        look = (at, spare, place, before.take(place))
-        if sum(map(len, look)) > n >> 4:
-            mark = np.zeros(n + 1, bool)
-            for i in look:
-                mark[i] = True
-            at = np.flatnonzero(mark)
-        else:
-            at = np.sort(np.concatenate(look))
-            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+        at = np.sort(np.concatenate((at[mine > 0], spare, place, before.take(place))))
+        at = at[np.concatenate(([True], at[1:] != at[:-1]))]
         at = at[alive.take(at) & (after.take(at) != none)]
     empty = [np.zeros(0, np.uint32)]
-    return Grammar(seq[alive], np.concatenate(left or empty), np.concatenate(right or empty), sizes, first)
+    return Grammar(seq[alive], np.concatenate(rules.left or empty), np.concatenate(rules.right or empty), rules.sizes, first)
 
 
 def expansions(first: int, left: np.ndarray, right: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,11 +358,12 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.vocabulary = max(self.tokenizer.get_vocab().values()) + 1
+        vocabulary = self.tokenizer.get_vocab()
+        self.vocabulary = max(vocabulary.values()) + 1
         # ids that end a run of letters, where the vocabulary marks them
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closes = np.zeros(self.vocabulary, bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        for token, i in vocabulary.items():
             self.closes[i] = bool(suffix) and token.endswith(suffix)
         # a piece of one id that no other piece has, to part many pieces in one text
         mark, plain = self._plain("\x01"), self._plain("ab cd!")
@@ -450,7 +496,7 @@ def _write(tokenizer_json, end_id: int, shard_tokens: int, whole: bool):
 
         for batch in batches:
             rows = batch.column(0).to_pylist()
-            for i, j, off, data in tb.slices(batch.column(1), 2 * tb.SLICE_BYTES):
+            for i, j, off, data in tb.slices(batch.column(1), tb.SLICE_BYTES // 2):
                 got, n = enc.encode(off, data, end_id, whole)
                 ids.append(got)
                 counts.append(n)
