@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -254,6 +255,31 @@ def test_token_shards_end_near_their_size(spark, tmp_path):
     assert sum(sizes) == 3000 * 801 and max(sizes) < 200_000 + 300_000
 
 
+def test_freed_arrays_are_used_again():
+    """Arrays allocated and freed again and again are not made of fresh pages each time."""
+    import subprocess
+    import sys
+
+    pytest.importorskip("resource")
+    code = """
+import resource
+import numpy as np
+from voxlake.llm import textbatch as tb
+if tb._LIBC is None:
+    print(0)
+else:
+    tb.keep()
+    faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    first = faults()
+    for _ in range(20):
+        held = [np.ones(3 << 17) for _ in range(8)]
+        held = None
+    print(faults() - first)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(got.stdout) < 20_000
+
+
 def test_re_pair_leaves_no_frequent_pair():
     """Of what is left no pair inside a document has ``least`` uses that don't overlap; rules have their uses; 17-bit symbols."""
     rng = np.random.default_rng(9)

@@ -479,6 +479,7 @@ _ENCODERS: dict[int, Encoder] = {}
 
 def _write(tokenizer_json, end_id: int, shard_tokens: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.keep()
         text = tokenizer_json.value
         key = zlib.crc32(text.encode())
         if key not in _ENCODERS:
@@ -506,6 +507,7 @@ def _write(tokenizer_json, end_id: int, shard_tokens: int, whole: bool):
                     yield flush()
         if names:
             yield flush()
+        tb.release()
 
     return run
 
@@ -525,6 +527,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
 
 def _read(offsets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.keep()
         for batch in batches:
             for part, start, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = Shard(blob.as_buffer())
@@ -533,6 +536,7 @@ def _read(offsets):
                 at = np.cumsum(n) - n
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(at + start + offsets.value[part]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        tb.release()
 
     return run
 
