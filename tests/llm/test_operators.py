@@ -515,6 +515,17 @@ def test_quality(spark):
     assert quality.grade_documents(df, blank).count() == len(rows) and quality.grade_documents(df.limit(0), m).count() == 0
 
 
+def test_quality_sends_ids_without_python_workers(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.sql import functions as F
+
+    df, lab = spark.createDataFrame([(i, f"word{i % 2} " * 9) for i in range(60)], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int")
+    started, real = [], SparkContext.parallelize
+    monkeypatch.setattr(SparkContext, "parallelize", lambda self, *a, **b: started.append(a) or real(self, *a, **b))
+    m = quality.learn(df, lab, F.col("grade"), 2)
+    assert not started and m.weights.any()
+
+
 def test_mixing_plan_and_draws(spark, docs):
     out = mixing.mix_sources(docs, max_repeats=1.5, block_tokens=500)
     rows = out.collect()

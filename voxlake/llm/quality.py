@@ -132,7 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, samp
     grades: dict[int, list[int]] = {}
     for r in chosen:
         grades.setdefault(r._id, []).append(r._grade)
-    ids = spark.createDataFrame([(i,) for i in grades], "_id long")
+    ids = spark.createDataFrame(pa.table({"_id": pa.array(list(grades), pa.int64())}))  # a list of rows would start Python workers of its own, which stay
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # one text of each id, so ``sample`` rows at most
     texts = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("t"))
