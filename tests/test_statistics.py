@@ -1,8 +1,10 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from voxlake.functions import distributions as dist
 from voxlake.functions.volumes import offsets
@@ -271,3 +273,14 @@ def test_edges_of_a_step_and_cluster_enhancement():
     x[4, 4, 4] = 1.0
     t = imaging.cluster_enhance(x, 0.5)
     assert t[1, 1, 1] == pytest.approx(2**0.5 * (0.25 + 1) * 0.5) and t[4, 4, 4] == pytest.approx((0.25 + 1) * 0.5)
+
+
+def test_z_scores_take_a_series_once(spark):
+    """Means and deviations of 2,000 steps, not again for each step; nulls stay as in SQL."""
+    x = RNG.normal(size=2_000)
+    s = spark.createDataFrame([(0, x.tolist()), (1, [1.0, None, 3.0]), (2, [5.0, 5.0]), (3, [5.0]), (4, [])], "vid long, ts array<double>")
+    start = time.monotonic()
+    got = {r.vid: r.ts for r in networks.z_scored(s).select("vid", F.posexplode("ts").alias("t", "x")).groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("e")).select("vid", F.transform("e", lambda e: e.x).alias("ts")).collect()}
+    assert time.monotonic() - start < 30
+    assert np.allclose(got[0], (x - x.mean()) / x.std(ddof=1))
+    assert got[1] == [pytest.approx(-math.sqrt(0.5)), None, pytest.approx(math.sqrt(0.5))] and got[2] == [0.0, 0.0] and got[3] == [None] and 4 not in got
