@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import distributions as dist
 from voxlake.functions.volumes import offsets
-from voxlake.operators import filters, glm, imaging, laminar, learning, networks, preprocess, stats
+from voxlake.operators import filters, glm, imaging, laminar, learning, networks, preprocess, stats, tiles
 from voxlake.plans import programs
 
 RNG = np.random.default_rng(3)
@@ -284,3 +284,32 @@ def test_z_scores_take_a_series_once(spark):
     assert time.monotonic() - start < 30
     assert np.allclose(got[0], (x - x.mean()) / x.std(ddof=1))
     assert got[1] == [pytest.approx(-math.sqrt(0.5)), None, pytest.approx(math.sqrt(0.5))] and got[2] == [0.0, 0.0] and got[3] == [None] and 4 not in got
+
+
+def _pairs_fixture(spark, n=700):
+    """Series with numbers that are neither dense nor in order, over three partitions."""
+    x = RNG.normal(size=(n, 16)) + RNG.normal(size=16)
+    vid = RNG.permutation(5 * n)[:n]
+    rows = [(int(v), t.tolist()) for v, t in zip(vid, x)]
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, ddof=1, keepdims=True)
+    return vid, z, spark.createDataFrame(rows, "vid long, ts array<double>").repartition(3)
+
+
+def test_edge_sums_match_all_pairs(spark):
+    """By tiles of several groups and blocks, without edges as rows."""
+    vid, z, s = _pairs_fixture(spark)
+    w = np.maximum(z @ z.T / 16, 0)
+    np.fill_diagonal(w, 0)
+    got = {r.vid: r.value for r in networks.edge_sums(s, "pos", size=20).collect()}
+    assert np.allclose([got[v] for v in vid], w.sum(1))
+    later = vid[:, None] > vid[None, :]
+    rows = {r.i: r for r in networks.later_sums(s, "pos", 0.25, size=20).collect()}
+    assert set(rows) == set(vid.tolist()) - {vid.min()}
+    total, strong = (w * later).sum(1), ((w >= 0.25) & later).sum(1)
+    assert all(np.isclose(rows[v].total, t) and rows[v].strong == k for v, t, k in zip(vid.tolist(), total, strong) if v in rows)
+
+
+def test_tiles_shuffle_a_bounded_number_of_copies():
+    """Copies of a row are as many as groups; they were as many as blocks, so shuffles grew as the square."""
+    assert [tiles.group_count(n, 600) for n in (100, 20_000, 100_000, 600_000)] == [1, 16, 16, 16]
+    assert tiles.group_count(10_000_000, 600) < 50 and tiles.group_count(100_000, 1 << 20) > 700
