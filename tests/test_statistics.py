@@ -313,3 +313,31 @@ def test_tiles_shuffle_a_bounded_number_of_copies():
     """Copies of a row are as many as groups; they were as many as blocks, so shuffles grew as the square."""
     assert [tiles.group_count(n, 600) for n in (100, 20_000, 100_000, 600_000)] == [1, 16, 16, 16]
     assert tiles.group_count(10_000_000, 600) < 50 and tiles.group_count(100_000, 1 << 20) > 700
+
+
+def test_concordance_map_matches_each_seed_in_turn(spark):
+    """Three subjects, equal series among them, more voxels than one task's seeds."""
+    n = 200
+    at, data = RNG.integers(0, 12, (n, 3)), RNG.normal(size=(3, n, 14))
+    data[:, 60:75] = data[:, 40:55]
+    data[1, 7] = 4.0
+    vid = np.sort(RNG.permutation(900)[:n])
+    rows = [(s, int(vid[v]), *map(int, at[v]), data[s, v].tolist()) for s in range(3) for v in range(n)]
+    cohort = spark.createDataFrame(rows, "subj int, vid long, b int, r int, c int, ts array<double>").repartition(3)
+    p = data[:, :, 2:]
+    p = p - p.mean(2, keepdims=True)
+    size = np.sqrt((p * p).sum(2, keepdims=True))
+    r = np.einsum("sit,sjt->sij", p / np.maximum(size, 1e-12), p / np.maximum(size, 1e-12))
+    far = ((at[:, None] - at[None]) ** 2).sum(2) >= 27
+    for kind, f in (("kendall", networks.kendall_w), ("occc", networks.occc)):
+        got = {x.vid: x.concordant for x in networks.concordance_map(cohort, kind, seeds_per_task=16).collect()}
+        assert np.allclose([got[v] for v in vid], [f(np.round(r[:, i, far[i]], 12)) for i in range(n)], atol=1e-6), kind
+
+
+def test_concordance_cohort_goes_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    """It went once to each group of 64 seeds, so what was shuffled grew as the square."""
+    asked = []
+    monkeypatch.setattr(networks.tiles, "copies", lambda blocks, n: asked.append(n) or blocks.select(F.lit(0).alias("tile"), "data"))
+    rows = spark.range(4000).select(F.lit(0).alias("subj"), F.col("id").alias("vid"), *(F.lit(0).alias(c) for c in "brc"), F.array(*(F.rand(i) for i in range(4))).alias("ts"))
+    networks.concordance_map(rows)
+    assert asked == [48]
