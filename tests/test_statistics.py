@@ -389,3 +389,30 @@ def test_r2_of_few_depths_is_that_of_the_means():
     mean = np.repeat(z.reshape(5, 4).mean(1), 4)
     exact = ((mean - z.mean()) ** 2).sum() / ((z - z.mean()) ** 2).sum()
     assert np.allclose(laminar.fit_r2(u, z)[3:], exact) and np.allclose(laminar.fit_r2_many(u[None], z[None], np.ones((1, 20), bool))[0], laminar.fit_r2(u, z))
+
+
+def test_projected_ecm_matches_the_matrix(spark):
+    """By factors where the metric has them (no pairs are made), else by tiles."""
+    vid, z, s = _pairs_fixture(spark, 300)
+    blk = vid // 400
+    draws = np.zeros((300, 32))
+    for b in set(blk.tolist()):
+        at = np.flatnonzero(blk == b)
+        draws[at[np.argsort(vid[at])]] = np.random.default_rng([9, b]).standard_normal((len(at), 32))
+    for metric in ("rlc", "neg_rlc", "add", "none", "abs"):
+        a = networks.similarity(z, z, metric)
+        y = a @ draws
+        q = np.linalg.svd(y, full_matrices=False)
+        q = q[0][:, q[1] > q[1][0] * 1e-6]
+        w, u = np.linalg.eigh(q.T @ a @ q)
+        want = q @ u[:, np.argmax(w)] * 300**0.5
+        got = {r.vid: r.value for r in networks.projected_ecm(s, metric, 9, size=400).collect()}
+        got = np.array([got[v] for v in vid])
+        assert np.sign(got).sum() >= 0 and np.allclose(got, want * np.sign(got @ want), atol=1e-6), metric
+
+
+def test_projected_ecm_of_factors_makes_no_pairs(spark, monkeypatch):
+    """Blocks went to tasks for each pair of them, so shuffles grew as the square."""
+    monkeypatch.setattr(networks, "pair_blocks", None)
+    monkeypatch.setattr(networks.tiles, "grid", None)
+    assert networks.projected_ecm(_pairs_fixture(spark, 60)[2], "rlc", size=100).count() == 60
