@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from voxlake import queries
 from voxlake.functions import distributions as dist
 from voxlake.functions.volumes import offsets
 from voxlake.operators import filters, glm, imaging, laminar, learning, networks, preprocess, stats, tiles
@@ -416,3 +417,35 @@ def test_projected_ecm_of_factors_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(networks, "pair_blocks", None)
     monkeypatch.setattr(networks.tiles, "grid", None)
     assert networks.projected_ecm(_pairs_fixture(spark, 60)[2], "rlc", size=100).count() == 60
+
+
+def test_bipartite_sums_match_the_edges(spark):
+    """Of several groups and blocks on each side, near voxels left out; edges are rows only where they are asked for."""
+    n = 260
+    x, at, vid = RNG.normal(size=(n, 20)) + 0.4 * RNG.normal(size=20), RNG.integers(0, 9, (n, 3)), RNG.permutation(4 * n)[:n]
+    rows = [(int(v), *map(int, p), t.tolist()) for v, p, t in zip(vid, at, x)]
+    s = spark.createDataFrame(rows, "vid long, b int, r int, c int, ts array<double>").repartition(3)
+    left, right = np.flatnonzero(vid % 2 == 0), np.flatnonzero(vid % 2)
+    far = ((at[left][:, None] - at[right][None]) ** 2).sum(2) >= 9
+    sides = s.filter("vid % 2 = 0"), s.filter("vid % 2 = 1")
+    order = np.argsort(np.argsort(x, axis=1, kind="stable"), axis=1)
+    for metric, r in (("pearson", np.corrcoef(x)), ("spearman", np.corrcoef(order)), ("MI", -0.5 * np.log(np.maximum(1 - np.corrcoef(x) ** 2, 1e-12)))):
+        w = r[np.ix_(left, right)]
+        edge = far & (w >= 0.2 + 1e-6)
+        got = {(e.i, e.j): e.w for e in networks.bipartite_edges(*sides, metric, 0.2, size=15).collect()}
+        assert set(got) == {(vid[left[i]], vid[right[j]]) for i, j in np.argwhere(edge)}
+        assert all(np.isclose(got[vid[left[i]], vid[right[j]]], w[i, j]) for i, j in np.argwhere(edge))
+        w = w * edge
+        rows = {(e.side, e.vid): e.value for e in networks.bipartite_degrees(*sides, 7, 11, metric, 0.2, size=15).collect()}
+        want = {(1, vid[left[i]]): w[i].sum() / 11 for i in np.flatnonzero(edge.any(1))} | {(2, vid[right[j]]): w[:, j].sum() / 7 for j in np.flatnonzero(edge.any(0))}
+        assert rows.keys() == want.keys() and all(np.isclose(rows[k], want[k]) for k in want)
+        hubs = {e.vid: e.value for e in networks.projected_hubs(*sides, 11, metric, 0.2, size=15).collect()}
+        assert hubs.keys() == {vid[left[i]] for i in np.flatnonzero(edge.any(1))} and all(np.isclose(hubs[vid[left[i]]], (w[i] * w.sum(0)).sum() / 121) for i in np.flatnonzero(edge.any(1)))
+
+
+def test_bipartite_queries_keep_their_edges_in_tiles(spark, tmp_path, monkeypatch):
+    """Blocks went to a task for each pair of them, and edges to the sums as rows."""
+    monkeypatch.setattr(networks, "bipartite_edges", None)
+    monkeypatch.setattr(networks, "pair_blocks", None)
+    spark.createDataFrame([(i, RNG.normal(size=8).tolist()) for i in range(600)], "vec_id long, embedding array<double>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    assert queries.QUERIES["bipartite_degree"](spark, f"file://{tmp_path}").count() == 600 and queries.QUERIES["network_projection"](spark, f"file://{tmp_path}").count() == 300
